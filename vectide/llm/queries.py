@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, chat, decontaminate, exact, langid
+from vectide.llm import bpe, chat, decontaminate, exact, langid, suffix_dedup
 from vectide.llm import quality as knn
 from vectide.llm import toxicity as nnpu
 from vectide.llm.common import crc_mod
@@ -27,6 +27,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public.path(BPE), public.PATTERN)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that smaller ids hold in strings of 50."""
+    found = suffix_dedup.repeated_substrings(_read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     import public_tokenizers as public
@@ -77,7 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_dedup, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate)}
 
 
 ORACLES = {
