@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, chat, decontaminate, exact, langid, suffix_dedup
+from vectide.llm import bpe, chat, decontaminate, exact, langid, minhash, suffix_dedup
 from vectide.llm import quality as knn
 from vectide.llm import toxicity as nnpu
 from vectide.llm.common import crc_mod
@@ -20,6 +20,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 85 percent alike."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     import public_tokenizers as public
@@ -83,7 +88,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_suffix_dedup, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_suffix_dedup, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate)}
 
 
 ORACLES = {
