@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, chat, decontaminate, exact, langid, minhash, suffix_dedup
+from vectide.llm import bpe, chat, decontaminate, exact, hpylm, langid, minhash, suffix_dedup
 from vectide.llm import quality as knn
 from vectide.llm import toxicity as nnpu
 from vectide.llm.common import crc_mod
@@ -38,6 +38,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_hpy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language-model score of every document."""
+    return hpylm.score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     import public_tokenizers as public
@@ -87,8 +92,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_suffix_dedup, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_suffix_dedup, op4_hpy_score, op5_language_id, op6_chat_format, op7_quality_knn, op8_toxicity_pu, op9_exact_dedup, op10_decontaminate, pipeline)}
 
 
 ORACLES = {
