@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,7 +263,7 @@ class _Steps:
             mine = np.flatnonzero(to == s)
             a = at[mine]
             text = b"".join(texts[t][b : b + n] for t, b, n in zip(runs.text[a].tolist(), runs.start[a].tolist(), (runs.count[a] + self.length - 1).tolist(), strict=True))
-            out.append((s, key[0].as_py(), _pack(runs.key[a], low_doc[mine], high_doc[mine], runs.count[a].astype(np.uint8), np.frombuffer(text, dtype=np.uint8))))
+            out.append((s, key[0].as_py(), _pack(runs.key[a], low_doc[mine], high_doc[mine], runs.count[a].astype(np.uint8), np.frombuffer(zstandard.compress(text, 3), dtype=np.uint8))))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOB, strict=True)], schema=_BLOB)
 
     def _suffixes(self, count: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,20 +272,24 @@ class _Steps:
         at = _spread(np.cumsum(size) - size, count.astype(np.int64))
         return _mix(gram_hashes(text, self.length, _B1)[at]), gram_hashes(text, self.length, _B2)[at]
 
+    @staticmethod
+    def _run(body) -> list[np.ndarray]:
+        *numbers, text = _unpack(body.as_py(), _U, np.int64, np.int64, np.uint8, np.uint8)
+        return [*numbers, np.frombuffer(zstandard.decompress(text.tobytes()), dtype=np.uint8)]
+
     def first_ids(self, key: tuple, blobs: pa.Table) -> pa.Table:
         """For each block the strings that a smaller id than its largest holds: run key, first and last string, id."""
         family = SuffixFamily()
-        kinds = (_U, np.int64, np.int64, np.uint8, np.uint8)
         blocks, bodies = blobs["block"].to_pylist(), blobs["body"]
         order = sorted(range(len(blocks)), key=lambda k: blocks[k])
         for k in order:
-            _, low, _, count, text = _unpack(bodies[k].as_py(), *kinds)
+            _, low, _, count, text = self._run(bodies[k])
             f, g = self._suffixes(count, text)
             family.insert(f, g, np.repeat(low, count))
         family.settle()
         out = []
         for k in order:
-            run, _, high, count, text = _unpack(bodies[k].as_py(), *kinds)
+            run, _, high, count, text = self._run(bodies[k])
             first = family.first(*self._suffixes(count, text))
             n = count.astype(np.int64)
             own = np.repeat(np.arange(len(n)), n)
