@@ -5,13 +5,15 @@ of `chunks * symbols` hash functions.  Signatures are split into chunks.  By the
 pigeonhole principle two signatures that differ in at most
 `chunks * (errors + 1) - 1` symbols have a chunk with at most `errors` different
 ones, so every choice of `errors` symbols of every chunk is left out in turn and
-the rest is a key: all pairs under that distance share one.  Pairs are confirmed
-on their full sets.
+the rest is a key: all pairs under that distance share one.  Pairs that a wider
+signature puts 5.5 standard deviations below the similarity are passed over; the
+others are confirmed on their full sets.
 
 Texts with equal sets are one class from the start.  A key's classes are not
 paired with each other: each is compared with the key's hub and its first member,
 links are joined into components, and only pairs that share a key but no
-component are then compared, all of them.
+component are then compared, all of them, bin against bin: what is shuffled are
+sets and the bins they meet, not pairs.
 """
 
 from __future__ import annotations
@@ -71,24 +73,28 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 class Signer:
     """Signatures of shingle sets, and the keys of signatures."""
 
-    def __init__(self, chunks: int, symbols: int, errors: int):
+    def __init__(self, chunks: int, symbols: int, errors: int, width: int):
         self.chunks, self.symbols, self.errors = chunks, symbols, errors
         self.n = chunks * symbols
+        self.width = max(width, self.n)
         rng = np.random.default_rng(20_08)
-        self.mul = rng.integers(1, 1 << 63, self.n, dtype=np.uint64) * _U(2) + _U(1)
-        self.add = rng.integers(0, 1 << 63, self.n, dtype=np.uint64)
+        self.mul = rng.integers(1, 1 << 63, self.width, dtype=np.uint64) * _U(2) + _U(1)
+        self.add = rng.integers(0, 1 << 63, self.width, dtype=np.uint64)
 
-    def sign(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row of 16-bit symbols for each set, none of them empty."""
-        out = np.empty((len(sets), self.n), dtype=np.uint16)
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each set, none of them empty, the 16-bit symbols of its keys, and `width` 8-bit symbols for estimates."""
+        out, wide = np.empty((len(sets), self.n), dtype=np.uint16), np.empty((len(sets), self.width), dtype=np.uint8)
         if not sets:
-            return out
+            return out, wide
         starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
         flat = np.concatenate(sets)
         with np.errstate(over="ignore"):
-            for k in range(self.n):
-                out[:, k] = _mix(np.minimum.reduceat(flat * self.mul[k] + self.add[k], starts)) & _U(0xFFFF)
-        return out
+            for k in range(self.width):
+                least = _mix(np.minimum.reduceat(flat * self.mul[k] + self.add[k], starts))
+                wide[:, k] = least & _U(0xFF)
+                if k < self.n:
+                    out[:, k] = least & _U(0xFFFF)
+        return out, wide
 
     def keys(self, signs: np.ndarray) -> np.ndarray:
         """signatures x keys."""
@@ -113,7 +119,7 @@ def _set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("cid", pa.int64()), ("sign", pa.binary())])
+_SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("cid", pa.int64()), ("sign", pa.binary()), ("wide", pa.binary())])
 
 
 def _signed(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
@@ -122,7 +128,7 @@ def _signed(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
             for lo, hi in by_bytes(b["text"], 2 << 20):
                 sets = _sets_of(b["text"].slice(lo, hi - lo), size)
                 some = [s for s in sets if len(s)]
-                signs = iter(signer.sign(some))
+                signs, wides = (iter(x) for x in signer.sign(some))
                 keys = [_set_key(s) if len(s) else None for s in sets]
                 yield pa.record_batch(
                     [
@@ -131,11 +137,12 @@ def _signed(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
                         pa.array(keys, pa.binary()),
                         pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
                         pa.array([next(signs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(wides).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
                     schema=_SIGNED,
                 )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, cid long, sign binary")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, cid long, sign binary, wide binary")
 
 
 def _keyed(classes: DataFrame, signer: Signer) -> DataFrame:
@@ -151,46 +158,142 @@ def _keyed(classes: DataFrame, signer: Signer) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame, signer: Signer, distance: int) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most `distance` symbols."""
+    """Pairs (a, b) whose wide signatures differ in at most `distance` symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint16).reshape(-1, signer.n) for c in ("x", "y"))
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint8).reshape(-1, signer.width) for c in ("x", "y"))
                 ok = (x != y).sum(1) <= distance
                 yield pa.record_batch([b["a"].filter(pa.array(ok)), b["b"].filter(pa.array(ok))], names=["a", "b"])
 
-    signs = classes.select("cid", "sign")
+    signs = classes.select("cid", F.col("wide").alias("sign"))
     both = pairs.join(signs.select(F.col("cid").alias("a"), F.col("sign").alias("x")), "a").join(signs.select(F.col("cid").alias("b"), F.col("sign").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose sets have 100 * intersection >= percent * union.
+def _apart(members: DataFrame, signer: Signer, distance: int, block: int = 256) -> DataFrame:
+    """(p, q, cid): classes that have a near one with another label, and the two bins, p <= q, that the pair lies in.
 
-    The sets are made again from the texts of the classes in question.  A bitmap
-    of hashed ids, of bounded size, spares most others; whatever it lets through
-    is joined by class, so it decides nothing.  Sets travel to their pairs' first
-    member, whose pairs are dealt out again by a salt if it has many.
+    members: key, n (of the key), cid, label, bin, sign (wide).  Signatures of a
+    key are compared in blocks against blocks, each pair of blocks in its own
+    group.  What comes out is a row for each class and bin it has to meet, not
+    one for each pair.
+    """
+
+    def compare(rows: list[tuple]) -> np.ndarray:
+        cid, label, bin_, own = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        sign = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, signer.width)
+        x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        near = (sign[x][:, None, :] != sign[y]).sum(2) <= distance
+        i, j = np.nonzero(near & (label[x][:, None] != label[y]))
+        i, j = x[i], y[j]
+        low, high = np.minimum(bin_[i], bin_[j]), np.maximum(bin_[i], bin_[j])
+        return np.unique(np.concatenate((np.stack([low, high, cid[i]]), np.stack([low, high, cid[j]])), 1), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        done = lambda: pa.record_batch(list(np.unique(np.concatenate(out, 1), axis=1)), names=["p", "q", "cid"])
+        for b in batches:
+            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "cid", "label", "bin", "own", "sign")), strict=True):
+                if (key, i, j) != now:
+                    if len(held) > 1:
+                        out.append(compare(held))
+                    now, held = (key, i, j), []
+                held.append(row)
+            if sum(x.shape[1] for x in out) > 200_000:
+                yield done()
+                out = []
+        if len(held) > 1:
+            out.append(compare(held))
+        if out:
+            yield done()
+
+    blocks = F.ceil(F.col("n") / block)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks)).select("key", "cid", "label", "bin", "own", "sign", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "bin", "own", "sign")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "p long, q long, cid long").distinct()
+
+
+def _met(meet: DataFrame, told: DataFrame, docs: DataFrame, classes: DataFrame, signer: Signer, distance: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different labels that meet in a pair of bins; told: cid, label, bin.
+
+    A pair of bins is a group of some hundreds of sets.  Its near pairs are
+    confirmed there, and only links come out.
+    """
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        label, bin_ = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
+        sign = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, signer.width)
+        sets = [np.frombuffer(r[4], dtype=_U) for r in rows]
+        x, y = np.flatnonzero(bin_ == bin_.min()), np.flatnonzero(bin_ == bin_.max())
+        same, out = bin_.min() == bin_.max(), []
+        for i in x.tolist():
+            near = y[((sign[y] != sign[i]).sum(1) <= distance) & (label[y] != label[i])]
+            for j in near.tolist():
+                n, m = len(sets[i]), len(sets[j])
+                if (same and j < i) or 100 * min(n, m) < percent * max(n, m):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (n + m - both):
+                    out.append((rows[i][0], rows[j][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for b in batches:
+            for p, q, *row in zip(*(b[c].to_pylist() for c in ("p", "q", "cid", "label", "bin", "sign", "body")), strict=True):
+                if (p, q) != now:
+                    if len(held) > 1:
+                        out += links(held)
+                    now, held = (p, q), []
+                held.append(row)
+        if len(held) > 1:
+            out += links(held)
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    wanted = meet.select("cid").distinct()
+    known = told.select("cid", "label", "bin").distinct().join(classes.select("cid", F.col("wide").alias("sign")), "cid")
+    body = _sets(docs, classes, wanted, size).dropDuplicates(["cid"])
+    rows = meet.join(known, "cid").join(body, "cid").select("p", "q", "cid", "label", "bin", "sign", "body")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid and body, the set, of the wanted classes and a few others, made again from the texts.
+
+    A bitmap of hashed ids, of bounded size, spares most other texts; what it lets
+    through is for the caller to join by class, so it decides nothing.
     """
     bits = 1 << 24
-    salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("salts")), "a")
-    members = salted.select(F.col("b").alias("cid"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("member"))
-    pivots = salted.select("a", "salts").distinct().select(F.col("a").alias("cid"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    need = members.unionByName(pivots)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    wanted = classes.join(need.select("cid").distinct(), "cid", "left_semi").select(place("first_id").alias("p"))
-    marks = wanted.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-    rows = docs.select("id", "text", place("id").alias("p"))
+    marked = classes.join(wanted, "cid", "left_semi").select(place("first_id").alias("p"))
+    marks = marked.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    rows = docs.select("text", place("id").alias("p"))
     rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("p") == F.col("bucket"))
     rows = rows.where(F.expr("(shiftright(cast(conv(hex(substring(bitmap, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in by_bytes(b["text"], 2 << 20):
                 found = [s for s in _sets_of(b["text"].slice(lo, hi - lo), size) if len(s)]
                 yield pa.record_batch([pa.array([int.from_bytes(_set_key(s)[:8], "little", signed=True) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "body"])
 
+    return rows.select("text").mapInArrow(run, "cid long, body binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose sets have 100 * intersection >= percent * union.
+
+    Sets travel to their pairs' first
+    member, whose pairs are dealt out again by a salt if it has many.
+    """
+    salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("salts")), "a")
+    members = salted.select(F.col("b").alias("cid"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("member"))
+    pivots = salted.select("a", "salts").distinct().select(F.col("a").alias("cid"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    need = members.unionByName(pivots)
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=_U)
         for b in batches:
@@ -208,7 +311,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
                     raise ValueError("a pair's first set is missing")
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    made = rows.select("text").mapInArrow(sets, "cid long, body binary")
+    made = _sets(docs, classes, need.select("cid").distinct(), size)
     held = need.join(made, "cid").select("pivot", "salt", "member", "cid", "body")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return held.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "cid").mapInArrow(confirm, "a long, b long").distinct()
@@ -235,7 +338,13 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunks: int = 10, symbols: int = 6, errors: int = 1) -> DataFrame:
+def _mixed(members: DataFrame) -> DataFrame:
+    """members (key, cid, label) of the keys with several labels, and n, the key's members."""
+    several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l <> h").select("key", "n")
+    return members.join(several, "key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, chunks: int = 10, symbols: int = 6, errors: int = 1, width: int = 192) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id, a row for each document.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their
@@ -246,13 +355,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat an id with an equal set are one document and give one row; with
     another set they give one for each.
     """
-    signer = Signer(chunks, symbols, errors)
+    signer = Signer(chunks, symbols, errors, width)
     share = percent / 100
-    distance = max(chunks * (errors + 1) - 1, math.ceil(signer.n * (1 - share) + 5 * math.sqrt(signer.n * share * (1 - share))))
+    distance = math.ceil(signer.width * (1 - share) + 5.5 * math.sqrt(signer.width * share * (1 - share)))
     texts = docs.select(ids(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = table(_signed(texts, signer, size), "signed")
     sets = signed.where("set_key is not null")
-    classes = table(sets.groupBy("set_key").agg(F.min("id").alias("first_id"), F.first("cid").alias("cid"), F.first("sign").alias("sign")), "classes")
+    classes = table(sets.groupBy("set_key").agg(F.min("id").alias("first_id"), F.first("cid").alias("cid"), F.first("sign").alias("sign"), F.first("wide").alias("wide")), "classes")
     if classes.groupBy("cid").count().where("count > 1").limit(1).count():
         raise ValueError("two different sets share a 64-bit key")
 
@@ -273,15 +382,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = components(links)
     told = buckets.select("key", "cid").join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    open_ = table(told.join(mixed, "key", "left_semi"), "open")
-    x = open_.select("key", F.col("cid").alias("low"), F.col("label").alias("p"))
-    y = open_.select("key", F.col("cid").alias("high"), F.col("label").alias("q"))
-    rest = x.join(y, "key").where("low < high and p <> q").select("low", "high").distinct()
-    rest = rest.join(tried, ["low", "high"], "left_anti").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    rest = table(_near(rest, classes, signer, distance), "rest")
-    if rest.limit(1).count():
-        more = table(_confirmed(rest, texts, classes, size, percent), "more")
+    told = _mixed(told)
+    # classes with the same hub share bins of about a hundred
+    led_by = best("hub").withColumnRenamed("other", "hub")
+    group = told.select("cid").distinct().join(led_by, "cid", "left").select("cid", F.coalesce("hub", "cid").alias("hub"))
+    bins = group.join(group.groupBy("hub").agg(F.ceil(F.count("*") / 128).alias("slots")), "hub").select("cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), "slots")).alias("bin"))
+    told = table(told.join(bins, "cid"), "told")
+    meet = table(_apart(told.join(classes.select("cid", F.col("wide").alias("sign")), "cid"), signer, distance), "meet")
+    if meet.limit(1).count():
+        more = table(_met(meet, told, texts, classes, signer, distance, size, percent), "more")
         if more.limit(1).count():
             label = components(links.unionByName(more))
 
