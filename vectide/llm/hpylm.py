@@ -260,7 +260,7 @@ class _Steps:
                     words, token, size = _coded(b["body"].slice(lo, hi - lo).to_pylist())
                     now, before, _ = self.sequence(self.symbol_of(*self.hashes(words), shared.value), token, size)
                     key, n = np.unique(before * self.symbols + now, return_counts=True)
-                    shard = key // self.symbols % pair_shards
+                    shard = key % pair_shards
                     out = [(s, _pack(key[shard == s].astype(np.uint32), n[shard == s].astype(np.uint32))) for s in np.unique(shard).tolist()]
                     if out:
                         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PAIRS, strict=True)], schema=_PAIRS)
@@ -348,7 +348,7 @@ def score_texts(docs: DataFrame, fold: int = 10, often: int = 1024, classes: int
     hashes = np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
 
     shared = spark.sparkContext.broadcast(hashes)
-    pairs = source.where("train").select("body").mapInArrow(steps.pairs(shared, 32), "shard long, body binary")
+    pairs = source.where("train").select("body").mapInArrow(steps.pairs(shared, steps.shards), "shard long, body binary")
     summed = pairs.groupBy("shard").applyInArrow(lambda k, t: _Steps.pair_sums(k, t), "shard long, body binary")
     found = [_unpack(bytes(r["body"]), np.uint32, np.int64) for r in summed.orderBy("shard").collect()]
     key = np.concatenate([f[0] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)

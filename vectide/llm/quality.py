@@ -65,6 +65,8 @@ class Space:
         return (w / max(float(np.sqrt((w * w).sum())), 1e-9)).astype(np.float32)
 
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if not docs:
+            return
         seen = np.zeros(self.buckets)
         for at, _ in docs:
             seen[at] += 1
