@@ -70,7 +70,7 @@ def test_two_level_fit(spark, vectors):
 
 
 def test_shares():
-    assert kmeans.shares([10, 1, 5], 6) == [3, 1, 2]
+    assert kmeans.shares([10, 1, 5], 6) == [4, 1, 1] and kmeans.shares([10, 1, 6], 6) == [3, 1, 2]
     assert kmeans.shares([2, 2], 9) == [2, 2]
 
 
@@ -94,12 +94,14 @@ def stats(spark, rows):
 @pytest.mark.parametrize(
     ("rows", "want"),
     [
-        ([(10, 1.0, 0), (10, 2.0, 0)], None),  # within twice the mean
-        ([(100, 1.0, 0), (100, 1.0, 0), (100, 9.0, 0), (100, 1.0, 0)], 2),  # sick
-        ([(100, 1.0, 5), (100, 1.0, 0), (100, 9.0, 0), (100, 1.0, 0)], None),  # sick but cold
-        ([(100, 1.0, 0), (100, 1.0, 0), (100, 9.0, 5), (100, 1.0, 0)], 2),  # sick and hot
-        ([(7, 9.0, 0), (100, 1.0, 0), (100, 1.0, 0)], None),  # too few rows
-        ([(100, 1.0, 0), (100, 1.0, 0), (100, 4.0, 0)], None),  # twice the mean, not more
+        ([(196, 1.0, 0)] * 20, None),
+        ([(196, 9.0, 0)] + [(196, 1.0, 0)] * 19, 0),  # sick
+        ([(196, 9.0, 0), (196, 1.0, 5)] + [(196, 1.0, 0)] * 18, None),  # sick but cold
+        ([(196, 9.0, 5), (196, 1.0, 0)] + [(196, 1.0, 0)] * 18, 0),  # sick and hot
+        ([(7, 9.0, 0)] + [(196, 1.0, 0)] * 19, None),  # too few rows
+        ([(196, 2.0, 0), (196, 0.0, 0)] + [(196, 1.0, 0)] * 18, None),  # twice the mean, not more
+        ([(263, 1.0, 0)] + [(194, 1.0, 0)] * 20, None),  # at the split size
+        ([(300, 1.0, 0), (400, 1.0, 0), (400, 1.0, 0)] + [(190, 1.0, 0)] * 20, 1),  # the fullest, the first of two
         ([(2000, 0.0, 0), (600, 1.0, 0), (100, 1.0, 0)] + [(100, 1.0, 0)] * 10, 1),  # all one point, so the next
         ([], None),
     ],

@@ -55,7 +55,7 @@ class Rotation:
             y = x[:, at : at + size]
             h = 1
             while h < size:
-                y = y.reshape(len(x), -1, 2, h)
+                y = y.reshape(len(x), size // (2 * h), 2, h)
                 y = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), 2).reshape(len(x), size)
                 h *= 2
             x[:, at : at + size] = y / np.sqrt(size)

@@ -57,7 +57,7 @@ class Tree:
 
     @property
     def dims(self) -> int:
-        return self.vectors.shape[1] if self.vectors.size else 0
+        return self.vectors.shape[1] if len(self.vectors) else 0
 
     def __len__(self) -> int:
         return len(self.vectors)
@@ -78,7 +78,7 @@ class Tree:
     def build(centroids: np.ndarray, fanout: int = 32) -> Tree:
         """k-means on k-means: a node of at most fanout clusters holds them, a larger one is divided."""
         x = np.asarray(centroids, dtype=np.float64)
-        x = x.reshape(len(x), -1)
+        x = x.reshape(len(x), x.shape[1] if x.ndim == 2 else 0)
         if not np.isfinite(x).all() or (len(x) and (x * x).sum(1).max() > np.finfo(np.float32).max):
             raise ValueError("centroids have to be finite, with squared norms that float32 can hold")
         fanout = max(fanout, 2)
