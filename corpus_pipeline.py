@@ -47,8 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and exact (the decoded ids are the text's bytes)."""
     rows = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text").cast("binary")).alias("exact"))
+    coded = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, exact="exact")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [

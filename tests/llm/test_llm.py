@@ -206,7 +206,8 @@ def test_encoding_is_the_librarys(spark, docs, empty):
         for t, code in zip(part, codes, strict=True):
             ids, want = c.chunk_ids.get(code).tolist(), own.encode_ordinary(t)
             assert ids == want and c.write(code) == ",".join(map(str, want)) and c.decode(np.array(ids, dtype=np.int64)) == t.encode()
-    coded = bpe.decode(bpe.encode(docs.selectExpr("*", "1 as row", "2 as ids"), RANKS, public.PATTERN), RANKS, public.PATTERN)
+    coded = bpe.decode(bpe.encode(docs.selectExpr("*", "1 as row", "2 as ids"), RANKS, public.PATTERN, exact="exact"), RANKS)
+    assert coded.where("not exact").count() == 0
     for r in coded.collect():
         assert r["ids"] == own.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
     got = bpe.round_trip_digests(docs, RANKS, public.PATTERN)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vectide.llm.common import by_bytes
 
 #: Words whose ids a task remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: The public pattern; for any other the whole text goes through the pattern.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -279,6 +279,19 @@ class _Store:
         return self.flat[spread(self.start[at], self.size[at])]
 
 
+class Decoder:
+    """Ids to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        token = {v: k for k, v in ranks.items()}
+        table = [token.get(k, b"") for k in range(max(token) + 1)]
+        self.bytes = _Store()
+        self.bytes.add(np.frombuffer(b"".join(table), dtype=np.uint8), np.array([len(x) for x in table]))
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return self.bytes.get(np.asarray(ids, dtype=np.int64)).astype(np.uint8).tobytes()
+
+
 class _Chunks(_Numbers):
     """Chunks between spaces; loose[n]: white space stands at an end of chunk n, or nothing is in it."""
 
@@ -304,9 +317,7 @@ class Codec:
         self.replay = MergeReplay(load_ranks(path))
         self.split = regex.compile(pattern).findall
         self.at_spaces = pattern == SPACED
-        table = [self.replay.token.get(k, b"") for k in range(max(self.replay.token) + 1)]
-        self.bytes = _Store()
-        self.bytes.add(np.frombuffer(b"".join(table), dtype=np.uint8), np.array([len(x) for x in table]))
+        self.decode = Decoder(self.replay.ranks)
         self.remembered = remembered
         self._forget()
 
@@ -366,11 +377,9 @@ class Codec:
         """A text's ids as decimals joined by commas."""
         return ",".join(map(self.written.__getitem__, code.tolist()))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes.get(np.asarray(ids, dtype=np.int64)).astype(np.uint8).tobytes()
-
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -380,35 +389,49 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", batch_bytes: int = 32 << 20) -> DataFrame:
+def decoder(path: str) -> Decoder:
+    """One for each worker process; it holds the vocabulary's bytes alone."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(load_ranks(path))
+    return _DECODERS[path]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", exact: str | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
     """docs with a column `out`, array<int>: the ids of the whole text, without special tokens.
 
     Null and empty texts give an empty array.  A column of that name is replaced.
-    path: a rank file every executor can open, as installed with the public tokenizers.
+    exact: name of a boolean column that tells whether the ids, decoded in the
+    same pass, are the text's bytes.  path: a rank file every executor can open,
+    as installed with the public tokenizers.
     """
-    docs = docs.drop(out)
+    docs = docs.drop(out, *filter(None, [exact]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
             for lo, hi in by_bytes(b["text"], batch_bytes):
                 part = b.slice(lo, hi - lo)
-                found = c.encode_batch(part["text"].to_pylist())
-                yield pa.record_batch([part["row"], pa.array(found, pa.list_(pa.int32()))], names=["row", out])
+                texts = part["text"].to_pylist()
+                found = c.encode_batch(texts)
+                columns = {"row": part["row"], out: pa.array(found, pa.list_(pa.int32()))}
+                if exact:
+                    columns[exact] = pa.array([c.decode(x) == (t or "").encode() for x, t in zip(found, texts, strict=True)], pa.bool_())
+                yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, `{out}` array<int>").select("row.*", out)
+    more = f", `{exact}` boolean" if exact else ""
+    return rows.mapInArrow(run, f"row {kind}, `{out}` array<int>{more}").select("row.*", out, *filter(None, [exact]))
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with a binary column `out`: the bytes of the ids.  Null ids count as none; an unknown id is an error."""
     rows = rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        back = decoder(path)
         for b in batches:
-            yield pa.record_batch([b["row"], pa.array([c.decode(x or []) for x in b["ids"].to_pylist()], pa.binary())], names=["row", out])
+            yield pa.record_batch([b["row"], pa.array([back(x or []) for x in b["ids"].to_pylist()], pa.binary())], names=["row", out])
 
     packed = rows.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids"))
     kind = packed.schema["row"].dataType.simpleString()
@@ -418,7 +441,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out:
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 32 << 20) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, decoded from the ids, and hashed in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ LONGEST = 32
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-8
 #: Words whose likelihoods a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

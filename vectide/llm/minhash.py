@@ -33,7 +33,7 @@ from vectide.llm.common import by_bytes, ids, shown, table
 _U = np.uint64
 _M1, _M2, _M3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
