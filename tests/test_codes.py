@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.operators import assign, rabitq, rank, search
 
@@ -104,6 +105,12 @@ def test_pipeline(spark, vectors, metric):
     assert key(search.two_pass(rows, codes, frames, sets, queries, 5, 5, metric, exact_bounds=True)) == key(exact)
     scan = search.exact_scan(rows, np.arange(0, 200, 40), x[::40], 5, metric)
     assert key(scan) == key(exact)
+    assert rabitq.checked_codes(codes, frames).select(F.sum("norm")).first()[0] > 0 and rabitq.retained_bytes(codes).first()[0] == 200 * (8 + 16 + 16)
+    for bad in ("norm * -1 as norm, align", "norm, align * 3 as align", "float('nan') as norm, align"):
+        with pytest.raises(Exception, match="no encoder"):
+            rabitq.checked_codes(codes.selectExpr("cluster_id", "bits", *bad.split(", ")), frames).collect()
+    with pytest.raises(Exception, match="no encoder"):
+        rabitq.checked_codes(codes.withColumn("bits", F.array(F.lit(1 << 20))), frames).collect()
     probed = search.clustered(rows, sets, queries, 5, 2, metric)
     assert key(search.two_pass(rows, codes, frames, sets, queries, 5, 2, metric, exact_bounds=True)) == key(probed)
     got = search.two_pass(rows, codes, frames, sets, queries, 5, 5, metric)

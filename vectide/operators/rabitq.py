@@ -377,6 +377,24 @@ def read_codes(batch, centroid: np.ndarray, seed: int, metric: str, ex_bits: int
     return Codes(np.asarray(centroid, dtype=np.float64), seed, metric, ex_bits, signs, num("norm"), num("align"), ex, num("ex_norm"), num("ex_align"))
 
 
+def checked_codes(codes: DataFrame, frames: DataFrame) -> DataFrame:
+    """codes whose evaluation fails at the first one that no encoder makes.
+
+    Norms are finite and not negative; align is -1 (a zero row of a cosine
+    column), 0 just where the norm is 0, or from 0.999/sqrt(dims) to 1; there is a
+    word for every 64 dimensions, and bits beyond the last dimension are 0.
+    """
+    f = frames.select("cluster_id", F.size("centroid").alias("_dims"), F.col("metric").alias("_metric"))
+    words = F.ceil(F.col("_dims") / 64).cast("int")
+    tail = F.col("_dims") % 64
+    spare = F.when(tail == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(element_at(bits, -1), cast(_dims % 64 as int))"))
+    finite = (F.col("norm") >= 0) & (F.col("norm") < float("inf"))
+    aligned = ((F.col("norm") == 0) & ((F.col("align") == 0) | ((F.col("align") == ZERO_ROW) & (F.col("_metric") == "cosine")))) | ((F.col("norm") > 0) & (F.col("align") >= 0.999 / F.sqrt("_dims")) & (F.col("align") <= 1 + 1e-9))
+    ok = F.coalesce((F.size("bits") == words) & (spare == 0) & finite & aligned, F.lit(False))
+    tested = codes.join(F.broadcast(f), "cluster_id").withColumn("norm", F.when(F.assert_true(ok, F.lit("a code that no encoder makes")).isNull(), F.col("norm")))
+    return tested.select(codes.columns)
+
+
 def retained_bytes(codes: DataFrame) -> DataFrame:
     """One row, `bytes`: what the codes hold."""
     return codes.agg(F.sum(8 * F.size("bits") + F.size("ex") + F.lit(16)).alias("bytes"))
