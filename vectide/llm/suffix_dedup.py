@@ -132,6 +132,13 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) - np.repeat(end - size - start, size)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 class SuffixFamily:
     """Sorted arrays (fingerprint, second fingerprint, smallest id), sizes growing geometrically."""
 
@@ -167,8 +174,10 @@ class SuffixFamily:
     def first(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The smallest id of each suffix; NO_ID where it is in no level."""
         out = np.full(len(key), NO_ID, dtype=np.int64)
+        order = np.argsort(key)  # a scan in order is several times faster than as many searches
         for k, c, d in self.levels:
-            at = np.searchsorted(k, key)
+            at = np.empty(len(key), dtype=np.int64)
+            at[order] = np.searchsorted(k, key[order])
             for _ in range(64):  # past others with the same fingerprint
                 ok = at < len(k)
                 near = np.where(ok, at, 0)
@@ -239,7 +248,7 @@ class _Steps:
         values = np.concatenate([p[0] for p in parts] + [p[1] for p in parts])
         values.sort()
         again = np.unique(values[1:][values[1:] == values[:-1]])
-        out = [(b, _pack(np.array([key[0].as_py()], dtype=np.int64), p[0][np.isin(p[0], again, assume_unique=False)])) for b, p in zip(blocks, parts, strict=True)]
+        out = [(b, _pack(np.array([key[0].as_py()], dtype=np.int64), p[0][_among(p[0], again)])) for b, p in zip(blocks, parts, strict=True)]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _BACK, strict=True)], schema=_BACK)
 
     def runs(self, key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -249,7 +258,7 @@ class _Steps:
         shard, low = self._dealt(runs.hash)
         wanted = [_unpack(x.as_py(), np.int64, np.uint32) for x in answers["body"]]
         known = np.sort(np.concatenate([(s.astype(np.uint64) << _U(32)) | v for s, v in wanted])) if wanted else np.zeros(0, _U)
-        at = np.flatnonzero(np.isin((shard.astype(np.uint64) << _U(32)) | low, known))
+        at = np.flatnonzero(_among((shard.astype(np.uint64) << _U(32)) | low, known))
         doc = np.array(own, dtype=np.int64)[runs.text[at]] if len(own) else at
         order = np.lexsort((doc, runs.key[at]))
         at, doc = at[order], doc[order]
@@ -282,15 +291,16 @@ class _Steps:
         family = SuffixFamily()
         blocks, bodies = blobs["block"].to_pylist(), blobs["body"]
         order = sorted(range(len(blocks)), key=lambda k: blocks[k])
+        batches = []
         for k in order:
-            _, low, _, count, text = self._run(bodies[k])
-            f, g = self._suffixes(count, text)
-            family.insert(f, g, np.repeat(low, count))
+            run, low, high, count, text = self._run(bodies[k])
+            suffixes = self._suffixes(count, text)
+            family.insert(*suffixes, np.repeat(low, count))
+            batches.append((k, run, high, count, suffixes))
         family.settle()
         out = []
-        for k in order:
-            run, _, high, count, text = self._run(bodies[k])
-            first = family.first(*self._suffixes(count, text))
+        for k, run, high, count, suffixes in batches:
+            first = family.first(*suffixes)
             n = count.astype(np.int64)
             own = np.repeat(np.arange(len(n)), n)
             place = _spread(np.zeros(len(n), np.int64), n)
