@@ -44,7 +44,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, words: int = 2000, clear: float = 4.0, rounds: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
+def train(positive: list[str | None], unlabelled: list[str | None], prior: float, words: int = 2000, clear: float = 4.0, rounds: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
     """nnPU training by full-batch Adam.
 
     words, clear: the words used are those whose share among positives exceeds
@@ -53,26 +53,26 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, wo
     """
     if not positive:
         return Scorer({}, -60.0)
-    in_p = Counter(w for d in positive for w in d)
-    often = {w for w, c in in_p.items() if c >= 3}
-    in_u = Counter(w for d in unlabelled for w in d & often)
+    in_p = Counter(w for t in positive for w in words_of(t))
+    in_p = Counter({w: c for w, c in in_p.items() if c >= 3})
+    in_u = Counter(w for t in unlabelled for w in words_of(t) & in_p.keys())
     n_p, n_u = len(positive), max(1, len(unlabelled))
     margin = {}
     for w, c in in_p.items():
         share, rest = c / n_p, (in_u[w] + c) / (n_u + n_p)
         z = (share - rest) / np.sqrt(rest * (1 - rest) / n_p + 1e-12)
-        if w in often and z >= clear:
+        if z >= clear:
             margin[w] = z
     chosen = {w: k for k, w in enumerate(sorted(margin, key=lambda w: (-margin[w], w))[:words])}
 
-    def matrix(docs: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(chosen) + 1))
+    def matrix(texts: list[str | None]) -> np.ndarray:
+        x = np.zeros((len(texts), len(chosen) + 1), dtype=np.float32)
         x[:, -1] = 1
-        for k, d in enumerate(docs):
-            x[k, [chosen[w] for w in d & chosen.keys()]] = 1
+        for k, t in enumerate(texts):
+            x[k, [chosen[w] for w in words_of(t) & chosen.keys()]] = 1
         return x
 
-    p, u = matrix(positive), matrix(unlabelled or [set()])
+    p, u = matrix(positive), matrix(unlabelled or [None])
     w = np.zeros(len(chosen) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
@@ -101,7 +101,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, posi
         prior = own.agg(F.avg("label")).first()[0] or 0.0
     toxic = smallest(own.where("label = 1").select("doc_id"), positives)
     others = smallest(docs.select("doc_id").where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold) != held)).distinct(), unlabelled)
-    return train([words_of(r[0]) for r in sample_texts(docs, toxic)], [words_of(r[0]) for r in sample_texts(docs, others)], prior)
+    return train([r[0] for r in sample_texts(docs, toxic)], [r[0] for r in sample_texts(docs, others)], prior)
 
 
 def toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
