@@ -292,6 +292,24 @@ def test_seating_keeps_customers():
     assert np.array_equal(sums, n[s.open]) and np.array_equal(used, s.tables[s.open]) and (s.tables <= n).all() and s.tables.max() > 1
 
 
+def test_sweeps_reseat_every_customer():
+    rng = np.random.default_rng(8)
+    # exact weights and moves agree, whatever the weight of a new table
+    for base, rest in ((0.2, 0), (0.001, 20000), (0.01, 100000)):
+        s = hpylm.Tables(np.full(500, 400), rng)
+        s.sweep(np.full(500, base), np.full(500, rest))
+        others, moved = np.zeros(0), []
+        for _ in range(600):
+            others = s._redraw(400, others, base, rest)
+            moved.append(len(others) + 1)
+        assert abs(np.mean(moved[50:]) - s.tables.mean()) < 0.1 * s.tables.mean()
+    # a hot dish has as many tables after three sweeps as its weights say: 1 + fresh / DISCOUNT
+    s = hpylm.Tables(np.full(50, 1_000_000), rng)
+    for _ in range(3):
+        s.sweep(np.full(50, 0.01), np.full(50, 20000))
+    assert abs(s.tables.mean() - 201) < 10
+
+
 # op 5
 
 

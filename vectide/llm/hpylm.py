@@ -18,6 +18,8 @@ size that is bounded by the number of symbols, whatever the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import lgamma
 from zlib import crc32
 
 import numpy as np
@@ -37,6 +39,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def by_sum(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs whose sums are about `most`, one item at least."""
+    sums, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 class Seating:
     """Customers of many dishes at tables, and Gibbs moves for one customer of every dish at a time.
 
@@ -99,29 +110,112 @@ class Seating:
             self.tables[self.open[born]] += 1
 
 
+#: Dishes up to this many customers are drawn from exact weights; larger ones by moves that redraw their tables.
+EXACT = 512
+
+
+@cache
+def _partitions() -> np.ndarray:
+    """log of the generalised Stirling numbers: the weight of n customers at t tables, for n and t up to EXACT."""
+    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    s[1, 1] = 0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        with np.errstate(divide="ignore"):
+            s[n + 1, 1:] = np.logaddexp(s[n, :-1], s[n, 1:] + np.log(np.maximum(n - DISCOUNT * t, 0)))
+    return s
+
+
+class Tables:
+    """Numbers of tables of many dishes; a sweep reseats every customer of every dish.
+
+    A sweep draws a dish's whole seating again, given the tables of the other
+    dishes of its restaurant at the sweep's start.  The weight of t tables is
+    the product of the weights of new tables, base (STRENGTH + DISCOUNT (rest +
+    i)) for i < t, times the weight of all seatings of n customers at t tables.
+    Up to EXACT customers t is drawn from these weights.  The tables of a larger
+    dish are, but for the largest one, a Poisson process of sizes conditioned on
+    their sum: a Metropolis move takes a part of them away and draws new ones,
+    and the largest table takes what is left.
+    """
+
+    def __init__(self, n: np.ndarray, rng: np.random.Generator):
+        self.n, self.rng = n.astype(np.int64), rng
+        self.tables = np.ones(len(n), dtype=np.int64)
+        some = np.flatnonzero((self.n > 1) & (self.n <= EXACT))
+        self.parts = [some[lo:hi] for lo, hi in by_sum(self.n[some], 1 << 21)]
+        self.large = {k: np.zeros(0) for k in np.flatnonzero(self.n > EXACT).tolist()}
+
+    def sweep(self, base: np.ndarray, rest: np.ndarray) -> None:
+        """base: probability of each dish in the parent; rest: tables of the restaurant's other dishes."""
+        now = self.tables.copy()
+        for part in self.parts:
+            n = self.n[part]
+            start = np.cumsum(n) - n
+            own = np.repeat(np.arange(len(part)), n)
+            t = np.arange(len(own)) - start[own]
+            fresh = np.cumsum(np.log(base[part][own] * (STRENGTH + DISCOUNT * (rest[part][own] + t))))
+            fresh -= (fresh[start] - np.log(base[part] * (STRENGTH + DISCOUNT * rest[part])))[own]
+            weight = fresh + _partitions()[n[own], t + 1] + self.rng.gumbel(size=len(own))
+            at = np.flatnonzero(weight == np.maximum.reduceat(weight, start)[own])
+            now[part[own[at]]] = t[at] + 1
+        for k, others in self.large.items():
+            others = self.large[k] = self._redraw(int(self.n[k]), others, float(base[k]), float(rest[k]))
+            now[k] = len(others) + 1
+        self.tables = now
+
+    def _redraw(self, n: int, others: np.ndarray, base: float, rest: float) -> np.ndarray:
+        rng, d = self.rng, DISCOUNT
+        fresh = base * (STRENGTH + d * rest)
+        # sizes are tilted so that they add up to a little less than n: the tilt cancels in the conditional weights
+        keep, lo = 1 - 1 / n, 0.0
+        calm = fresh * keep * (1 - keep) ** (d - 1) < n
+        if not calm:
+            for _ in range(50):
+                mid = (lo + keep) / 2
+                lo, keep = (mid, keep) if fresh * mid * (1 - mid) ** (d - 1) < 0.97 * n else (lo, mid)
+        tilt = np.log(keep)
+
+        def weight(x: np.ndarray) -> float:
+            left = n - x.sum()
+            if left < max(1.0, x.max(initial=0)):
+                return -np.inf
+            new = np.log(base * (STRENGTH + d * (rest + np.arange(len(x) + 1))) / fresh).sum()
+            return float(new + lgamma(left - d) - lgamma(left + 1) + tilt * left)
+
+        own = weight(others)
+        for share in (1.0, 1.0) if calm else (1.0, 0.5, 0.5, 0.2, 0.2, 0.2, 0.05, 0.05, 0.05, 0.05, 0.02, 0.02, 0.02, 0.02):
+            drawn = rng.poisson(share * fresh / d)
+            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+                size = np.ceil(np.log(rng.random(drawn)) / np.log1p(-rng.beta(d, 1 - d, drawn)))
+            size = np.where(size >= 1, size, 1.0)  # a geometric number of a beta chance
+            size = size[np.log(rng.random(drawn)) < tilt * size]
+            then = np.concatenate((others[rng.random(len(others)) >= share], size))
+            got = weight(then)
+            if np.log(rng.random()) < got - own:
+                others, own = then, got
+        every = np.sort(np.append(others, n - others.sum()))
+        return every[:-1]
+
+
 class Symbols:
-    """Restaurants over symbols: averaged P(symbol | symbol before) as a table of log10."""
+    """The model in memory over numbered symbols: averaged P(symbol | symbol before) as a table of log10."""
 
-    def __init__(self, n: int, before: np.ndarray, symbol: np.ndarray, count: np.ndarray, burn: int = 12, samples: int = 8, moves: int = 3, seed: int = 7):
+    def __init__(self, n: int, before: np.ndarray, symbol: np.ndarray, count: np.ndarray, burn: int = 12, samples: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         total = np.bincount(before, count, n)
-        rows = Seating(count, DISCOUNT, rng)
+        rows = Tables(count, rng)
         p = np.zeros((n, n))
         parent = np.full(n, 1 / n)
-        held = None
         for k in range(burn + samples):
             of_row = np.bincount(before, rows.tables, n)
-            rows_fresh = (STRENGTH + DISCOUNT * of_row[before]) * parent[symbol]
-            for _ in range(moves):
-                rows.move(rows_fresh)
+            rows.sweep(parent[symbol], of_row[before] - rows.tables)
             # the tables of the rows are the parent's customers
             guests = np.bincount(symbol, rows.tables, n).astype(np.int64)
             dishes = np.flatnonzero(guests)
-            top = Seating(guests[dishes], DISCOUNT, rng)
-            if held is not None:  # start from as many tables as in the round before
-                top = _resume(top, held[dishes])
-            for _ in range(moves):
-                top.move((STRENGTH + DISCOUNT * top.tables.sum()) / n * np.ones(len(dishes)))
+            top = Tables(guests[dishes], rng)
+            for _ in range(4):
+                top.sweep(np.full(len(dishes), 1 / n), top.tables.sum() - top.tables)
             held = np.zeros(n, dtype=np.int64)
             held[dishes] = top.tables
             parent = (guests - DISCOUNT * held + (STRENGTH + DISCOUNT * held.sum()) / n) / (STRENGTH + guests.sum())
@@ -132,19 +226,6 @@ class Symbols:
         self.log = np.log10(p / samples).astype(np.float32)
 
 
-def _resume(seats: Seating, tables: np.ndarray) -> Seating:
-    """Split the single tables into about as many as given."""
-    want = np.minimum(np.maximum(tables[seats.open], 1), seats.n[seats.open])
-    while (tight := np.flatnonzero(seats.room < want)).size:
-        seats._widen(tight)
-    own = np.repeat(np.arange(len(seats.open)), seats.room)
-    place = np.arange(len(seats.size)) - seats.start[own]
-    n = seats.n[seats.open]
-    seats.size = np.where(place < want[own], n[own] // want[own] + (place < n[own] % want[own]), 0).astype(float)
-    seats.tables[seats.open] = want
-    return seats
-
-
 _BLOB = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 _COUNTED = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("often", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("t", pa.float64()), ("k", pa.int64())]))), ("classes", pa.list_(pa.list_(pa.float64())))])
 _PAIRS = pa.schema([("shard", pa.int64()), ("body", pa.binary())])
