@@ -310,6 +310,24 @@ def test_sweeps_reseat_every_customer():
     assert abs(s.tables.mean() - 201) < 10
 
 
+def test_contexts_are_whole_words(spark):
+    # more words than any fixed set of symbols, of one ending: what follows each is told from its own pairs
+    rng = random.Random(2)
+    names = [f"{k}zzz" for k in range(3000)]
+    after = {w: f"{k}yyy" for k, w in enumerate(names)}
+    text = lambda ws: " ".join(f"{w} {after[w]}" for w in ws)
+    rows = [(k, text(rng.sample(names, 100))) for k in range(600)]
+    held = [k for k in range(600, 700) if crc(k, 10) == 0][:4]
+    mixed = names[:40]
+    rows += [(held[0], text(mixed)), (held[1], " ".join(f"{w} {after[mixed[k - 1]]}" for k, w in enumerate(mixed)))]
+    got = {r["doc_id"]: r for r in hpylm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=50_000, block_bytes=100_000).where(f"doc_id in ({held[0]}, {held[1]})").collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert a["held_out"] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)
+    # a known pair's second word is nearly certain; as symbols of one class all pairs look alike
+    assert a["score"] > b["score"] + 40
+    assert a["score"] / 40 > -5
+
+
 # op 5
 
 

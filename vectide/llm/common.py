@@ -40,6 +40,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete what table() wrote and nothing reads any more, and let the JVM collect, so that Spark drops shuffles that are done."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            _forget(df.sparkSession, path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def ids(column: str = "doc_id") -> Column:
     """The id as a long, nulls as NO_ID."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

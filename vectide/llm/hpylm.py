@@ -1,18 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every word is a symbol: itself if it is one of the most frequent words, else the
-class of its last letters.  The symbols that follow a symbol sit in that
-symbol's restaurant; all of these share one parent restaurant over symbols,
-whose base is uniform.  The words of a class sit in the class's own restaurant,
-whose base is uniform over its words and one unseen word.  Customers are
-reseated by Gibbs sampling, the predictive probabilities are averaged over
-samples, and a text's score is the sum of log10 P(symbol | symbol before) +
-log10 P(word | class).
-
-All words of all documents are counted.  Documents are dealt into blocks; a
-block sends its distinct words to shards of the hash space and gets back their
-counts and tables over the whole corpus.  The restaurants over symbols have a
-size that is bounded by the number of symbols, whatever the corpus.
+The words that follow a word in training documents sit in that word's
+restaurant; all of these share one parent restaurant over words, whose base is
+uniform over all words and one unseen word.  The end of a text is a word, and
+the one before its first.  Sweeps reseat all customers, and a text's score is
+the sum of log10 P(word | word before).
+
+All words and all pairs of neighbouring words of all documents are counted.
+Documents are dealt into blocks; a block sends its distinct words and pairs to
+shards of the hash space and gets back what the whole corpus says of them.
+Restaurants of preceding words are seated in shards of pairs, the parent in
+shards of words; the two sides exchange the guests of the parent and the
+probabilities of words.  Nothing but a few sums goes through the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from math import lgamma
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import NO_ID, by_bytes, crc_mod, ids, table
+from vectide.llm.common import NO_ID, crc_mod, forget, ids, table
 
 #: Share of the tables' pull: discount and strength of the restaurants below and of the parent.
 DISCOUNT, STRENGTH = 0.75, 2.0
@@ -226,10 +224,23 @@ class Symbols:
         self.log = np.log10(p / samples).astype(np.float32)
 
 
-_BLOB = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
-_COUNTED = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("often", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("t", pa.float64()), ("k", pa.int64())]))), ("classes", pa.list_(pa.list_(pa.float64())))])
-_PAIRS = pa.schema([("shard", pa.int64()), ("body", pa.binary())])
+_BLOB = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
+#: What a shard says: to a block or a shard of the other kind, or (to = null) its sums.
+_SAID = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("guests", pa.int64()), ("held", pa.float64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+WORDS, PAIRS = 0, 1
+#: Stands for the end of a text; no word holds a space.
+END = b" "
+
+
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*out, strict=True) if out else [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -262,186 +273,244 @@ def _coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 class _Steps:
-    def __init__(self, shards: int, often: int, classes: int):
-        self.shards, self.often, self.classes = shards, often, classes
-        self.end = often + classes
-        self.symbols = often + classes + 1
+    """Steps over blocks of documents and shards of words and of pairs.
+
+    split: pieces a word's restaurant is dealt into by the hash of the following
+    word, so that no shard holds all that follows a frequent word.
+    """
+
+    def __init__(self, shards: int, split: int):
+        self.shards, self.split = shards, split
+
+    def word_shard(self, h: np.ndarray) -> np.ndarray:
+        return (h % np.uint64(self.shards)).astype(np.int64)
 
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        return h, np.fromiter((crc32(w[-3:]) % self.classes for w in words), np.int64, len(words))
+    def pair_shard(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        piece = (now >> np.uint64(40)) % np.uint64(self.split)
+        return (((before >> np.uint64(20)) + piece) % np.uint64(self.shards)).astype(np.int64)
 
     @staticmethod
     def rows(block: pa.Table) -> list[tuple]:
         return sorted(zip(*(block[c].to_pylist() for c in ("id", "body", "train")), strict=True))
 
-    def words(self, key: tuple, block: pa.Table) -> pa.Table:
-        """A block's distinct words and their counts in training documents, by shard."""
-        rows = self.rows(block)
+    @staticmethod
+    def read(rows: list[tuple]) -> tuple:
+        """Hashes of the distinct words (the end last), the words of all texts with an end behind each, those before them, and the places of the ends."""
         words, token, size = _coded(r[1] for r in rows)
-        train = np.repeat(np.array([r[2] for r in rows], dtype=bool), size)
-        count = np.bincount(token[train], minlength=len(words)).astype(np.uint32)
-        h, k = self.hashes(words)
-        shard = (h % np.uint64(self.shards)).astype(np.int64)
-        out = []
-        for s in np.unique(shard).tolist():
-            at = np.flatnonzero(shard == s)
-            out.append((s, key[0].as_py(), _pack(h[at], count[at], k[at].astype(np.uint16))))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOB, strict=True)], schema=_BLOB)
-
-    def counts(self, key: tuple, blobs: pa.Table) -> pa.Table:
-        """Sum a shard's words, seat their customers, and answer every block in the order of its words."""
-        shard = key[0].as_py()
-        blocks = blobs["block"].to_pylist()
-        parts = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint16) for x in blobs["body"]]
-        every, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
-        kind = np.zeros(len(every), dtype=np.int64)
-        kind[inverse] = np.concatenate([p[2] for p in parts])
-        seen = np.flatnonzero(count)
-        tables = np.zeros(len(every))
-        seats = Seating(count[seen], DISCOUNT, np.random.default_rng(shard))
-        # the base of a class is uniform over its words, so a new table weighs about the discount
-        fresh = np.full(len(seen), DISCOUNT)
-        for k in range(16):
-            seats.move(fresh)
-            if k >= 8:
-                tables[seen] += seats.tables / 8
-        top = seen[np.lexsort((every[seen], -count[seen]))[: self.often]]
-        often = [{"h": int(every[k].astype(np.int64)), "c": int(count[k]), "t": float(tables[k]), "k": int(kind[k])} for k in top]
-        sums = [np.bincount(kind[seen], w, self.classes).tolist() for w in (count[seen], tables[seen], np.ones(len(seen)))]
-        out, at = [], 0
-        for b, p in zip(blocks, parts, strict=True):
-            own = inverse[at : at + len(p[0])]
-            at += len(p[0])
-            out.append((b, shard, _pack(count[own].astype(np.uint32), tables[own].astype(np.float32)), 0, 0, None, None))
-        out.append((None, shard, None, int(count.sum()), len(seen), often, sums))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
-
-    def symbol_of(self, h: np.ndarray, kind: np.ndarray, often: np.ndarray) -> np.ndarray:
-        """often: sorted hashes of the frequent words; their places are their symbols."""
-        if not len(often):
-            return self.often + kind
-        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-        return np.where(often[at] == h, at, self.often + kind)
-
-    def sequence(self, symbol: np.ndarray, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols with an end behind each text, the symbols before them (an end first), and the places of the ends."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, END]), np.uint64, len(words) + 1)
         ends = np.cumsum(size + 1) - 1
-        out = np.full(int(size.sum()) + len(size), self.end, dtype=np.int64)
-        inside = np.ones(len(out), dtype=bool)
+        now = np.full(int(size.sum()) + len(size), len(words), dtype=np.int64)
+        inside = np.ones(len(now), dtype=bool)
         inside[ends] = False
-        out[inside] = symbol[token]
-        return out, np.concatenate(([self.end], out[:-1])) if len(out) else out, ends
-
-    def pairs(self, shared, pair_shards: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi in by_bytes(b["body"], 12 << 20):
-                    words, token, size = _coded(b["body"].slice(lo, hi - lo).to_pylist())
-                    now, before, _ = self.sequence(self.symbol_of(*self.hashes(words), shared.value), token, size)
-                    key, n = np.unique(before * self.symbols + now, return_counts=True)
-                    shard = key % pair_shards
-                    out = [(s, _pack(key[shard == s].astype(np.uint32), n[shard == s].astype(np.uint32))) for s in np.unique(shard).tolist()]
-                    if out:
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PAIRS, strict=True)], schema=_PAIRS)
-
-        return run
-
-    @staticmethod
-    def pair_sums(key: tuple, batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py(), np.uint32, np.uint32) for x in batches["body"]]
-        every, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([_pack(every, n)], pa.binary())], schema=_PAIRS)
-
-    def scores(self, shared):
-        def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-            model = shared.value
-            rows = self.rows(block)
-            words, token, size = _coded(r[1] for r in rows)
-            h, kind = self.hashes(words)
-            shard = (h % np.uint64(self.shards)).astype(np.int64)
-            count, tables = np.zeros(len(words)), np.zeros(len(words))
-            for s, body in zip(answers["shard"].to_pylist(), answers["body"], strict=True):
-                c, t = _unpack(body.as_py(), np.uint32, np.float32)
-                at = np.flatnonzero(shard == s)
-                count[at], tables[at] = c, t
-            symbol = self.symbol_of(h, kind, model["often"])
-            customers, held, kinds = model["classes"]
-            inside = (count - DISCOUNT * tables + (STRENGTH + DISCOUNT * held[kind]) / (kinds[kind] + 1)) / (STRENGTH + customers[kind])
-            inside = np.where(symbol < self.often, 0.0, np.log10(np.maximum(inside, 1e-300)))
-            now, before, ends = self.sequence(symbol, token, size)
-            text = np.ones(len(now), dtype=bool)
-            text[ends] = False
-            own = model["log"][before, now].astype(np.float64)
-            own[text] += inside[token]
-            whole = np.full(len(now), float(model["ends"]))
-            whole[text] = count[token]
-            n = model["tokens"]
-            base = np.log10((whole + 0.1) / (n + 0.1 * (model["distinct"] + 1)))
-            starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if len(ends) else ends
-            score, base, known = (np.add.reduceat(x, starts) if len(ends) else x for x in (own, base, (whole > 0).astype(np.int64)))
-            out = [
-                pa.array([None if r[0] == NO_ID else r[0] for r in rows], pa.int64()),
-                pa.array([not r[2] for r in rows], pa.bool_()),
-                pa.array(size + 1, pa.int64()),
-                pa.array(known, pa.int64()),
-                pa.array(np.full(len(rows), n), pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.array(score, pa.float64()),
-            ]
-            return pa.table(out, schema=_SCORES)
-
-        return run
-
-
-def score_texts(docs: DataFrame, fold: int = 10, often: int = 1024, classes: int = 256, block_bytes: int = 12 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+        now[inside] = token
+        return h, now, np.concatenate(([len(words)], now[:-1])), ends
+
+    def pairs(self, h: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
+        """By shard: its places in the texts, the distinct pairs there in order of the word before, and the pair of each place."""
+        shard = self.pair_shard(h[before], h[now]).astype(np.int32)
+        order = np.argsort(shard, kind="stable").astype(np.int32)
+        for s, lo, hi in _runs(shard[order]):
+            at = order[lo:hi]
+            key, which = np.unique(before[at] * len(h) + now[at], return_inverse=True)
+            yield s, at, key // len(h), key % len(h), which
+
+    def blobs(self, key: tuple, block: pa.Table) -> pa.Table:
+        """A block's distinct words and pairs and their counts in training documents, by shard."""
+        rows = self.rows(block)
+        h, now, before, ends = self.read(rows)
+        train = np.repeat(np.array([r[2] for r in rows], dtype=bool), np.diff(ends, prepend=-1))
+        number, out = key[0].as_py(), []
+        count = np.bincount(now[train], minlength=len(h)).astype(np.uint32)
+        shard = self.word_shard(h)
+        order = np.argsort(shard, kind="stable")
+        for s, lo, hi in _runs(shard[order]):
+            at = order[lo:hi]
+            out.append((WORDS, s, number, _pack(h[at], count[at])))
+        for s, at, a, b, which in self.pairs(h, now, before):
+            start = np.flatnonzero(np.diff(a, prepend=-1))
+            count = np.bincount(which[train[at]], minlength=len(a)).astype(np.uint32)
+            out.append((PAIRS, s, number, _pack(h[a[start]], np.diff(start, append=len(a)).astype(np.uint32), h[b], count)))
+        return _rows(out, _BLOB)
+
+    def seat(self, key: tuple, blobs: pa.Table, replies: pa.Table | None, model: dict, last: bool) -> pa.Table:
+        """Sum a shard's pairs, seat their customers, and tell the parent's guests; at last answer every block.
+
+        Without replies every pair has one table, the start.
+        """
+        shard = key[0].as_py()
+        if not len(blobs):
+            return _rows([], _SAID)
+        blobs = blobs.sort_by("block")
+        parts = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs["body"]]
+        x, code = np.unique(np.concatenate([np.concatenate((p[0], p[2])) for p in parts]), return_inverse=True)
+        a, b, at = [], [], 0
+        for p in parts:
+            a.append(np.repeat(code[at : at + len(p[0])], p[1]))
+            b.append(code[at + len(p[0]) : at + len(p[0]) + len(p[2])])
+            at += len(p[0]) + len(p[2])
+        every, inverse = np.unique(np.concatenate(a) * len(x) + np.concatenate(b), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([p[3] for p in parts]), len(every)).astype(np.int64)
+        sizes = [len(p[2]) for p in parts]
+        del a, b, code, parts
+        seen = np.flatnonzero(count)
+        before, now = every[seen] // len(x), every[seen] % len(x)
+        seats = Tables(count[seen], np.random.default_rng(shard))
+        mean = np.zeros(len(every))
+        home = self.word_shard(x)
+        order = np.argsort(home, kind="stable")
+        runs = _runs(home[order])
+        if replies is None:
+            mean[seen] = 1
+        else:
+            value, whole = np.zeros(len(x)), np.zeros(len(x))
+            told = dict(zip(replies["shard"].to_pylist(), replies["body"], strict=True))
+            for s, lo, hi in runs:
+                value[order[lo:hi]], whole[order[lo:hi]] = _unpack(told[s].as_py(), np.float32, np.float32)
+            parent = _parent(value, model)[now]
+            whole -= np.bincount(before, np.ones(len(seen)), len(x))  # tables in other shards
+            for k in range(BURN + SAMPLES):
+                of_row = whole + np.bincount(before, seats.tables, len(x))
+                seats.sweep(parent, np.maximum(of_row[before] - seats.tables, 0))
+                if k >= BURN:
+                    mean[seen] += seats.tables / SAMPLES
+        guests = np.bincount(now, seats.tables, len(x)).astype(np.uint32)
+        held = np.bincount(before, mean[seen], len(x)).astype(np.float32)
+        out = [(WORDS, s, shard, _pack(x[order[lo:hi]], guests[order[lo:hi]], held[order[lo:hi]]), None, None, None, None) for s, lo, hi in runs]
+        if last:
+            at = 0
+            for n, size in zip(blobs["block"].to_pylist(), sizes, strict=True):
+                own = inverse[at : at + size]
+                at += size
+                out.append((PAIRS, n, shard, _pack(count[own].astype(np.uint32), mean[own].astype(np.float32)), None, None, None, None))
+        return _rows(out, _SAID)
+
+    def parent(self, key: tuple, said: pa.Table, blobs: pa.Table | None, distinct: int) -> pa.Table:
+        """Seat the parent's guests in a shard of words, and tell the words' values and tables to the shards of pairs or, with blobs, to the blocks."""
+        shard = key[0].as_py()
+        told = [_unpack(x.as_py(), np.uint64, np.uint32, np.float32) for x in said["body"]]
+        x, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in told)]), return_inverse=True)
+        guests = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[1] for p in told)]), len(x)).astype(np.int64)
+        whole = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[2] for p in told)]), len(x))
+        at = np.flatnonzero(guests)
+        seats, held = Tables(guests[at], np.random.default_rng(shard)), np.zeros(len(x))
+        for k in range(BURN + SAMPLES):
+            # a shard's words are a random sample of all: their mean tables stand for all words'
+            rest = seats.tables.mean() * distinct - seats.tables if len(at) else seats.tables
+            seats.sweep(np.full(len(at), 1 / (distinct + 1)), np.maximum(rest, 0))
+            if k >= BURN:
+                held[at] += seats.tables / SAMPLES
+        value = (guests - DISCOUNT * held).astype(np.float32)
+        out = [(None, None, shard, None, 0, 0, int(guests.sum()), float(held.sum()))]
+        if blobs is None:
+            lo = 0
+            for s, p in zip(said["shard"].to_pylist(), told, strict=True):
+                own = inverse[lo : lo + len(p[0])]
+                lo += len(p[0])
+                out.append((PAIRS, s, shard, _pack(value[own], whole[own].astype(np.float32)), None, None, None, None))
+            return _rows(out, _SAID)
+        asked = [_unpack(b.as_py(), np.uint64, np.uint32) for b in blobs["body"]]
+        y, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in asked)]), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[1] for p in asked)]), len(y)).astype(np.int64)
+        known = np.zeros((2, len(y)))
+        known[:, np.searchsorted(y, x)] = value, whole
+        lo = 0
+        for n, p in zip(blobs["block"].to_pylist(), asked, strict=True):
+            own = inverse[lo : lo + len(p[0])]
+            lo += len(p[0])
+            out.append((WORDS, n, shard, _pack(count[own].astype(np.uint32), *known[:, own].astype(np.float32)), None, None, None, None))
+        out[0] = (None, None, shard, None, int(count.sum()), int((count > 0).sum()), int(guests.sum()), float(held.sum()))
+        return _rows(out, _SAID)
+
+    def scores(self, key: tuple, block: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
+        rows = self.rows(block)
+        h, now, before, ends = self.read(rows)
+        told = {(k, s): body for k, s, body in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["body"], strict=True)}
+        count, value, whole = np.zeros((3, len(h)))
+        shard = self.word_shard(h)
+        order = np.argsort(shard, kind="stable")
+        for s, lo, hi in _runs(shard[order]):
+            at = order[lo:hi]
+            count[at], value[at], whole[at] = _unpack(told[WORDS, s].as_py(), np.uint32, np.float32, np.float32)
+        parent, own = _parent(value, model), np.zeros(len(now))
+        for s, at, a, b, which in self.pairs(h, now, before):
+            both, tables = _unpack(told[PAIRS, s].as_py(), np.uint32, np.float32)
+            # every word of a training document is followed by one, so a word's count is its restaurant's too
+            p = (both - DISCOUNT * tables.astype(np.float64) + (STRENGTH + DISCOUNT * whole[a]) * parent[b]) / (STRENGTH + count[a])
+            own[at] = np.log10(p)[which]
+        n = model["tokens"]
+        base = np.log10((count + 0.1) / (n + 0.1 * (model["distinct"] + 1)))[now]
+        starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+        score, base, known = (np.add.reduceat(x, starts) for x in (own, base, (count > 0).astype(np.int64)[now]))
+        out = [
+            pa.array([None if r[0] == NO_ID else r[0] for r in rows], pa.int64()),
+            pa.array([not r[2] for r in rows], pa.bool_()),
+            pa.array(np.diff(ends, prepend=-1), pa.int64()),
+            pa.array(known, pa.int64()),
+            pa.array(np.full(len(rows), n), pa.int64()),
+            pa.array(base, pa.float64()),
+            pa.array(score, pa.float64()),
+        ]
+        return pa.table(out, schema=_SCORES)
+
+
+#: Whole sweeps over the customers of a shard: to forget the start, and to average over.
+BURN, SAMPLES = 2, 3
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, stop) of the runs of equal values."""
+    start = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    return list(zip(sorted_values[start].tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True)) if len(start) else []
+
+
+def _parent(value: np.ndarray, model: dict) -> np.ndarray:
+    """Probabilities of words in the parent; value: guests less the discounts of their tables."""
+    return (value + (STRENGTH + DISCOUNT * model["held"]) / (model["distinct"] + 1)) / (STRENGTH + model["guests"])
+
+
+def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 12 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows whose crc32(doc_id) mod fold is not 0 (a null
     id counts as the empty text).  A text's tokens are its words and an end; a
     null or empty text has the end alone.  Unknown words have the probability of
-    their class's unseen word.  often, classes: frequent words that are symbols
-    of their own, and classes of the others; they bound what is broadcast
-    ((often + classes + 1)^2 numbers).  block_bytes, shard_bytes: text in a
-    block, and text whose words a shard counts; they bound a task's memory.
+    the unseen word.  block_bytes, shard_bytes: text in a block, and text whose
+    words or pairs a shard counts; they bound a task's memory.
     """
     spark = docs.sparkSession
     source = docs.select(ids().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"), (crc_mod("doc_id", fold) != 0).alias("train"))
-    total, ends = source.agg(F.sum(F.octet_length("body")), F.sum(F.col("train").cast("long"))).first()
-    total, ends = total or 0, ends or 0
+    total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-total // block_bytes), min(parts, total // (1 << 20)))
-    steps = _Steps(max(1, -(-total // shard_bytes)), often, classes)
+    shards = max(1, -(-total // shard_bytes))
+    steps = _Steps(shards, -(-shards // 256))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).repartition(max(blocks, parts), "block")
-    blobs = dealt.groupBy("block").applyInArrow(lambda k, t: steps.words(k, t), "shard long, block long, body binary")
-    counted = table(blobs.groupBy("shard").applyInArrow(lambda k, t: steps.counts(k, t), "block long, shard long, body binary, tokens long, distinct long, often array<struct<h:long,c:long,t:double,k:long>>, classes array<array<double>>"), "counted")
-
-    sums = counted.where("block is null")
-    tokens, distinct = sums.agg(F.sum("tokens"), F.sum("distinct")).first()
-    top = sums.select(F.explode("often").alias("x")).select("x.*").orderBy(F.desc("c"), "h").limit(often).collect()
-    held = np.zeros((3, classes))
-    for r in sums.select(F.posexplode("classes").alias("w", "row")).select("w", F.posexplode("row").alias("k", "v")).groupBy("w", "k").agg(F.sum("v").alias("v")).collect():
-        held[r["w"], r["k"]] = r["v"]
-    for r in top:
-        held[:, r["k"]] -= (r["c"], r["t"], 1)
-    hashes = np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
-
-    shared = spark.sparkContext.broadcast(hashes)
-    pairs = source.where("train").select("body").mapInArrow(steps.pairs(shared, steps.shards), "shard long, body binary")
-    summed = pairs.groupBy("shard").applyInArrow(lambda k, t: _Steps.pair_sums(k, t), "shard long, body binary")
-    found = [_unpack(bytes(r["body"]), np.uint32, np.int64) for r in summed.orderBy("shard").collect()]
-    key = np.concatenate([f[0] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-    count = np.concatenate([f[1] for f in found]) if found else key
-    model = {
-        "log": Symbols(steps.symbols, key // steps.symbols, key % steps.symbols, count).log,
-        "often": hashes,
-        "classes": np.maximum(held, 0),
-        "tokens": int(tokens or 0) + int(ends),
-        "distinct": int(distinct or 0) + (ends > 0),
-        "ends": int(ends),
-    }
-    answers = counted.where("block is not null").select("block", "shard", "body")
-    scored = steps.scores(spark.sparkContext.broadcast(model))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda k, a, b: scored(k, a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blobs = table(dealt.groupBy("block").applyInArrow(lambda k, t: steps.blobs(k, t), _ddl(_BLOB)), "blobs")
+    words, pairs = (blobs.where(F.col("kind") == k).select("shard", "block", "body") for k in (WORDS, PAIRS))
+    distinct = words.groupBy("shard").applyInArrow(_distinct, "n long").agg(F.sum("n")).first()[0] or 0
+
+    spark._jvm.System.gc()
+
+    def to(said: DataFrame, kind: int) -> DataFrame:
+        return said.where(F.col("kind") == kind).select("to", "shard", "body")
+
+    def sums(said: DataFrame) -> dict:
+        r = said.where("kind is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "guests", "held"))).first()
+        return r.asDict() | {"distinct": distinct}
+
+    start = table(pairs.groupBy("shard").applyInArrow(lambda k, t: steps.seat(k, t, None, {}, False), _ddl(_SAID)), "start")
+    replies = table(to(start, WORDS).groupBy("to").applyInArrow(lambda k, t: steps.parent(k, t, None, distinct), _ddl(_SAID)), "replies")
+    forget(start)
+    model = sums(replies)
+    seated = table(pairs.groupBy("shard").cogroup(to(replies, PAIRS).groupBy("to")).applyInArrow(lambda k, a, b: steps.seat(k, a, b, model, True), _ddl(_SAID)), "seated")
+    counted = table(to(seated, WORDS).groupBy("to").cogroup(words.groupBy("shard")).applyInArrow(lambda k, a, b: steps.parent(k, a, b, distinct), _ddl(_SAID)), "counted")
+    forget(replies, blobs)
+    known = sums(counted)
+    answers = counted.unionAll(seated.where(F.col("kind") == PAIRS)).where("kind is not null").select("kind", "to", "shard", "body")
+    return dealt.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(lambda k, a, b: steps.scores(k, a, b, known), _ddl(_SCORES))
+
+
+def _distinct(key: tuple, blobs: pa.Table) -> pa.Table:
+    """The number of a shard's words that occur in training documents."""
+    parts = [_unpack(x.as_py(), np.uint64, np.uint32) for x in blobs["body"]]
+    return pa.table({"n": pa.array([len(np.unique(np.concatenate([p[0][p[1] > 0] for p in parts])))], pa.int64())})
