@@ -426,6 +426,19 @@ def test_quality(judged):
     assert {r["score"] for r in quality.quality(docs, quality.learn(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_reads_whole_tokens():
+    lexicon = quality.Lexicon(quality.WORDS, quality.FORMS, room=5000)
+    buckets = lambda t: [set(x[0].tolist()) for x in lexicon.read([t])[0][2:]]
+    names = ["".join(random.Random(k).choices("abcdefgh", k=8)) for k in range(300)]
+    # words without white space between them are the words of the text
+    assert buckets("|".join(names))[0] == buckets(" ".join(names))[0] and len(buckets("|".join(names))[0]) > 250
+    # and the end of a long token's shape counts
+    assert buckets("|".join(names) + "%%%%%%")[1] - buckets("|".join(names))[1]
+    lexicon.read([" ".join(names)])
+    lexicon.read(["a"])
+    assert len(lexicon) == 1
+
+
 def test_toxicity(judged):
     docs, labels = judged
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs.selectExpr("*", "1 as row"), toxicity.learn(docs, labels)).collect()}

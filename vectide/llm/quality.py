@@ -29,7 +29,7 @@ MEASURES, STEPS = 7, 32
 
 def measures(text: str, rows: np.ndarray, n: np.ndarray) -> list[int]:
     """Length, share of letters, share of tokens with a word, their length, repetition of tokens and lines, length of lines; in steps."""
-    tokens, worded = max(1.0, n.sum()), n[rows[:, 0] >= 0]
+    tokens, worded = max(1.0, n.sum()), n[rows[:, 0] > 0]
     lines = [x for x in text.split("\n") if x.strip()]
     values = (
         np.log2(1 + len(text)) / 2,
@@ -43,13 +43,12 @@ def measures(text: str, rows: np.ndarray, n: np.ndarray) -> list[int]:
     return [k * STEPS + min(STEPS - 1, round(float(v))) for k, v in enumerate(values)]
 
 
-def terms(text: str | None, rows: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple]:
+def terms(text: str | None, rows: np.ndarray, n: np.ndarray, words: tuple, forms: tuple) -> tuple[tuple, tuple]:
     """Buckets and counts of the word space and of the form space; a measure weighs as much as a form that takes an eighth of the text."""
-    has = rows[:, 0] >= 0
-    forms, sums = summed(rows[:, 1], n)
+    forms, sums = summed(*forms)
     own = measures(text or "", rows, n)
     form = (np.concatenate((forms + MEASURES * STEPS, own)), np.concatenate((sums, np.full(len(own), 1 + n.sum() / 8))))
-    return summed(rows[has, 0], n[has]), form
+    return summed(*words), form
 
 
 class Space:
