@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,11 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on this machine alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="vectide-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -76,3 +80,23 @@ def by_bytes(texts: pa.Array, most: int):
         stop = max(stop, start + 1)
         yield start, stop
         start = stop
+
+
+def packed(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """Rows of docs as one struct column `row`, and what reads the texts from a batch of them; a text goes to Python once.
+
+    A text column that is no string is cast, into a column beside the row.
+    """
+    at = [k for k, f in enumerate(docs.schema.fields) if f.name.lower() == text_col.lower() and f.dataType.simpleString() == "string"]
+    if at:
+        return docs.select(F.struct("*").alias("row")), lambda b: b["row"].field(at[0])
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")), lambda b: b["text"]
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
