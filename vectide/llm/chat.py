@@ -182,8 +182,9 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 def read_back(pieces: DataFrame) -> DataFrame:
     """A row of counts and digests for each conversation, read from the formatted pieces alone.
 
-    Pieces of a conversation meet in one task, sorted, and are hashed as they
-    pass; none is kept.  A null conv_id is a conversation of its own.
+    Pieces of a conversation meet in one task, sorted by turn, role and text, and
+    are hashed as they pass; none is kept.  A null conv_id is a conversation of
+    its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,5 +214,8 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if done:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
-    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    # the text again: what stands between the first line and the end, without the escapes' backslashes
+    head = F.instr("formatted", "\n")
+    body = F.substring(F.col("formatted"), head + 1, F.length("formatted") - head - len(_END) - 1)
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.regexp_replace(body, r"\\(\\?)", "$1"))
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
