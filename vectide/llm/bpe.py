@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -22,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import by_bytes
+from vectide.llm.common import by_bytes, packed, release
 
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Bytes that the words a task remembers may take, with their ids.
+REMEMBERED = 64 << 20
 #: The public pattern; for any other the whole text goes through the pattern.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -305,7 +306,7 @@ class _Chunks(_Numbers):
 
 
 class Codec:
-    """Texts to ids and back; remembers words within a bound.
+    """Texts to ids and back; remembers words within a bound of bytes, for as long as a task runs.
 
     A text is cut at its spaces first, each space going with what follows, and
     the pattern is applied to the distinct chunks alone: a match holds a space
@@ -322,6 +323,8 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
+        self.replay.pairs.clear()
+        self.held = 0
         self.chunks = _Chunks()
         self.words = _Numbers()
         self.word_ids = _Store()
@@ -349,7 +352,7 @@ class Codec:
 
     def codes(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Chunk numbers of each text, all of them with known ids."""
-        if len(self.chunks) > self.remembered:
+        if self.held > self.remembered:
             self._forget()
         known, words = len(self.chunks), len(self.words)
         codes = [self._numbers(t) for t in texts]
@@ -367,6 +370,8 @@ class Codec:
             self.chunk_ids.add(ids, np.diff(ends))
             text = list(map(str, ids.tolist()))
             self.written += [",".join(text[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            # a chunk and a word each have a dictionary entry and an object, ids are held twice and written once
+            self.held += 300 * len(new) + sum(map(len, new)) + 200 * (len(self.words) - words) + 20 * len(ids)
         return codes
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -382,11 +387,16 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 _DECODERS: dict[str, Decoder] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process."""
+@contextmanager
+def codec(path: str, pattern: str) -> Iterator[Codec]:
+    """For a task: the vocabulary stays with the worker process, what has been remembered goes."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    try:
+        yield _CODECS[path, pattern]
+    finally:
+        _CODECS[path, pattern]._forget()
+        release()
 
 
 def decoder(path: str) -> Decoder:
@@ -396,34 +406,42 @@ def decoder(path: str) -> Decoder:
     return _DECODERS[path]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", exact: str | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
-    """docs with a column `out`, array<int>: the ids of the whole text, without special tokens.
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", exact: str | None = None, keep: list[str] | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
+    """docs, or its columns `keep`, with a column `out`, array<int>: the ids of the whole text, without special tokens.
 
     Null and empty texts give an empty array.  A column of that name is replaced.
     exact: name of a boolean column that tells whether the ids, decoded in the
     same pass, are the text's bytes.  path: a rank file every executor can open,
     as installed with the public tokenizers.
     """
-    docs = docs.drop(out, *filter(None, [exact]))
+    if keep is None:
+        rows, texts_of = packed(docs.drop(out, *filter(None, [exact])), text_col)
+    else:
+        rows, texts_of = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text")), lambda b: b["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in batches:
-            for lo, hi in by_bytes(b["text"], batch_bytes):
-                part = b.slice(lo, hi - lo)
-                texts = part["text"].to_pylist()
-                found = c.encode_batch(texts)
-                columns = {"row": part["row"], out: pa.array(found, pa.list_(pa.int32()))}
-                if exact:
-                    columns[exact] = pa.array([c.decode(x) == (t or "").encode() for x, t in zip(found, texts, strict=True)], pa.bool_())
-                yield pa.record_batch(list(columns.values()), names=list(columns))
-
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+        with codec(path, pattern) as c:
+            for b in batches:
+                own = texts_of(b)
+                for lo, hi in by_bytes(own, batch_bytes):
+                    texts = own.slice(lo, hi - lo).to_pylist()
+                    found = c.encode_batch(texts)
+                    columns = {"row": b["row"].slice(lo, hi - lo), out: _lists(found)}
+                    if exact:
+                        columns[exact] = pa.array([c.decode(x) == (t or "").encode() for x, t in zip(found, texts, strict=True)], pa.bool_())
+                    yield pa.record_batch(list(columns.values()), names=list(columns))
+
     kind = rows.schema["row"].dataType.simpleString()
     more = f", `{exact}` boolean" if exact else ""
     return rows.mapInArrow(run, f"row {kind}, `{out}` array<int>{more}").select("row.*", out, *filter(None, [exact]))
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    """Arrays of ids as one list array, without a Python object for each id."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
+
+
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with a binary column `out`: the bytes of the ids.  Null ids count as none; an unknown id is an error."""
     rows = rows.drop(out)
@@ -441,25 +459,25 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 16 << 20) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, decoded from the ids, and hashed in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in batches:
-            for lo, hi in by_bytes(b["text"], batch_bytes):
-                part = b.slice(lo, hi - lo)
-                codes = c.codes(part["text"].to_pylist())
-                found = [c.chunk_ids.get(x) for x in codes]
-                yield pa.record_batch(
-                    [
-                        part["doc_id"],
-                        pa.array(map(len, found), pa.int64()),
-                        pa.array([hashlib.sha256(c.write(x).encode()).hexdigest() for x in codes], pa.string()),
-                        pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in found], pa.string()),
-                    ],
-                    schema=_DIGEST,
-                )
+        with codec(path, pattern) as c:
+            for b in batches:
+                for lo, hi in by_bytes(b["text"], batch_bytes):
+                    part = b.slice(lo, hi - lo)
+                    codes = c.codes(part["text"].to_pylist())
+                    found = [c.chunk_ids.get(x) for x in codes]
+                    yield pa.record_batch(
+                        [
+                            part["doc_id"],
+                            pa.array(map(len, found), pa.int64()),
+                            pa.array([hashlib.sha256(c.write(x).encode()).hexdigest() for x in codes], pa.string()),
+                            pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in found], pa.string()),
+                        ],
+                        schema=_DIGEST,
+                    )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

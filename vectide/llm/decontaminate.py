@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import by_bytes
+from vectide.llm.common import by_bytes, packed, release
 
 #: Bytes to themselves in lower case if they belong to a word, to a space if not.
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -182,6 +182,15 @@ def _matcher(blocks, shard_bytes: int):
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, block_bytes: int) -> tuple[int, Iterator[Windows]]:
+    """The number of blocks of some `block_bytes` that the items are dealt into, and their windows, made one after another."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-total // block_bytes))
+    dealt = (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items for k in range(passes))
+    return passes, (Windows([tuple(r) for r in block.toLocalIterator()], window) for block in dealt)
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """The columns `keep` of docs, n_words, hits (runs of hit words) and items (sorted as strings), a row for each document.
 
@@ -192,20 +201,14 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], te
     larger benchmark takes more passes, whose rows are merged on a row number
     made of the kept columns' own rows.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // block_bytes))
+    passes, blocks = _blocks(benchmark, item_col, item_text, window, block_bytes)
     spark = docs.sparkSession
     if passes == 1:
         source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     else:  # a key of the row itself; equal rows have equal answers
         source = docs.select(*keep, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    parts = []
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items
-        windows = Windows([tuple(r) for r in block.toLocalIterator()], window)
-        parts.append(source.mapInArrow(_matcher(spark.sparkContext.broadcast(windows), shard_bytes), f"{schema + ', ' if schema else ''}{_MATCH}"))
+    parts = [source.mapInArrow(_matcher(spark.sparkContext.broadcast(windows), shard_bytes), f"{schema + ', ' if schema else ''}{_MATCH}") for windows in blocks]
     if passes == 1:
         return parts[0]
     # every pass answers for the same texts, so the merge is on distinct texts
@@ -229,11 +232,30 @@ def _union_runs(column: str):
     return F.aggregate(F.array_sort(column), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"), step)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without those in which a benchmark window occurs; columns and rows else as they were."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    found = benchmark_matches(rows, benchmark, ["_row"], window=window)
-    return found.where(F.size("hits") == 0).select("_row.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+    """docs without those in which a benchmark window occurs; columns and rows else as they were.
+
+    One pass over the documents for each block of the benchmark, as in benchmark_matches.
+    """
+    for windows in _blocks(benchmark, "item_id", "text", window, block_bytes)[1]:
+        rows, texts_of = packed(docs, "text")
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+        docs = rows.mapInArrow(_clean(shared, texts_of, shard_bytes), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs
+
+
+def _clean(shared, texts_of, shard_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                texts = texts_of(b)
+                for lo, hi in by_bytes(texts, shard_bytes):
+                    free = [not x[1] for x in match_shard(shared.value, texts.slice(lo, hi - lo).to_pylist())]
+                    yield pa.record_batch([b["row"].slice(lo, hi - lo).filter(pa.array(free, pa.bool_()))], names=["row"])
+        finally:
+            release()
+
+    return run
 
 
 def digest(items: list[str]) -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import by_bytes, ids, shown, table
+from vectide.llm.common import by_bytes, ids, release, shown, table
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
