@@ -24,9 +24,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identifiable language; those without letters (null and empty ones too) or with an uncertain language go."""
     model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    found = langid.identify(rows, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= CERTAIN)).select("_row.*")
+    return langid.identified(docs, model, CERTAIN)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and exact (the decoded ids are the text's bytes)."""
-    rows = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, exact="exact")
+    coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, exact="exact", keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
