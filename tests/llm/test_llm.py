@@ -160,8 +160,10 @@ def test_near_duplicates(docs, size, percent):
     assert sorted((r["component_id"] is None, r["kept"]) for r in nulls) == [(False, False), (True, True)]
 
 
-def test_dense_group_is_whole(spark):
+@pytest.mark.parametrize("size", [1024, 12])
+def test_dense_group_is_whole(spark, monkeypatch, size):
     """Copies that are all near each other, some linked and some not: what shares no hub is met bin by bin."""
+    monkeypatch.setattr(minhash, "BIN", size)
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
     rows = []
@@ -175,6 +177,47 @@ def test_dense_group_is_whole(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_links_of_two_bins_are_a_forest():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    s = minhash.Signer(10, 6, 1, 192)
+    rows = []
+    for k in range(60):
+        own = base.copy()
+        own[rng.choice(200, 30, replace=False)] = rng.integers(0, 1 << 60, 30).astype(np.uint64)
+        rows.append((k, np.unique(own)))
+    wides = s.sign([x for _, x in rows])[1]
+    held = [[k, k, k % 2, w.tobytes(), x.tobytes()] for (k, x), w in zip(rows, wides, strict=True)]
+    got = minhash._forest(held, 192, 192, 57)
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and a % 2 != b % 2 and 100 * len(np.intersect1d(x, y)) >= 57 * len(np.union1d(x, y))}
+    assert {(min(p), max(p)) for p in got} <= near and len(got) < 60
+
+    def parts(links):
+        root = list(range(60))
+        for _ in range(60):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert near and parts(got) == parts(near)
+
+
+def test_classes_get_numbers_of_their_own(spark):
+    classes = spark.createDataFrame([(bytes([k, 7]), k) for k in range(200)], "set_key binary, first_id long")
+    got = minhash._numbered(classes, bits=12)
+    assert got.count() == 200 == got.select("cid").distinct().count()
+
+
+def test_long_texts_of_many_words(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(60_000)]
+    other = list(words)
+    other[30_000] = "changed"
+    rows = [(0, " ".join(words)), (1, " ".join(other)), (2, " ".join(words[:30_000])), (3, "")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
 def test_near_dedup_keeps_columns(docs, empty):
     left = minhash.near_dedup(docs)
     assert left.columns == docs.columns

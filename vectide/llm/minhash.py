@@ -11,16 +11,18 @@ others are confirmed on their full sets.
 
 Texts with equal sets are one class from the start.  A key's classes are not
 paired with each other: each is compared with the key's hub and its first member,
-links are joined into components, and only pairs that share a key but no
-component are then compared, all of them, bin against bin: what is shuffled are
-sets and the bins they meet, not pairs.
+and links are joined into components.  Classes that a chain of keys joins, while
+their components differ, are a family: all its pairs from different components
+are compared, bin against bin.  What is shuffled are sets and the bins they meet,
+and what comes out of two bins are the links that join components, fewer than
+the bins have classes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from vectide.llm.common import by_bytes, ids, release, shown, table
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
-#: Words whose hashes a task remembers.
-REMEMBERED = 200_000
+#: Bytes of words whose hashes a task remembers.
+REMEMBERED = 32 << 20
+#: Classes in a bin, and bytes of their sets.
+BIN, BIN_BYTES = 1024, 16 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -43,16 +47,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
+        if self.held > REMEMBERED:
+            self.forget()
+        self.held += 200 + len(word)
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 _WORDS = _Words()
 
 
+def _done() -> None:
+    """At the end of a task."""
+    _WORDS.forget()
+    release()
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words, of all words if there are fewer; empty without words.
 
@@ -119,30 +136,46 @@ def _set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("cid", pa.int64()), ("sign", pa.binary()), ("wide", pa.binary())])
+_SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sign", pa.binary()), ("wide", pa.binary())])
 
 
 def _signed(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in by_bytes(b["text"], 2 << 20):
-                sets = _sets_of(b["text"].slice(lo, hi - lo), size)
-                some = [s for s in sets if len(s)]
-                signs, wides = (iter(x) for x in signer.sign(some))
-                keys = [_set_key(s) if len(s) else None for s in sets]
-                yield pa.record_batch(
-                    [
-                        b["id"].slice(lo, hi - lo),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
-                        pa.array([next(signs).tobytes() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(wides).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    schema=_SIGNED,
-                )
-
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, cid long, sign binary, wide binary")
+        try:
+            for b in batches:
+                for lo, hi in by_bytes(b["text"], 2 << 20):
+                    sets = _sets_of(b["text"].slice(lo, hi - lo), size)
+                    some = [s for s in sets if len(s)]
+                    signs, wides = (iter(x) for x in signer.sign(some))
+                    yield pa.record_batch(
+                        [
+                            b["id"].slice(lo, hi - lo),
+                            pa.array([len(s) for s in sets], pa.int64()),
+                            pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
+                            pa.array([next(signs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                            pa.array([next(wides).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        ],
+                        schema=_SIGNED,
+                    )
+        finally:
+            _done()
+
+    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, sign binary, wide binary")
+
+
+def _numbered(classes: DataFrame, bits: int = 64) -> DataFrame:
+    """classes, written, with cid, a number of `bits` bits that no other class has.
+
+    It is a hash of the set's 128-bit key; of classes that share one all but the
+    one with the smallest key get another, until none does.
+    """
+    number = lambda k: F.xxhash64("set_key", F.lit(k)).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
+    classes = table(classes.withColumn("cid", number(0)), "classes")
+    for k in count(1):
+        shared = classes.groupBy("cid").agg(F.min("set_key").alias("stays"), F.count("*").alias("n")).where("n > 1").select("cid", "stays")
+        if not shared.limit(1).count():
+            return classes
+        classes = table(classes.join(shared, "cid", "left").withColumn("cid", F.when(F.col("set_key") > F.col("stays"), number(k)).otherwise(F.col("cid"))).drop("stays"), "classes")
 
 
 def _keyed(classes: DataFrame, signer: Signer) -> DataFrame:
@@ -172,116 +205,153 @@ def _near(pairs: DataFrame, classes: DataFrame, signer: Signer, distance: int) -
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _apart(members: DataFrame, signer: Signer, distance: int, block: int = 256) -> DataFrame:
-    """(p, q, cid): classes that have a near one with another label, and the two bins, p <= q, that the pair lies in.
+def _binned(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (cid, label, family, bytes) with bin; and the pairs of bins (p, q), p <= q, that hold different labels of a family.
 
-    members: key, n (of the key), cid, label, bin, sign (wide).  Signatures of a
-    key are compared in blocks against blocks, each pair of blocks in its own
-    group.  What comes out is a row for each class and bin it has to meet, not
-    one for each pair.
+    A label with a share of a family's classes has bins of its own, which need
+    not meet each other; the other labels are dealt out whole.
     """
-
-    def compare(rows: list[tuple]) -> np.ndarray:
-        cid, label, bin_, own = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        sign = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, signer.width)
-        x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
-        near = (sign[x][:, None, :] != sign[y]).sum(2) <= distance
-        i, j = np.nonzero(near & (label[x][:, None] != label[y]))
-        i, j = x[i], y[j]
-        low, high = np.minimum(bin_[i], bin_[j]), np.maximum(bin_[i], bin_[j])
-        return np.unique(np.concatenate((np.stack([low, high, cid[i]]), np.stack([low, high, cid[j]])), 1), axis=1)
+    slots = F.ceil(F.greatest(F.col("n") / BIN, F.col("b") / BIN_BYTES))
+    sums = members.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("own", (F.col("n") >= BIN / 4) | (F.col("b") >= BIN_BYTES / 4))
+    large = sums.where("own").select("family", "label", slots.alias("slots"))
+    small = sums.where("not own").groupBy("family").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).select("family", slots.alias("others"))
+    bin_ = F.when(F.col("slots").isNotNull(), F.xxhash64("family", "label", F.pmod(F.xxhash64("cid"), "slots"))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("label"), "others")))
+    bins = table(members.join(large, ["family", "label"], "left").join(small, "family", "left").select("cid", "label", "family", bin_.alias("bin")), "bins")
+    kinds = bins.groupBy("family", "bin").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left, right = (kinds.select("family", *(F.col(c).alias(c + x) for c in ("bin", "lo", "hi"))) for x in "pq")
+    met = left.join(right, "family").where("binp < binq and not (lop = hip and loq = hiq and lop = loq)")
+    return bins, met.selectExpr("binp as p", "binq as q").unionByName(kinds.where("lo < hi").selectExpr("bin as p", "bin as q"))
+
+
+_RUNS = ("p", "q", "cid", "label", "bin", "wide")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """(p, q), and the rows of a pair of bins: arrays of cid, label and bin, the signatures, and lists of further columns; rows come sorted."""
+    now, held = None, []
+    for b in batches:
+        for p, q, *row in zip(*(b[c].to_pylist() for c in columns), strict=True):
+            if (p, q) != now:
+                if len(held) > 1:
+                    yield now, held
+                now, held = (p, q), []
+            held.append(row)
+    if len(held) > 1:
+        yield now, held
+
+
+def _close(rows: list[list], width: int, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of the first bin, each with those of the second whose wide signatures are near and whose labels differ."""
+    label, bin_ = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
+    sign = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, width)
+    x, y = np.flatnonzero(bin_ == bin_.min()), np.flatnonzero(bin_ == bin_.max())
+    theirs, labels = np.ascontiguousarray(sign[y]), label[y]
+    for i in x.tolist():
+        other = np.flatnonzero(labels != label[i])
+        if len(other):
+            near = other[(theirs[other] != sign[i]).sum(1) <= distance] if len(other) < len(y) else np.flatnonzero((theirs != sign[i]).sum(1) <= distance)
+            if len(near):
+                yield i, y[near]
+
+
+def _apart(rows: DataFrame, width: int, distance: int) -> DataFrame:
+    """Of the rows (p, q, cid, label, bin, wide) those (p, q, cid) that are near one of another label: no more than came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-        done = lambda: pa.record_batch(list(np.unique(np.concatenate(out, 1), axis=1)), names=["p", "q", "cid"])
-        for b in batches:
-            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "cid", "label", "bin", "own", "sign")), strict=True):
-                if (key, i, j) != now:
-                    if len(held) > 1:
-                        out.append(compare(held))
-                    now, held = (key, i, j), []
-                held.append(row)
-            if sum(x.shape[1] for x in out) > 200_000:
-                yield done()
-                out = []
-        if len(held) > 1:
-            out.append(compare(held))
-        if out:
-            yield done()
-
-    blocks = F.ceil(F.col("n") / block)
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks)).select("key", "cid", "label", "bin", "own", "sign", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "bin", "own", "sign")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "p long, q long, cid long").distinct()
-
-
-def _met(meet: DataFrame, told: DataFrame, docs: DataFrame, classes: DataFrame, signer: Signer, distance: int, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different labels that meet in a pair of bins; told: cid, label, bin.
-
-    A pair of bins is a group of some hundreds of sets.  Its near pairs are
-    confirmed there, and only links come out.
+        for (p, q), held in _groups(batches, _RUNS):
+            hit: set[int] = set()
+            for i, near in _close(held, width, distance):
+                hit.add(i)
+                hit.update(near.tolist())
+            if hit:
+                cids = [held[k][0] for k in sorted(hit)]
+                yield pa.record_batch([pa.array([p] * len(cids), pa.int64()), pa.array([q] * len(cids), pa.int64()), pa.array(cids, pa.int64())], names=["p", "q", "cid"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "p long, q long, cid long")
+
+
+def _forest(rows: list[list], width: int, distance: int, percent: int) -> list[tuple[int, int]]:
+    """Links, confirmed on the sets, that join the components of two bins: a spanning forest."""
+    root = {r[1]: r[1] for r in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sets = [np.frombuffer(r[4], dtype=_U) for r in rows]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    marked, out = np.zeros(len(every), dtype=bool), []
+    for i, near in _close(rows, width, distance):
+        near = np.array([j for j in near.tolist() if find(rows[j][1]) != find(rows[i][1])], dtype=np.int64)
+        near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+        if not len(near):
+            continue
+        own = code[start[i] : start[i] + size[i]]
+        marked[own] = True
+        flat = np.concatenate([code[start[j] : start[j] + size[j]] for j in near.tolist()])
+        both = np.add.reduceat(marked[flat].astype(np.int64), np.cumsum(size[near]) - size[near])
+        marked[own] = False
+        for j in near[100 * both >= percent * (size[i] + size[near] - both)].tolist():
+            a, b = find(rows[i][1]), find(rows[j][1])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _met(members: DataFrame, docs: DataFrame, classes: DataFrame, signer: Signer, distance: int, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that join the labels of members (cid, label, family, bytes); None if none are even near.
+
+    First signatures meet, bin against bin; then the sets of what is near.
     """
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        label, bin_ = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
-        sign = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(-1, signer.width)
-        sets = [np.frombuffer(r[4], dtype=_U) for r in rows]
-        x, y = np.flatnonzero(bin_ == bin_.min()), np.flatnonzero(bin_ == bin_.max())
-        same, out = bin_.min() == bin_.max(), []
-        for i in x.tolist():
-            near = y[((sign[y] != sign[i]).sum(1) <= distance) & (label[y] != label[i])]
-            for j in near.tolist():
-                n, m = len(sets[i]), len(sets[j])
-                if (same and j < i) or 100 * min(n, m) < percent * max(n, m):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n + m - both):
-                    out.append((rows[i][0], rows[j][0]))
-        return out
+    bins, pairs = _binned(members)
+    pairs = table(pairs.distinct(), "pairs")
+    dealt = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("bin")).join(bins.select("bin", "cid", "label"), "bin")
+    known = dealt.join(classes.select("cid", "wide"), "cid").select(*_RUNS)
+    near = table(_apart(known, signer.width, distance), "meet")
+    if not near.limit(1).count():
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-        for b in batches:
-            for p, q, *row in zip(*(b[c].to_pylist() for c in ("p", "q", "cid", "label", "bin", "sign", "body")), strict=True):
-                if (p, q) != now:
-                    if len(held) > 1:
-                        out += links(held)
-                    now, held = (p, q), []
-                held.append(row)
-        if len(held) > 1:
-            out += links(held)
-        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    wanted = meet.select("cid").distinct()
-    known = told.select("cid", "label", "bin").distinct().join(classes.select("cid", F.col("wide").alias("sign")), "cid")
-    body = _sets(docs, classes, wanted, size).dropDuplicates(["cid"])
-    rows = meet.join(known, "cid").join(body, "cid").select("p", "q", "cid", "label", "bin", "sign", "body")
+        for _, held in _groups(batches, (*_RUNS, "body")):
+            out = _forest(held, signer.width, distance, percent)
+            if out:
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    body = _sets(docs, classes, near.select("cid").distinct(), size).dropDuplicates(["cid"])
+    rows = near.join(bins.select("cid", "label", "bin").join(classes.select("cid", "wide"), "cid"), "cid").join(body, "cid").select(*_RUNS, "body")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
+    return table(rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "a long, b long").distinct(), "more")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cid and body, the set, of the wanted classes and a few others, made again from the texts.
+    """cid and body, the set, of the wanted classes, made again from the texts of their first ids; rows that repeat an id repeat the set.
 
     A bitmap of hashed ids, of bounded size, spares most other texts; what it lets
-    through is for the caller to join by class, so it decides nothing.
+    through is joined by id and set, so it decides nothing.
     """
     bits = 1 << 24
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    marked = classes.join(wanted, "cid", "left_semi").select(place("first_id").alias("p"))
-    marks = marked.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-    rows = docs.select("text", place("id").alias("p"))
+    marked = classes.join(wanted, "cid", "left_semi").select("cid", "set_key", F.col("first_id").alias("id"))
+    marks = marked.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    rows = docs.select("id", "text", place("id").alias("p"))
     rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("p") == F.col("bucket"))
     rows = rows.where(F.expr("(shiftright(cast(conv(hex(substring(bitmap, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(p) % 8 as int)) & 1) = 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in by_bytes(b["text"], 2 << 20):
-                found = [s for s in _sets_of(b["text"].slice(lo, hi - lo), size) if len(s)]
-                yield pa.record_batch([pa.array([int.from_bytes(_set_key(s)[:8], "little", signed=True) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "body"])
+        try:
+            for b in batches:
+                for lo, hi in by_bytes(b["text"], 2 << 20):
+                    found = [(i, s) for i, s in zip(b["id"].slice(lo, hi - lo).to_pylist(), _sets_of(b["text"].slice(lo, hi - lo), size), strict=True) if len(s)]
+                    yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([_set_key(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "set_key", "body"])
+        finally:
+            _done()
 
-    return rows.select("text").mapInArrow(run, "cid long, body binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, set_key binary, body binary").join(marked, ["id", "set_key"]).select("cid", "body")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -294,6 +364,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     members = salted.select(F.col("b").alias("cid"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("member"))
     pivots = salted.select("a", "salts").distinct().select(F.col("a").alias("cid"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
     need = members.unionByName(pivots)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, dtype=_U)
         for b in batches:
@@ -339,8 +410,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """members (key, cid, label) of the keys with several labels, and n, the key's members."""
-    several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l <> h").select("key", "n")
+    """members (key, cid, label) of the keys with several labels."""
+    several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     return members.join(several, "key")
 
 
@@ -361,17 +432,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(ids(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = table(_signed(texts, signer, size), "signed")
     sets = signed.where("set_key is not null")
-    classes = table(sets.groupBy("set_key").agg(F.min("id").alias("first_id"), F.first("cid").alias("cid"), F.first("sign").alias("sign"), F.first("wide").alias("wide")), "classes")
-    if classes.groupBy("cid").count().where("count > 1").limit(1).count():
-        raise ValueError("two different sets share a 64-bit key")
+    classes = _numbered(sets.groupBy("set_key").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"), F.first("wide").alias("wide")))
 
     keyed = _keyed(classes, signer)
     crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = table(keyed.join(crowd, "key"), "buckets")
     degree = buckets.groupBy("cid").agg(F.sum("n").alias("degree"))
     ranked = buckets.join(degree, "cid")
-    heads = ranked.groupBy("key").agg(F.max_by("cid", F.struct("degree", F.col("cid"))).alias("hub"), F.min("cid").alias("low"))
-    led = buckets.join(heads, "key").where("n > 1")
+    heads = table(ranked.groupBy("key").agg(F.max_by("cid", F.struct("degree", F.col("cid"))).alias("hub"), F.min("cid").alias("low")), "heads")
+    led = buckets.join(heads, "key")
     best = lambda c: led.where(F.col("cid") != F.col(c)).groupBy("cid", c).agg(F.count("*").alias("k")).groupBy("cid").agg(F.max_by(c, F.struct("k", F.col(c))).alias("other"))
     tried = table(best("hub").unionByName(best("low")).select(F.least("cid", "other").alias("low"), F.greatest("cid", "other").alias("high")).distinct(), "tried")
     # the more connected of two is the pivot, so that a hub's set is sent to few tasks
@@ -382,23 +451,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = components(links)
     told = buckets.select("key", "cid").join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    told = _mixed(told)
-    # classes with the same hub share bins of about a hundred
-    led_by = best("hub").withColumnRenamed("other", "hub")
-    group = told.select("cid").distinct().join(led_by, "cid", "left").select("cid", F.coalesce("hub", "cid").alias("hub"))
-    bins = group.join(group.groupBy("hub").agg(F.ceil(F.count("*") / 128).alias("slots")), "hub").select("cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), "slots")).alias("bin"))
-    told = table(told.join(bins, "cid"), "told")
-    meet = table(_apart(told.join(classes.select("cid", F.col("wide").alias("sign")), "cid"), signer, distance), "meet")
-    if meet.limit(1).count():
-        more = table(_met(meet, told, texts, classes, signer, distance, size, percent), "more")
-        if more.limit(1).count():
+    told = table(_mixed(told), "told")
+    if told.limit(1).count():
+        family = components(told.join(heads, "key").select(F.col("cid").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "family")
+        members = told.select("cid", "label").distinct().join(family, "cid").join(classes.select("cid", (8 * F.col("n")).alias("bytes")), "cid")
+        more = _met(members, texts, classes, signer, distance, size, percent)
+        if more is not None and more.limit(1).count():
             label = components(links.unionByName(more))
 
     labelled = classes.select("set_key", "cid", "first_id").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
     of_class = labelled.join(least, "label").select("set_key", F.col("first_id").alias("class"), "component")
-    found = signed.select("id", "set_key", "n_shingles").distinct().join(of_class, "set_key", "left")
-    found = found.select("id", "n_shingles", F.coalesce("class", "id").alias("class"), F.coalesce("component", "id").alias("component"))
+    rows = signed.select("id", "set_key", "n_shingles").distinct()
+    alone = rows.where("set_key is null").select("id", "n_shingles", F.col("id").alias("class"), F.col("id").alias("component"))
+    found = rows.join(of_class, "set_key").select("id", "n_shingles", "class", "component").unionByName(alone)
     return found.select(
         shown("id").alias("doc_id"),
         "n_shingles",
