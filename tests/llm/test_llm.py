@@ -315,24 +315,133 @@ def test_language_model(docs, empty):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc(r["doc_id"], 10) == 0, len(c), sum(x > 0 for x in c), n)
         assert math.isclose(r["base_score"], sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c), rel_tol=1e-9) and r["score"] < 0
     assert hpylm.score_texts(empty).count() == 0
+    # result columns that are there already, a long text, and rows dealt out in any other way
+    odd = docs.selectExpr("*", "1 as score", "2 as train", "3 as id", "4 as body", "5 as block").repartition(7)
+    odd = odd.unionByName(odd.limit(1).selectExpr("777L as doc_id", "repeat('many words of a long text ', 20000) as text", "lang", "source", "n_chars", "score", "train", "id", "body", "block"))
+    again = hpylm.score_texts(odd, block_bytes=3000, shard_bytes=3000)
+    assert again.count() == len(rows) + 1 and again.where("doc_id = 777").first()["n_tokens"] == 6 * 20000 + 1
 
 
-def test_symbol_probabilities_add_up():
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 1 << 48, 1000).astype(np.uint64), np.zeros(0, dtype=np.uint32), rng.random(7).astype(np.float32), np.array([3], dtype=np.int64)]
+    for x, y in zip(arrays, hpylm._unpack(hpylm._pack(*arrays), np.uint64, np.uint32, np.float32, np.int64), strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_tables_agree_with_enumeration():
+    """Mean tables of small dishes against all seatings, each with its product of weights."""
+    d, theta = hpylm.DISCOUNT, hpylm.STRENGTH
+
+    def exact(n, base, rest):
+        weight = Counter()
+
+        def seat(sizes, w, left):
+            if not left:
+                weight[len(sizes)] += w
+                return
+            for k, c in enumerate(sizes):
+                seat([*sizes[:k], c + 1, *sizes[k + 1 :]], w * (c - d), left - 1)
+            seat([*sizes, 1], w * base * (theta + d * (rest + len(sizes))), left - 1)
+
+        seat([], 1.0, n)
+        return sum(t * w for t, w in weight.items()) / sum(weight.values())
+
+    for n, base, rest in ((2, 0.3, 0), (5, 0.1, 40), (7, 0.02, 300), (6, 0.9, 2)):
+        s = hpylm.Tables(np.full(20_000, n), np.random.default_rng(n))
+        s.sweep(np.full(20_000, base), np.full(20_000, rest))
+        assert abs(s.tables.mean() - exact(n, base, rest)) < 0.03
+
+
+def test_word_restaurants_add_up():
     rng = np.random.default_rng(4)
-    pairs = np.unique(rng.integers(0, 20, (150, 2)), axis=0)
-    p = 10 ** hpylm.Symbols(20, pairs[:, 0], pairs[:, 1], rng.integers(1, 60, len(pairs))).log.astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(3)
-    n = rng.integers(1, 200, 300)
-    s = hpylm.Seating(n, 0.75, rng)
-    for _ in range(40):
-        s.move(np.full(300, 2.0))
-    sums = np.add.reduceat(s.size, s.start)
-    used = np.add.reduceat((s.size > 0).astype(int), s.start)
-    assert np.array_equal(sums, n[s.open]) and np.array_equal(used, s.tables[s.open]) and (s.tables <= n).all() and s.tables.max() > 1
+    n, rows = 30, 12
+    count = rng.integers(0, 50, (rows, n)) * (rng.random((rows, n)) < 0.3)
+    tables = np.where(count > 0, 1 + (count - 1) * rng.random((rows, n)), 0)
+    guests, held = tables.sum(0).round(), np.minimum(tables.sum(0).round(), 2.0)
+    model = {"distinct": n, "guests": guests.sum(), "held": held.sum()}
+    parent = hpylm._parent(guests - hpylm.DISCOUNT * held, model)
+    unseen = hpylm._parent(np.zeros(1), model)
+    assert math.isclose(parent.sum() + unseen[0], 1)
+    for k in range(rows):
+        p = hpylm.predictive(np.append(count[k], 0), np.append(tables[k], 0), tables[k].sum(), count[k].sum(), np.append(parent, unseen))
+        assert math.isclose(p.sum(), 1) and (p > 0).all()
+
+
+def plain_sampler(texts, sweeps, seed):
+    """A Gibbs sampler of the same model, one customer at a time; log10 P(word | before) averaged over sweeps."""
+    rng, d, theta = random.Random(seed), hpylm.DISCOUNT, hpylm.STRENGTH
+    pairs = [p for t in texts for p in zip([" ", *t], [*t, " "], strict=True)]
+    vocabulary = {w for _, w in pairs}
+    rest = defaultdict(lambda: defaultdict(list))  # restaurant, dish: customers of each table
+    customers, tables = Counter(), Counter()
+
+    def p(r, w):
+        if r is None:
+            low = 1 / (len(vocabulary) + 1)
+        else:
+            low = p(None, w)
+        own = rest[r][w] if w in rest[r] else []
+        return (sum(own) - d * len(own) + (theta + d * tables[r]) * low) / (theta + customers[r])
+
+    def add(r, w):
+        own = rest[r][w]
+        low = p(None, w) if r is not None else 1 / (len(vocabulary) + 1)
+        weights = [c - d for c in own] + [(theta + d * tables[r]) * low]
+        k = rng.choices(range(len(weights)), weights)[0]
+        customers[r] += 1
+        if k == len(own):
+            own.append(1)
+            tables[r] += 1
+            if r is not None:
+                add(None, w)
+        else:
+            own[k] += 1
+
+    def remove(r, w):
+        own = rest[r][w]
+        k = rng.choices(range(len(own)), own)[0]
+        customers[r] -= 1
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            tables[r] -= 1
+            if r is not None:
+                remove(None, w)
+
+    for x in pairs:
+        add(*x)
+    total = Counter()
+    for k in range(sweeps):
+        for x in pairs:
+            remove(*x)
+            add(*x)
+        if k >= sweeps // 2:
+            for a in [*vocabulary]:
+                for b in [*vocabulary, None]:
+                    total[a, b] += p(a, b) / (sweeps - sweeps // 2)
+    return total
+
+
+def test_scores_are_a_plain_samplers(spark):
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(25)]
+    chain = {w: rng.choices(words, k=6) for w in [" ", *words]}
+
+    def text():
+        out = [rng.choice(chain[" "])]
+        while rng.random() < 0.9:
+            out.append(rng.choice(chain[out[-1]]) if rng.random() < 0.8 else rng.choice(words))
+        return out
+
+    rows = [(k, text()) for k in range(150)] + [(k, [*text(), "never"]) for k in range(150, 170)]
+    want = plain_sampler([t for k, t in rows if crc(k, 10)], 30, 1)
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string"), block_bytes=2000, shard_bytes=1500).collect()}
+    known = {a for a, _ in want}
+    plain = {k: sum(math.log10(want[a, b if b in known else None]) for a, b in zip([" ", *t], [*t, " "], strict=True)) for k, t in rows if set(t) <= known}
+    tokens = sum(len(t) + 1 for k, t in rows if k in plain)
+    assert len(plain) > 120 and abs(sum(got[k] - plain[k] for k in plain)) / tokens < 0.01
+    assert max(abs(got[k] - plain[k]) / (len(t) + 1) for k, t in rows if k in plain) < 0.1
 
 
 def test_sweeps_reseat_every_customer():

@@ -7,11 +7,12 @@ the one before its first.  Sweeps reseat all customers, and a text's score is
 the sum of log10 P(word | word before).
 
 All words and all pairs of neighbouring words of all documents are counted.
-Documents are dealt into blocks; a block sends its distinct words and pairs to
-shards of the hash space and gets back what the whole corpus says of them.
-Restaurants of preceding words are seated in shards of pairs, the parent in
-shards of words; the two sides exchange the guests of the parent and the
-probabilities of words.  Nothing but a few sums goes through the driver.
+Tasks write their documents as blocks of word numbers.  A block sends its
+distinct words and pairs, each once, to shards of the hash space, which number
+what they got in the block's own order: answers need no names.  Restaurants of
+preceding words are seated in shards of pairs, the parent in shards of words;
+the two sides exchange the guests of the parent and the probabilities of words.
+Nothing but a few sums goes through the driver.  Texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from math import lgamma
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import NO_ID, crc_mod, forget, ids, table
+from vectide.llm.common import NO_ID, by_bytes, crc_mod, forget, ids, release, table
 
 #: Share of the tables' pull: discount and strength of the restaurants below and of the parent.
 DISCOUNT, STRENGTH = 0.75, 2.0
@@ -46,68 +49,6 @@ def by_sum(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-class Seating:
-    """Customers of many dishes at tables, and Gibbs moves for one customer of every dish at a time.
-
-    n: customers of each dish, one at least.  Dishes with one customer have one
-    table for good.
-    """
-
-    def __init__(self, n: np.ndarray, discount: float, rng: np.random.Generator):
-        self.n, self.d, self.rng = n.astype(np.int64), discount, rng
-        self.tables = np.ones(len(n), dtype=np.int64)
-        self.open = np.flatnonzero(self.n > 1)
-        room = np.minimum(self.n[self.open], 4)
-        self.start = np.cumsum(room) - room
-        self.room = room
-        self.size = np.zeros(int(room.sum()), dtype=np.float64)
-        self.size[self.start] = self.n[self.open]
-
-    def _widen(self, which: np.ndarray) -> None:
-        """Twice the room for tables of these open dishes."""
-        room = self.room.copy()
-        room[which] = np.minimum(room[which] * 2, self.n[self.open[which]])
-        start = np.cumsum(room) - room
-        size = np.zeros(int(room.sum()))
-        own = np.repeat(np.arange(len(room)), self.room)
-        size[start[own] + np.arange(len(self.size)) - self.start[own]] = self.size
-        self.size, self.start, self.room = size, start, room
-
-    def _pick(self, weight: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """A table of each of these open dishes, in proportion to weight."""
-        total = np.concatenate(([0.0], np.cumsum(weight)))
-        lo, hi = total[self.start[which]], total[self.start[which] + self.room[which]]
-        at = np.searchsorted(total, lo + self.rng.random(len(which)) * (hi - lo), "right") - 1
-        at = np.clip(at, self.start[which], self.start[which] + self.room[which] - 1)
-        bad = weight[at] <= 0  # rounding led to an empty table: take the largest
-        for k in np.flatnonzero(bad).tolist():
-            s = self.start[which[k]]
-            at[k] = s + int(np.argmax(weight[s : s + self.room[which[k]]]))
-        return at
-
-    def move(self, fresh: np.ndarray) -> None:
-        """Take a customer of every dish from its seat and seat it again; fresh: weight of a new table for each dish."""
-        if not len(self.open):
-            return
-        every = np.arange(len(self.open))
-        at = self._pick(self.size, every)
-        self.size[at] -= 1
-        self.tables[self.open] -= self.size[at] == 0
-        join = self.n[self.open] - 1 - self.d * self.tables[self.open]
-        new = self.rng.random(len(every)) * (join + fresh[self.open]) < fresh[self.open]
-        new |= self.tables[self.open] == 0
-        full = every[new & (self.tables[self.open] >= self.room)]
-        if len(full):
-            self._widen(full)
-        stay = every[~new]
-        if len(stay):
-            self.size[self._pick(np.maximum(self.size - self.d, 0), stay)] += 1
-        born = every[new]
-        if len(born):
-            self.size[self._pick((self.size == 0).astype(float), born)] = 1
-            self.tables[self.open[born]] += 1
-
-
 #: Dishes up to this many customers are drawn from exact weights; larger ones by moves that redraw their tables.
 EXACT = 512
 
@@ -196,41 +137,19 @@ class Tables:
         return every[:-1]
 
 
-class Symbols:
-    """The model in memory over numbered symbols: averaged P(symbol | symbol before) as a table of log10."""
-
-    def __init__(self, n: int, before: np.ndarray, symbol: np.ndarray, count: np.ndarray, burn: int = 12, samples: int = 8, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        total = np.bincount(before, count, n)
-        rows = Tables(count, rng)
-        p = np.zeros((n, n))
-        parent = np.full(n, 1 / n)
-        for k in range(burn + samples):
-            of_row = np.bincount(before, rows.tables, n)
-            rows.sweep(parent[symbol], of_row[before] - rows.tables)
-            # the tables of the rows are the parent's customers
-            guests = np.bincount(symbol, rows.tables, n).astype(np.int64)
-            dishes = np.flatnonzero(guests)
-            top = Tables(guests[dishes], rng)
-            for _ in range(4):
-                top.sweep(np.full(len(dishes), 1 / n), top.tables.sum() - top.tables)
-            held = np.zeros(n, dtype=np.int64)
-            held[dishes] = top.tables
-            parent = (guests - DISCOUNT * held + (STRENGTH + DISCOUNT * held.sum()) / n) / (STRENGTH + guests.sum())
-            if k >= burn:
-                of_row = np.bincount(before, rows.tables, n)
-                p += ((STRENGTH + DISCOUNT * of_row) / (STRENGTH + total))[:, None] * parent
-                np.add.at(p, (before, symbol), (count - DISCOUNT * rows.tables) / (STRENGTH + total[before]))
-        self.log = np.log10(p / samples).astype(np.float32)
-
-
-_BLOB = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
-#: What a shard says: to a block or a shard of the other kind, or (to = null) its sums.
+#: What steps write.  STATE: of a shard, to itself; GUESTS: from pairs to words; VALUES: from words to pairs;
+#: WORDS and PAIRS: to a block.  A shard of words also gives its sums.
 _SAID = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("guests", pa.int64()), ("held", pa.float64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("hashes", pa.binary())])
+_BLOB = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-WORDS, PAIRS = 0, 1
+STATE, GUESTS, VALUES, WORDS, PAIRS = range(5)
 #: Stands for the end of a text; no word holds a space.
 END = b" "
+#: Pairs are told apart, and words meet, by these bits of the words' hashes; counts of words by all 64.
+SHORT = np.uint64((1 << 48) - 1)
+#: Whole sweeps over the customers of a shard: to forget the start, and to average over.
+BURN, SAMPLES = 2, 3
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -244,34 +163,64 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([a.nbytes for a in arrays], dtype=np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays one after another, each compressed: bytes of equal weight lie together."""
+    parts = [zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1) if len(a) else b"" for a in arrays]
+    return np.array([len(p) for p in parts], dtype=np.int64).tobytes() + b"".join(parts)
 
 
-def _unpack(body: bytes, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(body, dtype=np.int64, count=len(kinds))
+def _unpack(body, *kinds) -> list[np.ndarray]:
+    body = memoryview(body)
+    sizes = np.frombuffer(body, dtype=np.int64, count=len(kinds)).tolist()
     at, out = 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(body, dtype=kind, count=n // np.dtype(kind).itemsize, offset=at))
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        flat = np.frombuffer(zstandard.decompress(body[at : at + n]) if n else b"", dtype=np.uint8)
+        out.append(np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel())
         at += n
     return out
 
 
+def _said(kind: int, to: int, shard: int, *arrays: np.ndarray) -> tuple:
+    return kind, to, shard, _pack(*arrays), None, None, None, None
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, stop) of the runs of equal values."""
+    start = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    return list(zip(sorted_values[start].tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True)) if len(start) else []
+
+
+def _steps_of(x: np.ndarray) -> np.ndarray:
+    """An ascending array as its differences."""
+    return np.diff(x, prepend=0).astype(np.uint32)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
 
-def _coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words in order of appearance, the word of each token, tokens of each text."""
     numbers = _Numbers()
     get, parts = numbers.__getitem__, []
     for t in texts:
-        w = t.lower().split() if isinstance(t, bytes) else words_of(t)
+        w = t.lower().split()
         parts.append(np.fromiter(map(get, w), np.int32, len(w)))
     return list(numbers), np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], dtype=np.int64)
 
 
+def predictive(both: np.ndarray, tables: np.ndarray, whole: np.ndarray, count: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """P(word | word before) from the pair's customers and mean tables, the restaurant's tables and customers, and the word's probability in the parent."""
+    return (both - DISCOUNT * tables + (STRENGTH + DISCOUNT * whole) * parent) / (STRENGTH + count)
+
+
+def _parent(value: np.ndarray, model: dict) -> np.ndarray:
+    """Probabilities of words in the parent; value: guests less the discounts of their tables."""
+    return (value + (STRENGTH + DISCOUNT * model["held"]) / (model["distinct"] + 1)) / (STRENGTH + model["guests"])
+
+
 class _Steps:
     """Steps over blocks of documents and shards of words and of pairs.
 
@@ -283,234 +232,245 @@ class _Steps:
         self.shards, self.split = shards, split
 
     def word_shard(self, h: np.ndarray) -> np.ndarray:
-        return (h % np.uint64(self.shards)).astype(np.int64)
+        return ((h & SHORT) % np.uint64(self.shards)).astype(np.int64)
 
-    def pair_shard(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        piece = (now >> np.uint64(40)) % np.uint64(self.split)
-        return (((before >> np.uint64(20)) + piece) % np.uint64(self.shards)).astype(np.int64)
+    def pair_shard(self, home: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (home + piece) % self.shards
 
-    @staticmethod
-    def rows(block: pa.Table) -> list[tuple]:
-        return sorted(zip(*(block[c].to_pylist() for c in ("id", "body", "train")), strict=True))
+    def blocks(self, block_bytes: int):
+        """A task's documents as blocks: ids, whether learned from, tokens, the word of each token, and what deals out pairs; and the words' hashes.
+
+        Words are numbered by shard and hash.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, made = [], 0, 0
+
+            def block() -> pa.RecordBatch:
+                ident, train, texts = (list(c) for c in zip(*held, strict=True))
+                words, token, count = _coded(texts)
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, END]), np.uint64, len(words) + 1)
+                order = np.lexsort((h, h & SHORT, self.word_shard(h)))
+                rank = np.empty(len(h), dtype=np.int32)
+                rank[order] = np.arange(len(h), dtype=np.int32)
+                now = np.full(len(token) + len(count), rank[-1], dtype=np.int32)
+                inside = np.ones(len(now), dtype=bool)
+                inside[np.cumsum(count + 1) - 1] = False
+                now[inside] = rank[token]
+                h = h[order]
+                home = ((h >> np.uint64(20)) % np.uint64(self.shards)).astype(np.uint32)
+                piece = ((h >> np.uint64(40)) % np.uint64(self.split)).astype(np.uint32)
+                number = TaskContext.get().partitionId() << 32 | made
+                body = _pack(np.array(ident, dtype=np.int64), np.array(train, dtype=np.uint8), (count + 1).astype(np.uint32), now, home, piece, np.array([rank[len(words)]], dtype=np.int32))
+                return pa.record_batch([pa.array([number], pa.int64()), pa.array([body], pa.binary()), pa.array([h.tobytes()], pa.binary())], schema=_BLOCK)
+
+            try:
+                for b in batches:
+                    for lo, hi in by_bytes(b["body"], block_bytes // 4):
+                        part = b.slice(lo, hi - lo)
+                        held += zip(part["id"].to_pylist(), part["train"].to_pylist(), part["body"].to_pylist(), strict=True)
+                        size += sum(len(r[2]) for r in held[lo - hi :])
+                        if size >= block_bytes:
+                            yield block()
+                            held, size, made = [], 0, made + 1
+                if held:
+                    yield block()
+            finally:
+                held = []
+                release()
+
+        return run
 
     @staticmethod
-    def read(rows: list[tuple]) -> tuple:
-        """Hashes of the distinct words (the end last), the words of all texts with an end behind each, those before them, and the places of the ends."""
-        words, token, size = _coded(r[1] for r in rows)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*words, END]), np.uint64, len(words) + 1)
-        ends = np.cumsum(size + 1) - 1
-        now = np.full(int(size.sum()) + len(size), len(words), dtype=np.int64)
-        inside = np.ones(len(now), dtype=bool)
-        inside[ends] = False
-        now[inside] = token
-        return h, now, np.concatenate(([len(words)], now[:-1])), ends
-
-    def pairs(self, h: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
-        """By shard: its places in the texts, the distinct pairs there in order of the word before, and the pair of each place."""
-        shard = self.pair_shard(h[before], h[now]).astype(np.int32)
-        order = np.argsort(shard, kind="stable").astype(np.int32)
-        for s, lo, hi in _runs(shard[order]):
-            at = order[lo:hi]
-            key, which = np.unique(before[at] * len(h) + now[at], return_inverse=True)
-            yield s, at, key // len(h), key % len(h), which
-
-    def blobs(self, key: tuple, block: pa.Table) -> pa.Table:
-        """A block's distinct words and pairs and their counts in training documents, by shard."""
-        rows = self.rows(block)
-        h, now, before, ends = self.read(rows)
-        train = np.repeat(np.array([r[2] for r in rows], dtype=bool), np.diff(ends, prepend=-1))
-        number, out = key[0].as_py(), []
-        count = np.bincount(now[train], minlength=len(h)).astype(np.uint32)
-        shard = self.word_shard(h)
+    def read(body: bytes) -> tuple:
+        """ids, train, ends (exclusive) of texts, words, the words before them, home and piece of each distinct word."""
+        ident, train, size, now, home, piece, end = _unpack(body, np.int64, np.uint8, np.uint32, np.int32, np.uint32, np.uint32, np.int32)
+        return ident, train.astype(bool), np.cumsum(size.astype(np.int64)), now, np.concatenate((end, now[:-1])), home.astype(np.int64), piece.astype(np.int64)
+
+    def pairs(self, now: np.ndarray, before: np.ndarray, home: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs in order of shard, word before and word: shard, both words; and the pair of each place."""
+        key, which = np.unique(before.astype(np.int64) << 32 | now, return_inverse=True)
+        a, b = key >> 32, key & 0xFFFFFFFF
+        shard = self.pair_shard(home[a], piece[b])
         order = np.argsort(shard, kind="stable")
-        for s, lo, hi in _runs(shard[order]):
-            at = order[lo:hi]
-            out.append((WORDS, s, number, _pack(h[at], count[at])))
-        for s, at, a, b, which in self.pairs(h, now, before):
-            start = np.flatnonzero(np.diff(a, prepend=-1))
-            count = np.bincount(which[train[at]], minlength=len(a)).astype(np.uint32)
-            out.append((PAIRS, s, number, _pack(h[a[start]], np.diff(start, append=len(a)).astype(np.uint32), h[b], count)))
-        return _rows(out, _BLOB)
-
-    def seat(self, key: tuple, blobs: pa.Table, replies: pa.Table | None, model: dict, last: bool) -> pa.Table:
-        """Sum a shard's pairs, seat their customers, and tell the parent's guests; at last answer every block.
-
-        Without replies every pair has one table, the start.
-        """
-        shard = key[0].as_py()
-        if not len(blobs):
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return shard[order], a[order], b[order], rank[which]
+
+    def blobs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's distinct words and pairs with their counts in training documents, by shard; pairs' shards are numbered behind words'."""
+        try:
+            for batch in batches:
+                for number, body, hashes in zip(batch["block"].to_pylist(), batch["body"], batch["hashes"], strict=True):
+                    _, train, ends, now, before, home, piece = self.read(body.as_buffer())
+                    h = np.frombuffer(hashes.as_buffer(), dtype=np.uint64)
+                    learned = np.repeat(train, np.diff(ends, prepend=0))
+                    count = np.bincount(now[learned], minlength=len(h)).astype(np.uint32)
+                    out = [(s, number, _pack(h[lo:hi], count[lo:hi])) for s, lo, hi in _runs(self.word_shard(h))]
+                    shard, a, b, which = self.pairs(now, before, home, piece)
+                    count = np.bincount(which[learned], minlength=len(a)).astype(np.uint32)
+                    short = h & SHORT
+                    for s, lo, hi in _runs(shard):
+                        start = np.flatnonzero(np.diff(a[lo:hi], prepend=-1))
+                        size = np.diff(start, append=hi - lo).astype(np.uint32)
+                        out.append((self.shards + s, number, _pack(short[a[lo:hi][start]], size, short[b[lo:hi]], count[lo:hi])))
+                    for at in range(0, len(out), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 64], strict=True), _BLOB, strict=True)], schema=_BLOB)
+        finally:
+            release()
+
+    def sums(self, key: tuple, blobs: pa.Table) -> pa.Table:
+        """What blocks sent to a shard, summed, with the places of each block's words or pairs among all; and the first guests."""
+        s, blobs = key[0].as_py(), blobs.sort_by("block")
+        sent = blobs["block"].to_numpy()
+        if s < self.shards:
+            parts = [_unpack(x.as_buffer(), np.uint64, np.uint32) for x in blobs["body"]]
+            x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([p[1] for p in parts]), len(x)).astype(np.int64)
+            size = np.array([len(p[0]) for p in parts], dtype=np.uint32)
+            body = _pack(x, count, sent, size, at.astype(np.uint32))
+            return _rows([(STATE, s, s, body, int(count.sum()), int((count > 0).sum()), None, None)], _SAID)
+        parts = [_unpack(x.as_buffer(), np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs["body"]]
+        # words in order of their own shards
+        x = np.unique(np.concatenate([p[k] for p in parts for k in (0, 2)]))
+        order = np.argsort(self.word_shard(x), kind="stable")
+        rank = np.empty(len(x), dtype=np.int64)
+        rank[order] = np.arange(len(x))
+        code = lambda h: rank[np.searchsorted(x, h)]
+        every = np.concatenate([np.repeat(code(p[0]), p[1]) << 32 | code(p[2]) for p in parts])
+        every, at = np.unique(every, return_inverse=True)
+        count = np.bincount(at, np.concatenate([p[3] for p in parts]), len(every)).astype(np.int64)
+        size = np.array([len(p[2]) for p in parts], dtype=np.uint32)
+        x = x[order]
+        a, b, seen = every >> 32, every & 0xFFFFFFFF, count > 0
+        out = [(STATE, s, s, _pack(x, _steps_of(a), b.astype(np.uint32), count, sent, size, at.astype(np.uint32)), None, None, None, None)]
+        guests = np.bincount(b[seen], minlength=len(x)).astype(np.uint32)
+        held = np.bincount(a[seen], minlength=len(x)).astype(np.float32)
+        out += [_said(GUESTS, to, s, x[lo:hi], guests[lo:hi], held[lo:hi]) for to, lo, hi in _runs(self.word_shard(x))]
+        return _rows(out, _SAID)
+
+    def seat(self, key: tuple, state: pa.Table, replies: pa.Table, model: dict) -> pa.Table:
+        """Seat the customers of a shard's restaurants, tell the parent's guests, and answer every block."""
+        s = key[0].as_py()
+        if not len(state):
             return _rows([], _SAID)
-        blobs = blobs.sort_by("block")
-        parts = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs["body"]]
-        x, code = np.unique(np.concatenate([np.concatenate((p[0], p[2])) for p in parts]), return_inverse=True)
-        a, b, at = [], [], 0
-        for p in parts:
-            a.append(np.repeat(code[at : at + len(p[0])], p[1]))
-            b.append(code[at + len(p[0]) : at + len(p[0]) + len(p[2])])
-            at += len(p[0]) + len(p[2])
-        every, inverse = np.unique(np.concatenate(a) * len(x) + np.concatenate(b), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([p[3] for p in parts]), len(every)).astype(np.int64)
-        sizes = [len(p[2]) for p in parts]
-        del a, b, code, parts
+        x, steps, b, count, sent, size, at = _unpack(state["body"][0].as_buffer(), np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint32)
+        a, b = np.cumsum(steps.astype(np.int64)), b.astype(np.int64)
+        runs = _runs(self.word_shard(x))
+        told = dict(zip(replies["shard"].to_pylist(), replies["body"], strict=True))
+        value, whole = (np.concatenate(c) for c in zip(*(_unpack(told[to].as_buffer(), np.float32, np.float32) for to, _, _ in runs), strict=True))
         seen = np.flatnonzero(count)
-        before, now = every[seen] // len(x), every[seen] % len(x)
-        seats = Tables(count[seen], np.random.default_rng(shard))
-        mean = np.zeros(len(every))
-        home = self.word_shard(x)
-        order = np.argsort(home, kind="stable")
-        runs = _runs(home[order])
-        if replies is None:
-            mean[seen] = 1
-        else:
-            value, whole = np.zeros(len(x)), np.zeros(len(x))
-            told = dict(zip(replies["shard"].to_pylist(), replies["body"], strict=True))
-            for s, lo, hi in runs:
-                value[order[lo:hi]], whole[order[lo:hi]] = _unpack(told[s].as_py(), np.float32, np.float32)
-            parent = _parent(value, model)[now]
-            whole -= np.bincount(before, np.ones(len(seen)), len(x))  # tables in other shards
-            for k in range(BURN + SAMPLES):
-                of_row = whole + np.bincount(before, seats.tables, len(x))
-                seats.sweep(parent, np.maximum(of_row[before] - seats.tables, 0))
-                if k >= BURN:
-                    mean[seen] += seats.tables / SAMPLES
+        before, now = a[seen], b[seen]
+        parent = _parent(value.astype(np.float64), model)[now]
+        elsewhere = whole - np.bincount(before, minlength=len(x))  # tables in other shards
+        seats, mean = Tables(count[seen], np.random.default_rng(s)), np.zeros(len(a))
+        for k in range(BURN + SAMPLES):
+            of_row = elsewhere + np.bincount(before, seats.tables, len(x))
+            seats.sweep(parent, np.maximum(of_row[before] - seats.tables, 0))
+            if k >= BURN:
+                mean[seen] += seats.tables / SAMPLES
         guests = np.bincount(now, seats.tables, len(x)).astype(np.uint32)
         held = np.bincount(before, mean[seen], len(x)).astype(np.float32)
-        out = [(WORDS, s, shard, _pack(x[order[lo:hi]], guests[order[lo:hi]], held[order[lo:hi]]), None, None, None, None) for s, lo, hi in runs]
-        if last:
-            at = 0
-            for n, size in zip(blobs["block"].to_pylist(), sizes, strict=True):
-                own = inverse[at : at + size]
-                at += size
-                out.append((PAIRS, n, shard, _pack(count[own].astype(np.uint32), mean[own].astype(np.float32)), None, None, None, None))
+        out = [_said(GUESTS, to, s, x[lo:hi], guests[lo:hi], held[lo:hi]) for to, lo, hi in runs]
+        count, mean = count.astype(np.uint32), mean.astype(np.float32)
+        at = np.split(at, np.cumsum(size)[:-1])
+        out += [_said(PAIRS, n, s, count[own], mean[own]) for n, own in zip(sent.tolist(), at, strict=True)]
         return _rows(out, _SAID)
 
-    def parent(self, key: tuple, said: pa.Table, blobs: pa.Table | None, distinct: int) -> pa.Table:
-        """Seat the parent's guests in a shard of words, and tell the words' values and tables to the shards of pairs or, with blobs, to the blocks."""
-        shard = key[0].as_py()
-        told = [_unpack(x.as_py(), np.uint64, np.uint32, np.float32) for x in said["body"]]
-        x, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in told)]), return_inverse=True)
-        guests = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[1] for p in told)]), len(x)).astype(np.int64)
-        whole = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[2] for p in told)]), len(x))
-        at = np.flatnonzero(guests)
-        seats, held = Tables(guests[at], np.random.default_rng(shard)), np.zeros(len(x))
+    def parent(self, key: tuple, said: pa.Table, state: pa.Table | None, distinct: int) -> pa.Table:
+        """Seat the parent's guests in a shard of words, and tell the words' values and tables to the shards of pairs or, with state, to the blocks."""
+        s = key[0].as_py()
+        told = [_unpack(x.as_buffer(), np.uint64, np.uint32, np.float32) for x in said["body"]]
+        x, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in told)]), return_inverse=True)
+        guests = np.bincount(at, np.concatenate([np.zeros(0), *(p[1] for p in told)]), len(x)).astype(np.int64)
+        whole = np.bincount(at, np.concatenate([np.zeros(0), *(p[2] for p in told)]), len(x))
+        some = np.flatnonzero(guests)
+        seats, held = Tables(guests[some], np.random.default_rng(s)), np.zeros(len(x))
         for k in range(BURN + SAMPLES):
             # a shard's words are a random sample of all: their mean tables stand for all words'
-            rest = seats.tables.mean() * distinct - seats.tables if len(at) else seats.tables
-            seats.sweep(np.full(len(at), 1 / (distinct + 1)), np.maximum(rest, 0))
+            rest = seats.tables.mean() * distinct - seats.tables if len(some) else seats.tables
+            seats.sweep(np.full(len(some), 1 / (distinct + 1)), np.maximum(rest, 0))
             if k >= BURN:
-                held[at] += seats.tables / SAMPLES
-        value = (guests - DISCOUNT * held).astype(np.float32)
-        out = [(None, None, shard, None, 0, 0, int(guests.sum()), float(held.sum()))]
-        if blobs is None:
-            lo = 0
-            for s, p in zip(said["shard"].to_pylist(), told, strict=True):
-                own = inverse[lo : lo + len(p[0])]
-                lo += len(p[0])
-                out.append((PAIRS, s, shard, _pack(value[own], whole[own].astype(np.float32)), None, None, None, None))
-            return _rows(out, _SAID)
-        asked = [_unpack(b.as_py(), np.uint64, np.uint32) for b in blobs["body"]]
-        y, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in asked)]), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[1] for p in asked)]), len(y)).astype(np.int64)
-        known = np.zeros((2, len(y)))
-        known[:, np.searchsorted(y, x)] = value, whole
-        lo = 0
-        for n, p in zip(blobs["block"].to_pylist(), asked, strict=True):
-            own = inverse[lo : lo + len(p[0])]
-            lo += len(p[0])
-            out.append((WORDS, n, shard, _pack(count[own].astype(np.uint32), *known[:, own].astype(np.float32)), None, None, None, None))
-        out[0] = (None, None, shard, None, int(count.sum()), int((count > 0).sum()), int(guests.sum()), float(held.sum()))
+                held[some] += seats.tables / SAMPLES
+        value, whole = (guests - DISCOUNT * held).astype(np.float32), whole.astype(np.float32)
+        out = [(None, None, s, None, None, None, int(guests.sum()), float(held.sum()))]
+        if state is None:
+            own = np.split(at, np.cumsum([len(p[0]) for p in told])[:-1])
+            out += [_said(VALUES, to, s, value[k], whole[k]) for to, k in zip(said["shard"].to_pylist(), own, strict=True)]
+        elif len(state):
+            y, count, sent, size, at = _unpack(state["body"][0].as_buffer(), np.uint64, np.int64, np.int64, np.uint32, np.uint32)
+            place = np.minimum(np.searchsorted(x, y & SHORT), max(0, len(x) - 1))
+            met = x[place] == y & SHORT if len(x) else np.zeros(len(y), dtype=bool)
+            known = [np.where(met, c[place] if len(x) else 0, 0).astype(np.float32) for c in (value, whole)]
+            count = count.astype(np.uint32)
+            own = np.split(at, np.cumsum(size)[:-1])
+            out += [_said(WORDS, n, s, count[k], known[0][k], known[1][k]) for n, k in zip(sent.tolist(), own, strict=True)]
         return _rows(out, _SAID)
 
     def scores(self, key: tuple, block: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
-        rows = self.rows(block)
-        h, now, before, ends = self.read(rows)
-        told = {(k, s): body for k, s, body in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["body"], strict=True)}
-        count, value, whole = np.zeros((3, len(h)))
-        shard = self.word_shard(h)
-        order = np.argsort(shard, kind="stable")
-        for s, lo, hi in _runs(shard[order]):
-            at = order[lo:hi]
-            count[at], value[at], whole[at] = _unpack(told[WORDS, s].as_py(), np.uint32, np.float32, np.float32)
-        parent, own = _parent(value, model), np.zeros(len(now))
-        for s, at, a, b, which in self.pairs(h, now, before):
-            both, tables = _unpack(told[PAIRS, s].as_py(), np.uint32, np.float32)
-            # every word of a training document is followed by one, so a word's count is its restaurant's too
-            p = (both - DISCOUNT * tables.astype(np.float64) + (STRENGTH + DISCOUNT * whole[a]) * parent[b]) / (STRENGTH + count[a])
-            own[at] = np.log10(p)[which]
+        """Scores of a block's texts; answers in order of shards are in the order of its words and pairs."""
+        if not len(block):
+            return _rows([], _SCORES)
+        ident, train, ends, now, before, home, piece = self.read(block["body"][0].as_buffer())
+        told = sorted(zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["body"], strict=True), key=lambda r: r[:2])
+        count, value, whole = (np.concatenate(c).astype(np.float64) for c in zip(*(_unpack(x.as_buffer(), np.uint32, np.float32, np.float32) for k, _, x in told if k == WORDS), strict=True))
+        both, tables = (np.concatenate(c).astype(np.float64) for c in zip(*(_unpack(x.as_buffer(), np.uint32, np.float32) for k, _, x in told if k == PAIRS), strict=True))
+        _, a, b, which = self.pairs(now, before, home, piece)
+        # every word of a training document is followed by one, so a word's count is its restaurant's too
+        own = np.log10(predictive(both, tables, whole[a], count[a], _parent(value, model)[b]))[which]
         n = model["tokens"]
         base = np.log10((count + 0.1) / (n + 0.1 * (model["distinct"] + 1)))[now]
-        starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
         score, base, known = (np.add.reduceat(x, starts) for x in (own, base, (count > 0).astype(np.int64)[now]))
         out = [
-            pa.array([None if r[0] == NO_ID else r[0] for r in rows], pa.int64()),
-            pa.array([not r[2] for r in rows], pa.bool_()),
-            pa.array(np.diff(ends, prepend=-1), pa.int64()),
+            pa.array([None if i == NO_ID else i for i in ident.tolist()], pa.int64()),
+            pa.array(~train, pa.bool_()),
+            pa.array(np.diff(ends, prepend=0), pa.int64()),
             pa.array(known, pa.int64()),
-            pa.array(np.full(len(rows), n), pa.int64()),
+            pa.array(np.full(len(ident), n), pa.int64()),
             pa.array(base, pa.float64()),
             pa.array(score, pa.float64()),
         ]
         return pa.table(out, schema=_SCORES)
 
 
-#: Whole sweeps over the customers of a shard: to forget the start, and to average over.
-BURN, SAMPLES = 2, 3
-
-
-def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
-    """(value, start, stop) of the runs of equal values."""
-    start = np.flatnonzero(np.diff(sorted_values, prepend=-1))
-    return list(zip(sorted_values[start].tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_values)], strict=True)) if len(start) else []
-
-
-def _parent(value: np.ndarray, model: dict) -> np.ndarray:
-    """Probabilities of words in the parent; value: guests less the discounts of their tables."""
-    return (value + (STRENGTH + DISCOUNT * model["held"]) / (model["distinct"] + 1)) / (STRENGTH + model["guests"])
-
-
 def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 12 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows whose crc32(doc_id) mod fold is not 0 (a null
     id counts as the empty text).  A text's tokens are its words and an end; a
     null or empty text has the end alone.  Unknown words have the probability of
-    the unseen word.  block_bytes, shard_bytes: text in a block, and text whose
-    words or pairs a shard counts; they bound a task's memory.
+    the unseen word.  Repeated rows are learned from and scored each by itself,
+    so equal texts have equal scores; other columns don't matter, and an empty
+    table gives an empty one.  block_bytes, shard_bytes: text in a block (a
+    longer text is one by itself), and text whose words or pairs a shard counts;
+    they bound a task's memory.
     """
     spark = docs.sparkSession
     source = docs.select(ids().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"), (crc_mod("doc_id", fold) != 0).alias("train"))
     total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-total // block_bytes), min(parts, total // (1 << 20)))
     shards = max(1, -(-total // shard_bytes))
     steps = _Steps(shards, -(-shards // 256))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).repartition(max(blocks, parts), "block")
-    blobs = table(dealt.groupBy("block").applyInArrow(lambda k, t: steps.blobs(k, t), _ddl(_BLOB)), "blobs")
-    words, pairs = (blobs.where(F.col("kind") == k).select("shard", "block", "body") for k in (WORDS, PAIRS))
-    distinct = words.groupBy("shard").applyInArrow(_distinct, "n long").agg(F.sum("n")).first()[0] or 0
-
-    spark._jvm.System.gc()
-
-    def to(said: DataFrame, kind: int) -> DataFrame:
-        return said.where(F.col("kind") == kind).select("to", "shard", "body")
-
-    def sums(said: DataFrame) -> dict:
-        r = said.where("kind is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "guests", "held"))).first()
-        return r.asDict() | {"distinct": distinct}
-
-    start = table(pairs.groupBy("shard").applyInArrow(lambda k, t: steps.seat(k, t, None, {}, False), _ddl(_SAID)), "start")
-    replies = table(to(start, WORDS).groupBy("to").applyInArrow(lambda k, t: steps.parent(k, t, None, distinct), _ddl(_SAID)), "replies")
-    forget(start)
-    model = sums(replies)
-    seated = table(pairs.groupBy("shard").cogroup(to(replies, PAIRS).groupBy("to")).applyInArrow(lambda k, a, b: steps.seat(k, a, b, model, True), _ddl(_SAID)), "seated")
-    counted = table(to(seated, WORDS).groupBy("to").cogroup(words.groupBy("shard")).applyInArrow(lambda k, a, b: steps.parent(k, a, b, distinct), _ddl(_SAID)), "counted")
-    forget(replies, blobs)
-    known = sums(counted)
-    answers = counted.unionAll(seated.where(F.col("kind") == PAIRS)).where("kind is not null").select("kind", "to", "shard", "body")
-    return dealt.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(lambda k, a, b: steps.scores(k, a, b, known), _ddl(_SCORES))
-
-
-def _distinct(key: tuple, blobs: pa.Table) -> pa.Table:
-    """The number of a shard's words that occur in training documents."""
-    parts = [_unpack(x.as_py(), np.uint64, np.uint32) for x in blobs["body"]]
-    return pa.table({"n": pa.array([len(np.unique(np.concatenate([p[0][p[1] > 0] for p in parts])))], pa.int64())})
+    blocks = table(source.mapInArrow(steps.blocks(block_bytes), _ddl(_BLOCK)), "blocks")
+    said = _ddl(_SAID)
+    sums = table(blocks.mapInArrow(lambda batches: steps.blobs(batches), _ddl(_BLOB)).groupBy("shard").applyInArrow(lambda k, t: steps.sums(k, t), said), "sums")
+    spark._jvm.System.gc()  # for the exchange just done
+
+    def to(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.where(F.col("kind") == kind).select("to", "shard", "body")
+
+    def sum_of(rows: DataFrame, *columns: str) -> dict:
+        return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).first().asDict()
+
+    counts = sum_of(sums, "tokens", "distinct")
+    distinct = counts["distinct"]
+    of_words, of_pairs = (to(sums, STATE).where(F.col("shard") < shards), to(sums, STATE).where(F.col("shard") >= shards))
+    replies = table(to(sums, GUESTS).groupBy("to").applyInArrow(lambda k, t: steps.parent(k, t, None, distinct), said), "replies")
+    model = counts | sum_of(replies, "guests", "held")
+    seated = table(of_pairs.groupBy("to").cogroup(to(replies, VALUES).groupBy("to")).applyInArrow(lambda k, a, b: steps.seat(k, a, b, model), said), "seated")
+    forget(replies)
+    counted = table(to(seated, GUESTS).groupBy("to").cogroup(of_words.groupBy("to")).applyInArrow(lambda k, a, b: steps.parent(k, a, b, distinct), said), "counted")
+    forget(sums)
+    known = counts | sum_of(counted, "guests", "held")
+    answers = counted.where(F.col("kind") == WORDS).unionAll(seated.where(F.col("kind") == PAIRS)).select("kind", "to", "shard", "body")
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(lambda k, a, b: steps.scores(k, a, b, known), _ddl(_SCORES))
