@@ -274,26 +274,40 @@ def test_repeated_substrings(docs, empty, bytes_):
     assert suffix_dedup.repeated_substrings(empty).count() == 0
 
 
-def test_suffix_family_grows_geometrically():
+@pytest.mark.parametrize("length", [30, 300, 400])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(1200))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(200)) + passage[50 * k : 50 * k + 700]) for k in range(8)]
+    got = suffix_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=length, block_bytes=1500, shard_bytes=1500)
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == sorted(suffix_dedup.brute_force(rows, length))
+
+
+def test_batches_are_scanned_as_they_come_and_levels_grow_geometrically():
     rng = np.random.default_rng(1)
-    f, want = suffix_dedup.SuffixFamily(), {}
+    f, want, seen, batches = suffix_dedup.SuffixFamily(), {}, {}, []
     for k in range(64):
         key = rng.integers(0, 3000, 100).astype(np.uint64)
         doc = rng.integers(0, 1000, 100)
-        f.insert(key, key, doc)
         for a, b in zip(key.tolist(), doc.tolist(), strict=True):
             want[a] = min(want.get(a, b), b)
-    assert len(f.levels) <= 8
-    names = np.array(sorted(want), dtype=np.uint64)
-    for _ in range(2):
-        assert f.first(names, names).tolist() == [want[k] for k in sorted(want)]
-        f.settle()
+        first, before = f.insert(key, key, doc), f.matched
+        batches.append((key, first))
+        assert first.tolist() == [want[a] for a in key.tolist()]  # found at insertion
+        assert all(len(x[0]) > 2 * len(y[0]) for x, y in zip(f.levels, f.levels[1:], strict=False))
+        seen[k] = before
+    assert seen[63] > seen[0] == 0 and f.moved <= 6400 * 12 and len(f.levels) <= 8
+    f.close()
+    for key, first in batches:
+        assert f.final(key, key, first).tolist() == [want[a] for a in key.tolist()]
 
 
 def test_same_fingerprint_of_different_suffixes():
-    f = suffix_dedup.SuffixFamily()
-    f.insert(np.array([5, 5, 5], dtype=np.uint64), np.array([1, 2, 1], dtype=np.uint64), np.array([9, 3, 4]))
-    assert f.first(np.array([5, 5, 5], dtype=np.uint64), np.array([1, 2, 3], dtype=np.uint64)).tolist() == [4, 3, (1 << 63) - 1]
+    f, u = suffix_dedup.SuffixFamily(), lambda *x: np.array(x, dtype=np.uint64)
+    assert f.insert(u(5, 5, 5), u(1, 2, 1), np.array([9, 3, 4])).tolist() == [4, 3, 4]
+    assert f.insert(u(5, 5, 5), u(2, 1, 3), np.array([8, 2, 7])).tolist() == [3, 2, 7]
+    f.close()
+    assert f.final(u(5, 5, 5), u(1, 2, 1), np.array([4, 3, 4])).tolist() == [2, 3, 2]
 
 
 # op 4

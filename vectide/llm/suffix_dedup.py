@@ -9,12 +9,14 @@ run of some fourteen strings.
 1. Every block sends its anchors' hashes, four bytes each, to shards of the hash
    space, which tell it the ones that several documents hold.
 2. For those the block sends the bytes of the run, once a block, with the
-   smallest id that holds it.  A shard takes them as batches: a batch gets a
-   suffix array, is merged with the arrays of equal size, and so on, so that a
-   suffix is moved a logarithmic number of times.  The arrays are ordered by
-   128-bit fingerprints of the suffixes' first `length` bytes, as longer matches
-   are unions of such ones.  Scanning the batches against the merged array gives
-   the first id of every suffix.
+   smallest id that holds it.  A shard takes them as batches, one after another:
+   a batch gets a suffix array, is merge-scanned against the levels that stand,
+   and is then merged with those of about its size, so that a suffix is moved a
+   logarithmic number of times.  The scan tells a batch the smallest ids that
+   came before it, and notes which suffixes of earlier batches it has a smaller
+   id for; these notes answer for the earlier batches in the end.  The arrays
+   are ordered by 128-bit fingerprints of the suffixes' first `length` bytes, as
+   longer matches are unions of such ones.
 3. Blocks mark the bytes of strings whose first id is smaller than their own.
 
 Texts cross the network once, in one exchange that all steps read.
@@ -139,54 +141,79 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _array(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct suffixes in order with their smallest ids, and the place of each suffix among them."""
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], check[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # two suffixes share a fingerprint
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))[: len(k)]
+    first, place = np.flatnonzero(new), np.empty(len(k), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[first], c[first], np.minimum.reduceat(doc[order], first) if len(first) else doc, place
+
+
+def _scan(key: np.ndarray, check: np.ndarray, level: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes of a sorted array are in a level, and where: both are passed through in order."""
+    k, c = level[:2]
+    at = np.searchsorted(k, key)
+    near = np.minimum(at, max(0, len(k) - 1))
+    while len(k):  # past others with the same fingerprint
+        move = (at < len(k)) & (k[near] == key) & (c[near] != check)
+        if not move.any():
+            hit = np.flatnonzero((at < len(k)) & (k[near] == key))
+            return hit, near[hit]
+        at = at + move
+        near = np.minimum(at, len(k) - 1)
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 class SuffixFamily:
-    """Sorted arrays (fingerprint, second fingerprint, smallest id), sizes growing geometrically."""
+    """Levels: sorted arrays (fingerprint, second fingerprint, smallest id), each more than twice as large as the next."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.moved = 0
-
-    @staticmethod
-    def _array(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        k, c = key[order], check[order]
-        if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # two suffixes share a fingerprint
-            order = np.lexsort((check, key))
-            k, c = key[order], check[order]
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-        return k[first], c[first], np.minimum.reduceat(doc[order], first) if len(first) else doc
+        self.moved = self.matched = 0
+        self.notes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def insert(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> None:
+    def insert(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Scan a batch against the levels and add it; the smallest id so far of each of its suffixes."""
         if not len(key):
-            return
-        new = self._array(key, check, doc)
+            return doc
+        k, c, own, place = _array(key, check, doc)
+        first = own.copy()
+        for level in self.levels:
+            hit, at = _scan(k, c, level)
+            self.matched += len(hit)
+            ids = level[2]
+            lower = own[hit] < ids[at]
+            first[hit] = np.minimum(first[hit], ids[at])
+            if lower.any():  # earlier batches hear of it in the end
+                hit, at = hit[lower], at[lower]
+                self.notes.append((k[hit], c[hit], own[hit]))
+                ids[at] = own[hit]
+        new = (k, c, own)
         while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
             old = self.levels.pop()
             self.moved += len(old[0]) + len(new[0])
-            new = self._array(*(np.concatenate(p) for p in zip(old, new, strict=True)))
+            new = _array(*(np.concatenate(p) for p in zip(old, new, strict=True)))[:3]
         self.levels.append(new)
+        return first[place]
 
-    def settle(self) -> None:
-        """Merge all levels."""
-        if len(self.levels) > 1:
-            self.levels = [self._array(*(np.concatenate(p) for p in zip(*self.levels, strict=True)))]
+    def close(self) -> None:
+        """After the last batch: put the notes in order; the levels are done with."""
+        self.levels = []
+        self.notes = [_array(*(np.concatenate(p) for p in zip(*self.notes, strict=True)))[:3]] if self.notes else []
 
-    def first(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The smallest id of each suffix; NO_ID where it is in no level."""
-        out = np.full(len(key), NO_ID, dtype=np.int64)
+    def final(self, key: np.ndarray, check: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The smallest ids of a batch's suffixes in all batches; first: what insert() told."""
+        if not self.notes or not len(key):
+            return first
         order = np.argsort(key)  # a scan in order is several times faster than as many searches
-        for k, c, d in self.levels:
-            at = np.empty(len(key), dtype=np.int64)
-            at[order] = np.searchsorted(k, key[order])
-            for _ in range(64):  # past others with the same fingerprint
-                ok = at < len(k)
-                near = np.where(ok, at, 0)
-                move = ok & (k[near] == key) & (c[near] != check)
-                if not move.any():
-                    break
-                at = at + move
-            hit = ok & (k[near] == key) & (c[near] == check)
-            out[hit] = np.minimum(out[hit], d[near[hit]])
+        hit, at = _scan(key[order], check[order], self.notes[0])
+        out = first.copy()
+        out[order[hit]] = np.minimum(out[order[hit]], self.notes[0][2][at])
         return out
 
 
@@ -272,7 +299,7 @@ class _Steps:
             mine = np.flatnonzero(to == s)
             a = at[mine]
             text = b"".join(texts[t][b : b + n] for t, b, n in zip(runs.text[a].tolist(), runs.start[a].tolist(), (runs.count[a] + self.length - 1).tolist(), strict=True))
-            out.append((s, key[0].as_py(), _pack(runs.key[a], low_doc[mine], high_doc[mine], runs.count[a].astype(np.uint8), np.frombuffer(zstandard.compress(text, 3), dtype=np.uint8))))
+            out.append((s, key[0].as_py(), _pack(runs.key[a], low_doc[mine], high_doc[mine], runs.count[a].astype(np.uint32), np.frombuffer(zstandard.compress(text, 3), dtype=np.uint8))))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOB, strict=True)], schema=_BLOB)
 
     def _suffixes(self, count: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +310,7 @@ class _Steps:
 
     @staticmethod
     def _run(body) -> list[np.ndarray]:
-        *numbers, text = _unpack(body.as_py(), _U, np.int64, np.int64, np.uint8, np.uint8)
+        *numbers, text = _unpack(body.as_py(), _U, np.int64, np.int64, np.uint32, np.uint8)
         return [*numbers, np.frombuffer(zstandard.decompress(text.tobytes()), dtype=np.uint8)]
 
     def first_ids(self, key: tuple, blobs: pa.Table) -> pa.Table:
@@ -295,12 +322,11 @@ class _Steps:
         for k in order:
             run, low, high, count, text = self._run(bodies[k])
             suffixes = self._suffixes(count, text)
-            family.insert(*suffixes, np.repeat(low, count))
-            batches.append((k, run, high, count, suffixes))
-        family.settle()
+            batches.append((k, run, high, count, suffixes, family.insert(*suffixes, np.repeat(low, count))))
+        family.close()
         out = []
-        for k, run, high, count, suffixes in batches:
-            first = family.first(*suffixes)
+        for k, run, high, count, suffixes, so_far in batches:
+            first = family.final(*suffixes, so_far)
             n = count.astype(np.int64)
             own = np.repeat(np.arange(len(n)), n)
             place = _spread(np.zeros(len(n), np.int64), n)
@@ -309,13 +335,13 @@ class _Steps:
             keep = first[cut] < high[own[cut]]
             cut, end = cut[keep], end[keep]
             if len(cut):
-                out.append((blocks[k], _pack(run[own[cut]], place[cut].astype(np.uint8), place[end].astype(np.uint8), first[cut])))
+                out.append((blocks[k], _pack(run[own[cut]], place[cut].astype(np.uint32), place[end].astype(np.uint32), first[cut])))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 2, _BACK, strict=True)], schema=_BACK)
 
     def cut(self, key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         """Mark and count a block's bytes, document by document."""
         own, texts = _rows(block)
-        found = [_unpack(x.as_py(), _U, np.uint8, np.uint8, np.int64) for x in answers["body"]]
+        found = [_unpack(x.as_py(), _U, np.uint32, np.uint32, np.int64) for x in answers["body"]]
         size = np.array([len(t) for t in texts], dtype=np.int64)
         begin = np.cumsum(size) - size
         cover = np.zeros(int(size.sum()) + 1, dtype=np.int32)
@@ -359,7 +385,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     steps = _Steps(length, gram, shards, with_text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(blocks, min(parts, max(1, total // (1 << 20))))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).repartition(max(blocks, parts), "block")
+    # by id and text: rows that repeat an id take nothing from each other, in one block or in several
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)).cast("long")).repartition(max(blocks, parts), "block")
     blob, back = "shard long, block long, body binary", "block long, body binary"
     anchors = dealt.groupBy("block").applyInArrow(lambda k, t: steps.anchors(k, t), blob)
     shared = anchors.groupBy("shard").applyInArrow(lambda k, t: steps.shared(k, t), back)
