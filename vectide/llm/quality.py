@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import by_bytes, crc_mod
+from vectide.llm.common import by_bytes, crc_mod, packed, release
 from vectide.llm.learning import Lexicon, labels_of, sample_texts, smallest, summed
 
 WORDS, FORMS = 1 << 14, 1 << 12
@@ -129,8 +129,15 @@ class Voter:
         return np.clip(out, 0, 1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, most: int = 6000, dims: int = 32, neighbours: int = 24, form_weight: float = 0.9) -> Voter:
-    """A voter from at most `most` labelled documents whose crc32(doc_id) mod fold is not `held`."""
+def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, most: int = 6000, dims: int = 32, neighbours: int = 24, form_weight: float = 0.7) -> Voter:
+    """A voter from at most `most` labelled documents whose crc32(doc_id) mod fold is not `held`.
+
+    They are those with the smallest hashes of their ids.  form_weight: the share
+    of the form space in a cosine.  An id with several labels has their rounded
+    mean; labels without a document, null labels and null ids teach nothing; a
+    repeated document votes as often as it is there.  Null and empty texts vote
+    by their form, long ones are read whole.  Empty tables give a voter of 0.5.
+    """
     chosen = smallest(labels_of(labels, "quality", crc_mod("doc_id", fold) != held), most)
     return Voter(sample_texts(docs, chosen), dims, neighbours, form_weight)
 
@@ -138,17 +145,24 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, most
 def quality(docs: DataFrame, voter: Voter, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with score, the weighted share of good neighbours; a column of that name is replaced.
 
-    Null counts as empty, and an empty text is judged by its form.  Without any
+    Null counts as empty, and an empty text is judged by its form.  Whole texts
+    are read, equal texts get equal scores, and rows repeated come back repeated.
+    Of neighbours that are equally near at the edge any may vote.  Without any
     labels every score is 0.5.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(voter)
+    rows, texts_of = packed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in by_bytes(b["text"], batch_bytes):
-                part = b.slice(lo, hi - lo)
-                yield pa.record_batch([part["row"], pa.array(shared.value.score(part["text"].to_pylist()), pa.float64())], names=["row", "score"])
+        own = shared.value
+        try:
+            for b in batches:
+                texts = texts_of(b)
+                for lo, hi in by_bytes(texts, batch_bytes):
+                    yield pa.record_batch([b["row"].slice(lo, hi - lo), pa.array(own.score(texts.slice(lo, hi - lo).to_pylist()), pa.float64())], names=["row", "score"])
+        finally:
+            own.lexicon.forget()
+            release()
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
