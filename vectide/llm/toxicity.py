@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import by_bytes, crc_mod
+from vectide.llm.common import by_bytes, crc_mod, packed
 from vectide.llm.learning import labels_of, sample_texts, smallest
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -44,6 +44,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the estimator before the second is kept from turning negative: prior * E_p[l(+)], and E_u[l(-)] - prior * E_p[l(-)]; logistic loss, l(+) = -log s, l(-) = -log(1 - s)."""
+    s_p, s_u = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+    rest = -np.log1p(-np.clip(s_u, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(s_p, 0, 1 - 1e-12)).mean()
+    return float(-prior * np.log(np.maximum(s_p, 1e-300)).mean()), float(rest)
+
+
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk where its second term is positive; where it has gone below zero, the step back from it."""
+    s_p, s_u = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+    of_rest = u.T @ s_u / len(u) - prior * (p.T @ s_p) / len(p)
+    if risk(w, p, u, prior)[1] < 0:
+        return -of_rest
+    return prior * (p.T @ (s_p - 1)) / len(p) + of_rest
+
+
 def train(positive: list[str | None], unlabelled: list[str | None], prior: float, words: int = 2000, clear: float = 4.0, rounds: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
     """nnPU training by full-batch Adam.
 
@@ -76,15 +92,7 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
     w = np.zeros(len(chosen) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        s_p, s_u = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
-        # logistic loss: l(+) = -log s, l(-) = -log(1 - s)
-        rest = -np.log1p(-np.clip(s_u, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(s_p, 0, 1 - 1e-12)).mean()
-        g_rest = u.T @ s_u / len(u) - prior * (p.T @ s_p) / len(p)
-        if rest >= 0:
-            g = prior * (p.T @ (s_p - 1)) / len(p) + g_rest
-        else:  # the corrected term has gone below zero: step back from it
-            g = -g_rest
-        g = g + decay * np.append(w[:-1], 0)
+        g = gradient(w, p, u, prior) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
     return Scorer({x: float(w[k]) for x, k in chosen.items()}, float(w[-1]))
@@ -93,8 +101,12 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
 def learn(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, positives: int = 4000, unlabelled: int = 8000, prior: float | None = None) -> Scorer:
     """A scorer from documents whose crc32(doc_id) mod fold is not `held`.
 
-    positives, unlabelled: bounds of the two samples.  prior: share of toxic
-    documents; by default their share among all labelled rows learned from.
+    positives, unlabelled: bounds of the two samples, rows with the smallest
+    hashes of their ids.  prior: share of toxic documents; by default their share
+    among all labelled rows learned from.  An id with several labels has their
+    rounded mean; labels without a document, null labels and null ids teach
+    nothing; a repeated document counts as often as it is there.  Words count
+    once a text, however long it is.  Empty tables give a scorer of 0.
     """
     own = labels_of(labels, "toxic", crc_mod("doc_id", fold) != held)
     if prior is None:
@@ -107,16 +119,19 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, posi
 def toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with score, the probability of being toxic; a column of that name is replaced.
 
-    Null counts as empty.  Without a single toxic label every score is 0.
+    Null counts as empty, and a text without any chosen word, empty or not, has
+    the score of the bias.  Whole texts are read, equal texts get equal scores,
+    and rows repeated come back repeated.  Without a single toxic label every
+    score is 0.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    rows, texts_of = packed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in by_bytes(b["text"], batch_bytes):
-                part = b.slice(lo, hi - lo)
-                yield pa.record_batch([part["row"], pa.array(shared.value.score(part["text"].to_pylist()), pa.float64())], names=["row", "score"])
+            texts = texts_of(b)
+            for lo, hi in by_bytes(texts, batch_bytes):
+                yield pa.record_batch([b["row"].slice(lo, hi - lo), pa.array(shared.value.score(texts.slice(lo, hi - lo).to_pylist()), pa.float64())], names=["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
