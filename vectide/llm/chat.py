@@ -152,18 +152,46 @@ def to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return records.select(F.col(id_col).cast("string").alias("id"), F.col(json_col).cast("string").alias("record")).mapInArrow(run, out)
 
 
+def canonical_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """Records of any known layout, as columns, to rows conv_id, turn, role, text.
+
+    The table's own field paths are fingerprinted; the fingerprint selects the
+    mapping, and the mapping is applied as column expressions.  Null roles and
+    texts are empty.  A record of turn rows keeps its turn; turns of a list, or
+    of fields, are numbered, and a record without any gives no row.
+    """
+    layout = LAYOUTS.get(layout_of(schema_paths(records.schema)) or "")
+    if layout is None:
+        raise ValueError("the columns match no known layout")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    ident = F.col(id_col).cast("long").alias("conv_id")
+    if "row" in layout:
+        own = layout["row"]
+        turns = records.select(ident, F.col(turn_col).cast("long").alias("turn"), text(F.col(own["role"])).alias("role"), text(F.col(own["text"])).alias("text"))
+    elif "list" in layout:
+        each = records.select(ident, F.posexplode(layout["list"]).alias("turn", "said"))
+        turns = each.select("conv_id", F.col("turn").cast("long").alias("turn"), text(F.col("said." + layout["role"])).alias("role"), text(F.col("said." + layout["text"])).alias("text"))
+    else:
+        joined = lambda fields: F.concat_ws("\n", *(F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields))
+        said = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), joined(f).alias("text")) for r, f in layout["turns"])), lambda x: (x["text"] != "") | (x["role"] != "system"))
+        turns = records.select(ident, F.posexplode(said).alias("turn", "said")).select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
+    if "row" in layout:  # rows of turns carry the names of roles as they are
+        return turns
+    named = F.col("role")
+    for k, v in ROLES.items():
+        named = F.when(F.col("role") == k, v).otherwise(named)
+    return turns.withColumn("role", named)
+
+
 _PIECES = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64())])
 
 
-def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """Rows of turns to their formatted pieces: conv_id, turn, role, formatted, loss_start, loss_length.
+def format_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """Records of any known layout to formatted pieces: conv_id, turn, role, formatted, loss_start, loss_length.
 
-    The table's own field paths are fingerprinted and have to select the layout
-    of turn rows.  A conversation's output is its pieces in order of turn, then
-    role and text; null turns come first.  Null roles and texts are empty.
+    A conversation's output is its pieces in order of turn, then role and text;
+    null turns come first.
     """
-    if layout_of(schema_paths(turns.schema)) != "turn rows":
-        raise ValueError("the columns match no layout of turn rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +199,7 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.record_batch([b["conv_id"], b["turn"], b["role"], *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True))], schema=_PIECES)
 
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    source = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
-    return source.mapInArrow(run, "conv_id long, turn long, role string, formatted string, loss_start long, loss_length long")
+    return canonical_turns(records, id_col, turn_col).mapInArrow(run, "conv_id long, turn long, role string, formatted string, loss_start long, loss_length long")
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
