@@ -79,6 +79,19 @@ def test_exact_groups(docs, empty):
     assert exact.exact_groups(empty).count() == 0 == exact.exact_dedup(empty).count()
 
 
+def test_exact_groups_that_spill(docs):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_sha256"], r["keep_id"] or -1, r["group_size"], r["kept"])
+    small = exact.exact_groups(docs, combine_bytes=500, trie_bytes=2000)
+    assert sorted(map(key, small.collect())) == sorted(map(key, exact.exact_groups(docs).collect()))
+    assert exact.exact_dedup(docs, combine_bytes=500, trie_bytes=2000).count() == exact.exact_dedup(docs).count()
+
+
+def test_exact_dedup_keeps_the_smallest_id(spark):
+    rows = [(k, "the same  text" if k % 3 else "the same text", k) for k in range(300, 0, -1)] + [(1, "the same text", 1)] * 50 + [(None, "other", 7), (None, "other", 7)]
+    left = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((r["doc_id"] or 0, r["n"]) for r in left) == [(0, 7), (1, 1)]
+
+
 def test_exact_with_clashing_columns(docs):
     odd = docs.selectExpr("*", "1 as id", "2 as digest", "3 as row", "4 as owner", "5 as kept", "6 as n_bytes")
     left = exact.exact_dedup(odd.drop("kept"))
@@ -511,6 +524,32 @@ def test_languages(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_language_of_ties_repeats_and_signs(spark):
+    rows = [(k, t, x) for k in range(40) for t, x in [("baba dodo", "xx") if k % 2 else ("stre ngth", "yy")]] * 2
+    rows += [(900, "½ ² ①", "xx"), (901, "ab½cd", None), (902, "word " * 50_000, None), (903, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, public.path("piece_bpe_32k.model"), per_lang=10)
+    got = langid.identify(df.selectExpr("*", "1 as lang_pred", "2 as score"), model).collect()
+    assert [r["lang_pred"] for r in got if r["doc_id"] in (900, 903)] == ["und", "und"]
+    assert len(got) == len(rows) and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == 44
+    assert langid.words_of("ab½cd Éx²") == ["ab", "cd", "éx"]
+    left = langid.identified(df, model, 0.0)
+    assert left.columns == df.columns and left.count() == len(rows) - 2
+
+
+def test_long_words_sum_all_segmentations(monkeypatch):
+    rng = random.Random(3)
+    pieces = ["a", "b", "ab", "ba", "aba", "bbbb"]
+    lattice, p = langid.Lattice(pieces), np.random.default_rng(3).random((7, 2)) / 5
+    words = ["".join(rng.choices("abz", k=n)) for n in (1, 5, 30, 31)]
+    counts = {"x": Counter({w: 1 + len(w) for w in words})}
+    short, fitted = langid.forward(lattice, p, words), langid.fit(lattice, counts)
+    monkeypatch.setattr(langid, "SHORT", 0)
+    assert np.allclose(langid.forward(lattice, p, words), short) and np.allclose(langid.fit(lattice, counts), fitted)
+    whole = langid.forward(lattice, p, ["ab" * 3000])  # no underflow, no cuts
+    assert np.isfinite(whole).all() and (whole < -1000).all()
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "ba", "aba"]
     lattice, p = langid.Lattice(pieces), np.array([[0.1], [0.2], [0.3], [0.25], [0.15], [1e-8]])
@@ -537,7 +576,11 @@ def test_pieces_round_trip():
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi</s>"), (1, 1, "assistant", "[INST] yes\\"), (1, 1, "assistant", "and"), (2, 0, "assistant", None), (3, 5, None, "x"), (None, 0, "user", "?"), (3, None, "system", "é" * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(7, 0, "assistant", t) for t in ("ok then", "ok", "ok<s>", "ok\\", "ok")]
+    df = spark.createDataFrame(rows, df.schema)
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df.selectExpr("*", "1 as formatted", "2 as loss_start"))).collect()}
+    # turns of equal turn and role come in order of text, not of its escaped form
+    assert got[7][4] == hashlib.sha256("".join(sorted(["ok then", "ok", "ok<s>", "ok\\", "ok"])).encode()).hexdigest()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1][1:5] == (3, sha("user\nhi</s>\nassistant\n[INST] yes\\\nassistant\nand\n"), 14, sha("[INST] yes\\and"))
     assert got[2][1:5] == (1, sha("assistant\n\n"), 0, sha("")) and got[3][2] == sha("system\n" + "é" * 5000 + "\n\nx\n") and got[None][1] == 1
@@ -561,6 +604,18 @@ def test_layouts(spark):
     assert [r["layout"] for r in got][-4:] == ["nested chat", "unknown", "unknown", "unknown"]
 
 
+def test_fingerprints_select_the_mapping_of_columns(spark):
+    digest = lambda df: chat.read_back(chat.format_turns(df, "id")).collect()[0][1:4]
+    want = chat.read_back(chat.format_turns(spark.createDataFrame([(1, 0, "user", "do\nthis"), (1, 1, "assistant", "done")], "id long, turn long, role string, text string"), "id")).collect()[0][1:4]
+    assert digest(spark.createDataFrame([(1, "do", "this", "done", 9)], "id long, instruction string, input string, output string, other int")) == want
+    assert digest(spark.createDataFrame([(1, [("human", "do\nthis"), ("gpt", "done")])], "id long, conversations array<struct<`from`:string,value:string>>")) == want
+    assert digest(spark.createDataFrame([(1, None, "do\nthis", "done")], "id long, system string, prompt string, response string")) == want
+    nested = "id long, chat struct<turns:array<struct<author:struct<role:string>,body:struct<text:string>>>>"
+    assert digest(spark.createDataFrame([(1, ([(("user",), ("do\nthis",)), (("assistant",), ("done",))],))], nested)) == want
+    with pytest.raises(ValueError):
+        chat.format_turns(spark.createDataFrame([(1, "x")], "id long, strange string"), "id")
+
+
 # op 7 and 8
 
 
@@ -614,9 +669,138 @@ def test_toxicity(judged):
     assert max(r["score"] for r in toxicity.toxicity(docs, toxicity.learn(docs, labels.limit(0))).collect()) < 1e-9
 
 
+def test_votes_are_those_of_all_pairs(judged):
+    """Every cosine written out, term by term, against the blocked products."""
+    docs, labels = judged
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None and r["doc_id"] not in (0, 5)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [(label[k], texts[k]) for k in sorted(label) if k in texts]
+    voter = quality.Voter(rows, 16, 9, 0.7)
+    probe = [texts[k] for k in (3, 40, 77, 901, 902)]
+    got = voter.score(probe)
+
+    def vector(text):
+        found = quality.terms(text, *voter.lexicon.read([text])[0])
+        out = []
+        for space, (at, n), share in zip((voter.words, voter.forms), found, (0.3, 0.7), strict=True):
+            row = {int(k): (1 + math.log(c)) * float(space.idf[int(k)]) for k, c in zip(at, n, strict=True)}
+            norm = math.sqrt(sum(x * x for x in row.values())) or 1
+            v = [sum(x / norm * float(space.axes[k, d]) for k, x in row.items()) for d in range(16)]
+            size = math.sqrt(sum(x * x for x in v)) or 1
+            out += [math.sqrt(share) * x / size for x in v]
+        return out
+
+    known = [vector(t) for _, t in rows]
+    for score, text in zip(got, probe, strict=True):
+        own = vector(text)
+        near = sorted(((sum(a * b for a, b in zip(own, v, strict=True)), q) for v, (q, _) in zip(known, rows, strict=True)), reverse=True)
+        edge = near[8][0]
+        weight = [(math.exp(12 * (c - 1)), q) for c, q in near[:9]]
+        want = sum(w * q for w, q in weight) / sum(w for w, _ in weight)
+        tied = sum(abs(c - edge) < 1e-5 for c, _ in near) > 1
+        assert tied or abs(score - want) < 1e-3
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(2)
+    p, u = (rng.integers(0, 2, (n, 6)).astype(float) for n in (30, 80))
+    below = []
+    for w, others in ((rng.normal(size=6) / 10, u), (rng.normal(size=6), u), (2 * rng.normal(size=6), u), (np.full(6, 1.5), u * (rng.random((80, 1)) < 0.1))):
+        first, rest = toxicity.risk(w, p, others, 0.4)
+        # by its definition, document by document: -log of the chance of being called right
+        plus, minus = (lambda x: math.log1p(math.exp(-float(x @ w)))), (lambda x: math.log1p(math.exp(float(x @ w))))  # noqa: B023
+        assert math.isclose(first, 0.4 * np.mean([plus(x) for x in p]), rel_tol=1e-9)
+        assert math.isclose(rest, np.mean([minus(x) for x in others]) - 0.4 * np.mean([minus(x) for x in p]), rel_tol=1e-9)
+        below.append(rest < 0)
+        own = toxicity.gradient(w, p, others, 0.4)
+        value = (lambda v: -toxicity.risk(v, p, others, 0.4)[1]) if rest < 0 else (lambda v: sum(toxicity.risk(v, p, others, 0.4)))  # noqa: B023
+        for k in range(6):
+            step = np.eye(6)[k] * 1e-5
+            assert abs((value(w + step) - value(w - step)) / 2e-5 - own[k]) < 1e-6
+    assert below == [False, False, False, True]
+
+
+def test_scoring_by_weights_alone(judged):
+    docs, labels = judged
+    scorer = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs.selectExpr("*", "0.5 as score"), scorer).collect()}
+    for r in docs.collect():
+        words = {w for w in scorer.weights if w in (r["text"] or "").lower().split()}
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-scorer.bias - sum(scorer.weights[w] for w in words))), rel_tol=1e-9)
+
+
+def test_classifiers_of_empty_tables_ties_and_repeats(spark, judged):
+    docs, labels = judged
+    none = docs.limit(0)
+    assert quality.quality(none, quality.learn(docs, labels)).count() == 0 == toxicity.toxicity(none, toxicity.learn(docs, labels)).count()
+    assert {r["score"] for r in quality.quality(docs, quality.learn(none, labels)).collect()} == {0.5}
+    assert max(r["score"] for r in toxicity.toxicity(docs, toxicity.learn(none, labels)).collect()) < 1e-9
+    twice = docs.unionByName(docs).selectExpr("*", "0.1 as score", "'x' as row")
+    for op, found in ((quality.quality, quality.learn(twice, labels)), (toxicity.toxicity, toxicity.learn(twice, labels))):
+        scores = defaultdict(set)
+        for r in op(twice, found).collect():
+            scores[r["doc_id"]].add(r["score"])
+        assert all(len(x) == 1 for x in scores.values()) and len(scores) == docs.count()
+
+
 # pipeline
 
 
+def test_every_stage_by_brute_force(spark, docs, texts, tmp_path):
+    """Each stage on what its predecessor left, against plain Python."""
+    import corpus_pipeline
+
+    item = (1, texts[11])
+    spark.createDataFrame([item], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    norm = lambda t: " ".join(__import__("re").split(r"[\x20\x09-\x0D]+", t or ""))
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=load_ranks(RANKS), special_tokens={})
+    low = lambda i: math.inf if i is None else i
+
+    def language(rows):
+        model = langid.learn(now, public.path("piece_bpe_32k.model"))
+        keep = []
+        for i, t in rows:
+            words = [langid._marked(w) for w in langid.words_of(t)]
+            if words:
+                total = model.prior + sum(langid.forward(langid.Lattice(model.pieces), model.p, words))
+                if 1 / np.exp(total - total.max()).sum() >= corpus_pipeline.CERTAIN:
+                    keep.append((i, t))
+        return keep
+
+    def copies(rows):
+        first = {}
+        for i, t in rows:
+            k = norm(t)
+            if k not in first or low(i) < low(first[k][0]):
+                first[k] = (i, t)
+        return list(first.values())
+
+    def near(rows):
+        parts = brute_components([(low(i), t) for i, t in rows], 5, 80)
+        return [(i, t) for i, t in rows if parts[low(i)][2]]
+
+    def clean(rows):
+        return [(i, t) for i, t in rows if not brute_hits(t, [item], 10)[1]]
+
+    now, key = docs, lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, (language, copies, near, clean, None), strict=True):
+        before = [tuple(r) for r in now.select("doc_id", "text").collect()]
+        now_then = stage(spark, now, str(tmp_path))
+        now_then.write.parquet(out := str(tmp_path / f"brute-{name}"))
+        now_then = spark.read.parquet(out)
+        if brute is None:
+            got = {r["doc_id"]: r for r in now_then.collect()}
+            assert len(got) == len(before) and all(got[i]["ids"] == own.encode_ordinary(t or "") and got[i]["n_tokens"] == len(got[i]["ids"]) and got[i]["exact"] for i, t in before)
+        else:
+            left = sorted(((r["doc_id"], r["text"]) for r in now_then.collect()), key=key)
+            if name == "exact":  # of equal texts with one id any may stay
+                left, want = [(i, norm(t)) for i, t in left], [(i, norm(t)) for i, t in sorted(brute(before), key=key)]
+            else:
+                want = sorted(brute(before), key=key)
+            assert left == want, name
+        now = now_then
+
+
 def test_stages(spark, docs, empty, texts, tmp_path):
     import corpus_pipeline
 

@@ -240,13 +240,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ours = ("keep_id", "group_size", "kept", "text_sha256", "owner_rows")
     docs = docs.drop(*ours)
-    keyed = docs.select(ids(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("body"))
-    keyed = keyed.select("id", "body", F.unhex(F.sha2("body", 256)).alias("digest"))
-    partial = keyed.mapInArrow(_partial(combine_bytes), "n_bytes long, digest binary, body binary, low long, rows long, low_rows long")
-    owners = partial.repartition("n_bytes", "digest").mapInArrow(_owners(trie_bytes), "n_bytes long, digest binary, owner long, group_size long, owner_rows long")
-    body = normalised(F.col(text_col)).cast("binary")
-    rows = docs.select(F.struct("*").alias("row"), ids(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"))
-    return rows.join(owners, ["digest", "n_bytes"], "left").select(
+    rows = _with_digest(docs, id_col, text_col)
+    return rows.join(_owners_of(docs, id_col, text_col, combine_bytes, trie_bytes), ["digest", "n_bytes"], "left").select(
         "row.*",
         shown("owner").alias("keep_id"),
         "group_size",
@@ -256,10 +251,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without exact copies: of each group one row with the smallest id stays, as it was."""
-    marked = exact_groups(docs, id_col, text_col).where("kept")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = marked.where("owner_rows = 1").select(*columns)
-    again = marked.where("owner_rows > 1").dropDuplicates(["text_sha256"]).select(*columns)
-    return single.unionByName(again)
+def _with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    body = normalised(F.col(text_col)).cast("binary")
+    return docs.select(F.struct("*").alias("row"), ids(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"))
+
+
+def _owners_of(docs: DataFrame, id_col: str, text_col: str, combine_bytes: int, trie_bytes: int) -> DataFrame:
+    """n_bytes, digest, owner, group_size and owner_rows of every distinct text."""
+    keyed = docs.select(ids(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("body"))
+    keyed = keyed.select("id", "body", F.unhex(F.sha2("body", 256)).alias("digest"))
+    partial = keyed.mapInArrow(_partial(combine_bytes), "n_bytes long, digest binary, body binary, low long, rows long, low_rows long")
+    return partial.repartition("n_bytes", "digest").mapInArrow(_owners(trie_bytes), "n_bytes long, digest binary, owner long, group_size long, owner_rows long")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", combine_bytes: int = 16 << 20, trie_bytes: int = 96 << 20) -> DataFrame:
+    """docs without exact copies: of each group one row with the smallest id stays, as it was.
+
+    Rows meet the owners by id and content, so the copies of a popular text are
+    spread over all tasks.  Of rows that repeat the owner's id any one stays.
+    """
+    owners = _owners_of(docs, id_col, text_col, combine_bytes, trie_bytes).withColumnRenamed("owner", "id")
+    kept = _with_digest(docs, id_col, text_col).join(owners, ["id", "digest", "n_bytes"])
+    again = kept.where("owner_rows > 1").dropDuplicates(["digest", "n_bytes"])
+    return kept.where("owner_rows = 1").unionByName(again).select("row.*")
