@@ -304,23 +304,26 @@ def test_batches_are_scanned_as_they_come_and_levels_grow_geometrically():
         doc = rng.integers(0, 1000, 100)
         for a, b in zip(key.tolist(), doc.tolist(), strict=True):
             want[a] = min(want.get(a, b), b)
-        first, before = f.insert(key, key, doc), f.matched
-        batches.append((key, first))
-        assert first.tolist() == [want[a] for a in key.tolist()]  # found at insertion
+        batch = f.insert(key, key, doc)
+        batches.append((key, batch))
+        assert batch.first[batch.place].tolist() == [want[a] for a in key.tolist()]  # found at insertion
         assert all(len(x[0]) > 2 * len(y[0]) for x, y in zip(f.levels, f.levels[1:], strict=False))
-        seen[k] = before
+        seen[k] = f.matched
     assert seen[63] > seen[0] == 0 and f.moved <= 6400 * 12 and len(f.levels) <= 8
     f.close()
-    for key, first in batches:
-        assert f.final(key, key, first).tolist() == [want[a] for a in key.tolist()]
+    for key, batch in batches:
+        assert f.final(batch).tolist() == [want[a] for a in key.tolist()]
 
 
 def test_same_fingerprint_of_different_suffixes():
     f, u = suffix_dedup.SuffixFamily(), lambda *x: np.array(x, dtype=np.uint64)
-    assert f.insert(u(5, 5, 5), u(1, 2, 1), np.array([9, 3, 4])).tolist() == [4, 3, 4]
-    assert f.insert(u(5, 5, 5), u(2, 1, 3), np.array([8, 2, 7])).tolist() == [3, 2, 7]
+    one = f.insert(u(5, 5, 5), u(1, 2, 1), np.array([9, 3, 4]))
+    assert one.first[one.place].tolist() == [4, 3, 4]
+    two = f.insert(u(5, 5, 5), u(2, 1, 3), np.array([8, 2, 7]))
+    assert two.first[two.place].tolist() == [3, 2, 7]
+    assert f.insert(u(), u(), np.zeros(0, np.int64)).place.tolist() == []
     f.close()
-    assert f.final(u(5, 5, 5), u(1, 2, 1), np.array([4, 3, 4])).tolist() == [2, 3, 2]
+    assert f.final(one).tolist() == [2, 3, 2] and f.final(two).tolist() == [3, 2, 7]
 
 
 # op 4

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,15 @@ def _scan(key: np.ndarray, check: np.ndarray, level: tuple[np.ndarray, ...]) ->
     return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+class Batch(NamedTuple):
+    """A batch's distinct suffixes in order, their smallest ids, and the place among them of each suffix as it came."""
+
+    key: np.ndarray
+    check: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+
+
 class SuffixFamily:
     """Levels: sorted arrays (fingerprint, second fingerprint, smallest id), each more than twice as large as the next."""
 
@@ -177,44 +187,41 @@ class SuffixFamily:
         self.moved = self.matched = 0
         self.notes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def insert(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Scan a batch against the levels and add it; the smallest id so far of each of its suffixes."""
-        if not len(key):
-            return doc
+    def insert(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> Batch:
+        """Scan a batch against the levels and add it; its distinct suffixes with the smallest ids so far."""
         k, c, own, place = _array(key, check, doc)
         first = own.copy()
         for level in self.levels:
             hit, at = _scan(k, c, level)
             self.matched += len(hit)
-            ids = level[2]
-            lower = own[hit] < ids[at]
-            first[hit] = np.minimum(first[hit], ids[at])
+            held = level[2]
+            then = held[at]
+            first[hit] = np.minimum(first[hit], then)
+            lower = own[hit] < then
             if lower.any():  # earlier batches hear of it in the end
                 hit, at = hit[lower], at[lower]
                 self.notes.append((k[hit], c[hit], own[hit]))
-                ids[at] = own[hit]
-        new = (k, c, own)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            old = self.levels.pop()
-            self.moved += len(old[0]) + len(new[0])
-            new = _array(*(np.concatenate(p) for p in zip(old, new, strict=True)))[:3]
-        self.levels.append(new)
-        return first[place]
+                held[at] = own[hit]
+        if len(k):
+            new = (k, c, own)
+            while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
+                old = self.levels.pop()
+                self.moved += len(old[0]) + len(new[0])
+                new = _array(*(np.concatenate(p) for p in zip(old, new, strict=True)))[:3]
+            self.levels.append(new)
+        return Batch(k, c, first, place.astype(np.int32))
 
     def close(self) -> None:
         """After the last batch: put the notes in order; the levels are done with."""
         self.levels = []
         self.notes = [_array(*(np.concatenate(p) for p in zip(*self.notes, strict=True)))[:3]] if self.notes else []
 
-    def final(self, key: np.ndarray, check: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The smallest ids of a batch's suffixes in all batches; first: what insert() told."""
-        if not self.notes or not len(key):
-            return first
-        order = np.argsort(key)  # a scan in order is several times faster than as many searches
-        hit, at = _scan(key[order], check[order], self.notes[0])
-        out = first.copy()
-        out[order[hit]] = np.minimum(out[order[hit]], self.notes[0][2][at])
-        return out
+    def final(self, batch: Batch) -> np.ndarray:
+        """The smallest id of each suffix of a batch, in all batches."""
+        for notes in self.notes:
+            hit, at = _scan(batch.key, batch.check, notes)
+            batch.first[hit] = np.minimum(batch.first[hit], notes[2][at])
+        return batch.first[batch.place]
 
 
 _BLOB = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
@@ -321,12 +328,11 @@ class _Steps:
         batches = []
         for k in order:
             run, low, high, count, text = self._run(bodies[k])
-            suffixes = self._suffixes(count, text)
-            batches.append((k, run, high, count, suffixes, family.insert(*suffixes, np.repeat(low, count))))
+            batches.append((k, run, high, count, family.insert(*self._suffixes(count, text), np.repeat(low, count))))
         family.close()
         out = []
-        for k, run, high, count, suffixes, so_far in batches:
-            first = family.final(*suffixes, so_far)
+        for k, run, high, count, batch in batches:
+            first = family.final(batch)
             n = count.astype(np.int64)
             own = np.repeat(np.arange(len(n)), n)
             place = _spread(np.zeros(len(n), np.int64), n)
