@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -44,13 +46,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles of what is done: it does so when the driver's JVM collects, which learns a little late what Python has let go."""
+    gc.collect()
+    time.sleep(1)
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete what table() wrote and nothing reads any more, and let the JVM collect, so that Spark drops shuffles that are done."""
+    """Delete what table() wrote and nothing reads any more, and the shuffles that are done."""
     for df in tables:
         for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             _forget(df.sparkSession, path)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        settle(tables[0].sparkSession)
 
 
 def ids(column: str = "doc_id") -> Column:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import NO_ID, by_bytes, crc_mod, forget, ids, release, table
+from vectide.llm.common import NO_ID, by_bytes, crc_mod, forget, ids, release, settle, table
 
 #: Share of the tables' pull: discount and strength of the restaurants below and of the parent.
 DISCOUNT, STRENGTH = 0.75, 2.0
@@ -191,8 +191,12 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _steps_of(x: np.ndarray) -> np.ndarray:
-    """An ascending array as its differences."""
-    return np.diff(x, prepend=0).astype(np.uint32)
+    """Runs of ascending numbers as differences, modulo 2^32."""
+    return np.diff(x.astype(np.int64), prepend=0).astype(np.uint32)
+
+
+def _from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.uint32).astype(np.int64)
 
 
 class _Numbers(dict):
@@ -326,9 +330,13 @@ class _Steps:
         if s < self.shards:
             parts = [_unpack(x.as_buffer(), np.uint64, np.uint32) for x in blobs["body"]]
             x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            order = np.argsort(x & SHORT, kind="stable")  # the order of the blocks
+            rank = np.empty(len(x), dtype=np.int64)
+            rank[order] = np.arange(len(x))
+            x, at = x[order], rank[at]
             count = np.bincount(at, np.concatenate([p[1] for p in parts]), len(x)).astype(np.int64)
             size = np.array([len(p[0]) for p in parts], dtype=np.uint32)
-            body = _pack(x, count, sent, size, at.astype(np.uint32))
+            body = _pack(x, count, sent, size, _steps_of(at))
             return _rows([(STATE, s, s, body, int(count.sum()), int((count > 0).sum()), None, None)], _SAID)
         parts = [_unpack(x.as_buffer(), np.uint64, np.uint32, np.uint64, np.uint32) for x in blobs["body"]]
         # words in order of their own shards
@@ -343,7 +351,7 @@ class _Steps:
         size = np.array([len(p[2]) for p in parts], dtype=np.uint32)
         x = x[order]
         a, b, seen = every >> 32, every & 0xFFFFFFFF, count > 0
-        out = [(STATE, s, s, _pack(x, _steps_of(a), b.astype(np.uint32), count, sent, size, at.astype(np.uint32)), None, None, None, None)]
+        out = [(STATE, s, s, _pack(x, _steps_of(a), _steps_of(b), count, sent, size, _steps_of(at)), None, None, None, None)]
         guests = np.bincount(b[seen], minlength=len(x)).astype(np.uint32)
         held = np.bincount(a[seen], minlength=len(x)).astype(np.float32)
         out += [_said(GUESTS, to, s, x[lo:hi], guests[lo:hi], held[lo:hi]) for to, lo, hi in _runs(self.word_shard(x))]
@@ -355,7 +363,7 @@ class _Steps:
         if not len(state):
             return _rows([], _SAID)
         x, steps, b, count, sent, size, at = _unpack(state["body"][0].as_buffer(), np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint32)
-        a, b = np.cumsum(steps.astype(np.int64)), b.astype(np.int64)
+        a, b, at = _from_steps(steps), _from_steps(b), _from_steps(at)
         runs = _runs(self.word_shard(x))
         told = dict(zip(replies["shard"].to_pylist(), replies["body"], strict=True))
         value, whole = (np.concatenate(c) for c in zip(*(_unpack(told[to].as_buffer(), np.float32, np.float32) for to, _, _ in runs), strict=True))
@@ -403,7 +411,7 @@ class _Steps:
             met = x[place] == y & SHORT if len(x) else np.zeros(len(y), dtype=bool)
             known = [np.where(met, c[place] if len(x) else 0, 0).astype(np.float32) for c in (value, whole)]
             count = count.astype(np.uint32)
-            own = np.split(at, np.cumsum(size)[:-1])
+            own = np.split(_from_steps(at), np.cumsum(size)[:-1])
             out += [_said(WORDS, n, s, count[k], known[0][k], known[1][k]) for n, k in zip(sent.tolist(), own, strict=True)]
         return _rows(out, _SAID)
 
@@ -434,7 +442,7 @@ class _Steps:
         return pa.table(out, schema=_SCORES)
 
 
-def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 12 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 24 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows whose crc32(doc_id) mod fold is not 0 (a null
@@ -454,7 +462,7 @@ def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 12 << 20, sh
     blocks = table(source.mapInArrow(steps.blocks(block_bytes), _ddl(_BLOCK)), "blocks")
     said = _ddl(_SAID)
     sums = table(blocks.mapInArrow(lambda batches: steps.blobs(batches), _ddl(_BLOB)).groupBy("shard").applyInArrow(lambda k, t: steps.sums(k, t), said), "sums")
-    spark._jvm.System.gc()  # for the exchange just done
+    settle(spark)
 
     def to(rows: DataFrame, kind: int) -> DataFrame:
         return rows.where(F.col("kind") == kind).select("to", "shard", "body")
@@ -467,6 +475,7 @@ def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 12 << 20, sh
     of_words, of_pairs = (to(sums, STATE).where(F.col("shard") < shards), to(sums, STATE).where(F.col("shard") >= shards))
     replies = table(to(sums, GUESTS).groupBy("to").applyInArrow(lambda k, t: steps.parent(k, t, None, distinct), said), "replies")
     model = counts | sum_of(replies, "guests", "held")
+    settle(spark)
     seated = table(of_pairs.groupBy("to").cogroup(to(replies, VALUES).groupBy("to")).applyInArrow(lambda k, a, b: steps.seat(k, a, b, model), said), "seated")
     forget(replies)
     counted = table(to(seated, GUESTS).groupBy("to").cogroup(of_words.groupBy("to")).applyInArrow(lambda k, a, b: steps.parent(k, a, b, distinct), said), "counted")
