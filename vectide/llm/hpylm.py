@@ -293,13 +293,19 @@ class _Steps:
 
     def pairs(self, now: np.ndarray, before: np.ndarray, home: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs in order of shard, word before and word: shard, both words; and the pair of each place."""
-        key, which = np.unique(before.astype(np.int64) << 32 | now, return_inverse=True)
-        a, b = key >> 32, key & 0xFFFFFFFF
+        key = before.astype(np.int64) << 32 | now
+        place = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[place]
+        new = np.diff(key, prepend=-1) != 0
+        key, which = key[new], np.cumsum(new, dtype=np.int32) - 1
+        a, b = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
         shard = self.pair_shard(home[a], piece[b])
-        order = np.argsort(shard, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return shard[order], a[order], b[order], rank[which]
+        order = np.argsort(shard, kind="stable").astype(np.int32)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        back = np.empty(len(place), dtype=np.int32)
+        back[place] = rank[which]
+        return shard[order], a[order], b[order], back
 
     def blobs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's distinct words and pairs with their counts in training documents, by shard; pairs' shards are numbered behind words'."""
@@ -325,6 +331,7 @@ class _Steps:
 
     def sums(self, key: tuple, blobs: pa.Table) -> pa.Table:
         """What blocks sent to a shard, summed, with the places of each block's words or pairs among all; and the first guests."""
+        release()
         s, blobs = key[0].as_py(), blobs.sort_by("block")
         sent = blobs["block"].to_numpy()
         if s < self.shards:
@@ -359,6 +366,7 @@ class _Steps:
 
     def seat(self, key: tuple, state: pa.Table, replies: pa.Table, model: dict) -> pa.Table:
         """Seat the customers of a shard's restaurants, tell the parent's guests, and answer every block."""
+        release()
         s = key[0].as_py()
         if not len(state):
             return _rows([], _SAID)
@@ -387,6 +395,7 @@ class _Steps:
 
     def parent(self, key: tuple, said: pa.Table, state: pa.Table | None, distinct: int) -> pa.Table:
         """Seat the parent's guests in a shard of words, and tell the words' values and tables to the shards of pairs or, with state, to the blocks."""
+        release()
         s = key[0].as_py()
         told = [_unpack(x.as_buffer(), np.uint64, np.uint32, np.float32) for x in said["body"]]
         x, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in told)]), return_inverse=True)
@@ -417,12 +426,14 @@ class _Steps:
 
     def scores(self, key: tuple, block: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
         """Scores of a block's texts; answers in order of shards are in the order of its words and pairs."""
+        release()
         if not len(block):
             return _rows([], _SCORES)
         ident, train, ends, now, before, home, piece = self.read(block["body"][0].as_buffer())
         told = sorted(zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["body"], strict=True), key=lambda r: r[:2])
         count, value, whole = (np.concatenate(c).astype(np.float64) for c in zip(*(_unpack(x.as_buffer(), np.uint32, np.float32, np.float32) for k, _, x in told if k == WORDS), strict=True))
         both, tables = (np.concatenate(c).astype(np.float64) for c in zip(*(_unpack(x.as_buffer(), np.uint32, np.float32) for k, _, x in told if k == PAIRS), strict=True))
+        del told
         _, a, b, which = self.pairs(now, before, home, piece)
         # every word of a training document is followed by one, so a word's count is its restaurant's too
         own = np.log10(predictive(both, tables, whole[a], count[a], _parent(value, model)[b]))[which]
@@ -442,7 +453,7 @@ class _Steps:
         return pa.table(out, schema=_SCORES)
 
 
-def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 24 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 14 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows whose crc32(doc_id) mod fold is not 0 (a null
