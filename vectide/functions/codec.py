@@ -34,14 +34,24 @@ def round_i8(v: Column | str) -> Column:
     return decode_i8(encode_i8(v))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of a list column, where each list starts and ends in them, and which lists are null."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    flat = column.flatten() if not column.null_count else pa.concat_arrays([column.values.slice(offsets[0], offsets[-1] - offsets[0])])
+    return flat.to_numpy(zero_copy_only=False), offsets - offsets[0], np.asarray(column.is_null())
+
+
 def with_f16(df: DataFrame, v: str = "embedding", out: str = "f16") -> DataFrame:
     """df with BINARY halves of v, rounded to nearest even; beyond the range they are infinite."""
 
     def run(batches):
         for b in batches:
+            flat, offsets, null = _lists(b[v])
             with np.errstate(over="ignore"):
-                own = [None if x is None else np.array(x, dtype=np.float32).astype("<f2").tobytes() for x in b[v].to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(own, pa.binary())], names=[*b.schema.names, out])
+                body = flat.astype(np.float32).astype("<f2").tobytes()
+            valid = None if not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+            own = pa.Array.from_buffers(pa.binary(), b.num_rows, [valid, pa.py_buffer((2 * offsets).astype(np.int32).tobytes()), pa.py_buffer(body)])
+            yield pa.record_batch([*b.columns, own], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` binary")
 
@@ -51,12 +61,23 @@ def from_f16(df: DataFrame, coded: str = "f16", out: str = "decoded") -> DataFra
 
     def run(batches):
         for b in batches:
-            own = [None if x is None else np.frombuffer(x, dtype="<f2").astype(np.float32).tolist() for x in b[coded].to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(own, pa.list_(pa.float32()))], names=[*b.schema.names, out])
+            column = b[coded]
+            offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+            body = np.frombuffer(column.buffers()[2] or b"", dtype="<f2", count=int(offsets[-1] - offsets[0]) // 2, offset=int(offsets[0]))
+            ends = ((offsets - offsets[0]) // 2).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(body.astype(np.float32)), mask=column.is_null() if column.null_count else None)
+            yield pa.record_batch([*b.columns, own], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` array<float>")
 
 
+def half_of(x: Column) -> Column:
+    """A finite float32 rounded to the nearest half, ties to even, as an expression; beyond the range infinite."""
+    x = x.cast("double")
+    ulp = F.pow(F.lit(2.0), F.greatest(F.when(x == 0, -14.0).otherwise(F.floor(F.log2(F.abs(x)))), F.lit(-14.0)) - 10)
+    return F.when(F.abs(x) >= HALF_LIMIT, F.signum(x) * float("inf")).otherwise(F.rint(x / ulp) * ulp)
+
+
 def round_f16(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.asarray(x, dtype=np.float32).astype(np.float16).astype(np.float32)
@@ -67,13 +88,17 @@ RANGES = {"i8": (-128, 127), "u8": (0, 255)}
 
 
 def dense_blocks(df: DataFrame, block: str, scalar: str = "i8", v: str = "embedding") -> DataFrame:
-    """Affine codes: df with scale, offset and codes, one scale for each block.
+    """Codes of one scale and offset for each block: df with scale, offset and codes.
 
-    The block's smallest element is coded as the type's smallest value, the
+    i8, u8: affine.  f32, f16: the elements themselves as floats, for f16 rounded
+    to halves; scale is 1 and offset 0, and an element that a half can't hold
+    fails the evaluation.  The block's smallest element is coded as the type's smallest value, the
     largest as the largest; codes are nearest, halves away from zero.  A flat
     block has scale 0 and decodes exactly.  Elements that aren't finite fail the
     evaluation, as do widths that differ within a block.
     """
+    if scalar in ("f32", "f16"):
+        return _float_blocks(df, block, scalar, v)
     low, high = RANGES[scalar]
     size, least, most = F.size(v), F.array_min(F.transform(v, lambda x: x.cast("double"))), F.array_max(F.transform(v, lambda x: x.cast("double")))
     spans = df.groupBy(block).agg(F.min(least).alias("_lo"), F.max(most).alias("_hi"), F.min(size).alias("_w0"), F.max(size).alias("_w1"), F.bool_and(all_finite(v)).alias("_ok"))
@@ -85,6 +110,18 @@ def dense_blocks(df: DataFrame, block: str, scalar: str = "i8", v: str = "embedd
     return df.join(spans, block).withColumn("codes", F.transform(v, code))
 
 
+def _float_blocks(df: DataFrame, block: str, scalar: str, v: str) -> DataFrame:
+    spans = df.groupBy(block).agg(F.min(F.size(v)).alias("_w0"), F.max(F.size(v)).alias("_w1"), F.bool_and(all_finite(v)).alias("_ok"))
+    if scalar == "f16":
+        held = df.groupBy(block).agg(F.bool_and(~F.exists(v, lambda x: F.abs(x.cast("double")) >= HALF_LIMIT)).alias("_held"))
+        spans = spans.join(held, block)
+    else:
+        spans = spans.withColumn("_held", F.lit(True))
+    good = F.assert_true(F.col("_ok") & (F.col("_w0") == F.col("_w1")) & F.col("_held"), F.lit("a block has elements that aren't finite or that overflow, or rows of different widths"))
+    spans = spans.select(block, F.when(good.isNull(), 1.0).alias("scale"), F.lit(0.0).alias("offset"))
+    return df.join(spans, block).withColumn("codes", F.transform(v, lambda x: (half_of(x) if scalar == "f16" else x).cast("float")))
+
+
 def dense_decode(codes: Column | str = "codes", scale: Column | str = "scale", offset: Column | str = "offset") -> Column:
     """offset + scale * code, in DOUBLE."""
     s, o = _col(scale), _col(offset)

@@ -37,7 +37,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_sq(a: Column | str, b: Column | str) -> Column:
-    """Squared Euclidean distance."""
+    """Squared Euclidean distance; of vectors of different widths NULL."""
 
     def step(x: Column, y: Column) -> Column:
         d = x.cast("double") - y.cast("double")
@@ -78,8 +78,15 @@ def scale(v: Column | str, by: Column | float) -> Column:
 
 
 def score(metric: str, query: Column | str, v: Column | str) -> Column:
-    """Score of v for a query, higher is better."""
-    return {"l2": lambda a, b: -l2_sq(a, b), "cosine": cosine, "ip": dot}[parse_metric(metric)](query, v)
+    """Score of v for a query, higher is better.  A vector of another width than the query's fails the evaluation."""
+    found = {"l2": lambda a, b: -l2_sq(a, b), "cosine": cosine, "ip": dot}[parse_metric(metric)](query, v)
+    return F.when(same_width(query, v).isNull(), found)
+
+
+def same_width(a: Column | str, b: Column | str) -> Column:
+    """NULL, or a failure if both vectors are there and differ in width."""
+    a, b = _col(a), _col(b)
+    return F.assert_true(a.isNull() | b.isNull() | (F.size(a) == F.size(b)), F.lit("vectors of different widths"))
 
 
 def _bad(x: Column) -> Column:
@@ -121,6 +128,19 @@ def row_count(df: DataFrame, dims: int, v: str = "embedding") -> int:
     return n
 
 
+def decode_row(df: DataFrame, row: int, v: str = "embedding", row_id: str = "vec_id") -> list[float]:
+    """One row's vector as floats, finite or not; an id that isn't there, or is there twice, is an error."""
+    found = df.where(F.col(row_id) == row).select(F.transform(v, lambda x: x.cast("float")).alias("x")).take(2)
+    if len(found) != 1:
+        raise IndexError(f"{len(found)} rows with the id {row}")
+    return found[0]["x"]
+
+
+def admitted(queries: DataFrame, dims: int, query: str = "query") -> DataFrame:
+    """queries whose evaluation fails at one that isn't finite or not of the rows' width."""
+    return validated(queries, dims, query)
+
+
 # numpy twins
 
 

@@ -11,11 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import sizing
-from vectide.functions.vectors import matrix
+from vectide.functions.vectors import l2_sq, matrix
 from vectide.operators.assign import assign, assign_two_level, file_fine, nearest_rows, nearest_two_level
 
 # fixed values of the fit
@@ -113,15 +113,30 @@ def balanced_split(x: np.ndarray, iters: int = SPLIT_ITERS, seed: int = 1, spher
     return c, side
 
 
+def split_step(rows: DataFrame, halves: DataFrame, by: str = "cluster_id", v: str = "embedding", row_id: str = "vec_id") -> DataFrame:
+    """by, row_id, side: one step of a balanced split of every cluster about two given centroids (by, c0, c1), by windows.
+
+    Rows are ranked by how much nearer they are to the first centroid; side 0
+    takes those that are nearer, but a quarter of the rows at least, rounded up,
+    and leaves as many.  It is the rule of balanced_split as expressions.
+    """
+    pull = rows.join(halves, by).select(by, row_id, F.round(l2_sq(v, "c0") - l2_sq(v, "c1"), 9).alias("pull"))
+    every = Window.partitionBy(by)
+    n, left = F.count("*").over(every), F.sum((F.col("pull") < 0).cast("long")).over(every)
+    least = F.ceil(n / 4)
+    place = F.row_number().over(every.orderBy("pull", row_id))
+    return pull.select(by, row_id, F.when(place <= F.least(F.greatest(left, least), n - least), 0).otherwise(1).cast("long").alias("side"))
+
+
 @dataclass(frozen=True)
 class KMeans:
-    """A fit's parameters.  max_bytes also bounds the sample, as float32; 0 means the sample size alone does."""
+    """A fit's parameters.  max_bytes also bounds the sample, as float32."""
 
     k: int
     iters: int = 11
     seed: int = 1
     spherical: bool = False
-    max_bytes: int = 0
+    max_bytes: int = 256 << 20
 
     def sample(self, rows: DataFrame, n: int, v: str = "embedding", row_id: str = "vec_id") -> np.ndarray:
         """The n rows with the smallest hashes of their ids, in order of id."""

@@ -7,6 +7,7 @@ its id.  No rule reads rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,41 +80,48 @@ def merge_owed(stats: DataFrame) -> bool:
     return _tiny(stats).where((F.col("count") == 0) | F.col("tiny")).limit(1).count() > 0
 
 
-def merge_candidates(stats: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
-    """cluster_id, other_id, count, other_count, place: the tiny clusters, smallest first, each with its nearest other."""
-    tiny = _tiny(stats).where(F.col("tiny") & (F.col("count") >= 1)).select("cluster_id", "count")
-    tiny = tiny.orderBy("count", "cluster_id").limit(most)
-    place = F.row_number().over(Window.orderBy("count", "cluster_id")).cast("long")
-    near = nearest_other(centroids).join(tiny, "cluster_id").select("cluster_id", "other_id", "count")
+def _waiting(stats: DataFrame) -> DataFrame:
+    """cluster_id and count of the tiny clusters with rows, in the order they are looked at."""
+    return _tiny(stats).where(F.col("tiny") & (F.col("count") >= 1)).select("cluster_id", "count").orderBy("count", "cluster_id")
+
+
+def _with_hosts(stats: DataFrame, centroids: DataFrame, tiny: DataFrame) -> DataFrame:
+    """cluster_id, other_id, count, other_count of these tiny clusters (cluster_id, count); only they meet all centroids."""
+    near = nearest_other(centroids, tiny).join(tiny, "cluster_id").select("cluster_id", "other_id", "count")
     other = stats.select(F.col("cluster_id").alias("other_id"), F.col("count").alias("other_count"))
-    return near.join(other, "other_id").select("cluster_id", "other_id", "count", "other_count", place.alias("place"))
+    return near.join(other, "other_id").select("cluster_id", "other_id", "count", "other_count")
 
 
-def merge_targets(stats: DataFrame, centroids: DataFrame, pairs: int, busy: Callable[[int], bool] = lambda _: False) -> list[tuple[int, int]]:
+def merge_candidates(stats: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
+    """cluster_id, other_id, count, other_count, place: the `most` smallest tiny clusters in order, each with its nearest other."""
+    place = F.row_number().over(Window.orderBy("count", "cluster_id")).cast("long")  # of `most` rows
+    return _with_hosts(stats, centroids, _waiting(stats).limit(most)).select("*", place.alias("place"))
+
+
+def merge_targets(stats: DataFrame, centroids: DataFrame, pairs: int, busy: Callable[[int], bool] | None = None) -> list[tuple[int, int]]:
     """Up to `pairs` merges (tiny, host), no cluster in two of them and none that is busy.
 
     A tiny whose nearest other cluster is busy, taken or too full waits; it never
-    takes its second nearest.  At most 16 tinies a pair are looked at, which
-    bounds what is collected here.
+    takes its second nearest.  At most 16 tinies a pair that aren't busy are
+    looked at, which bounds what is held here.
     """
     if pairs < 1:
         return []
-    above = sizing.split_above(total_count(stats))
+    busy = busy or (lambda _: False)
+    above, most = sizing.split_above(total_count(stats)), sizing.MERGE_TRIES * pairs
+    idle = islice(((r["cluster_id"], r["count"]) for r in _waiting(stats).toLocalIterator() if not busy(r["cluster_id"])), most)
+    tiny = list(idle)
+    if not tiny:
+        return []
+    found = {r["cluster_id"]: r for r in _with_hosts(stats, centroids, stats.sparkSession.createDataFrame(tiny, "cluster_id long, count long")).collect()}
     out: list[tuple[int, int]] = []
-    idle = F.lit(True)
-    names = [r["cluster_id"] for r in stats.select("cluster_id").collect()] if busy is not None else []
-    held = [x for x in names if busy(x)]
-    if held:
-        idle = ~F.col("cluster_id").isin(held)
-    taken: set[int] = set(held)
-    wait = _tiny(stats).where(F.col("tiny") & (F.col("count") >= 1) & idle).select("cluster_id")
-    found = merge_candidates(stats, centroids, len(names)).join(wait, "cluster_id", "left_semi").orderBy("place").limit(sizing.MERGE_TRIES * pairs)
-    for r in found.collect():
-        tiny, host = r["cluster_id"], r["other_id"]
-        if tiny in taken or host in taken or r["count"] + r["other_count"] > above:
+    taken: set[int] = set()
+    for own, count in tiny:
+        r = found.get(own)
+        if r is None or own in taken or r["other_id"] in taken or count + r["other_count"] > above or busy(r["other_id"]):
             continue
-        taken |= {tiny, host}
-        out.append((tiny, host))
+        taken |= {own, r["other_id"]}
+        out.append((own, r["other_id"]))
         if len(out) == pairs:
             break
     return out

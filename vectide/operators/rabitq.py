@@ -8,6 +8,7 @@ made cluster by cluster and scored in Arrow batches; arithmetic is in float64.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -236,55 +237,79 @@ def _next_up(x: np.ndarray) -> np.ndarray:
     return np.nextafter(x, np.inf)
 
 
-def score(codes: Codes, q: Query) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated scores of all rows, higher is better, and upper bounds of their exact scores.
+class Scoring:
+    """Estimates of all rows of a column for a query; bounds only for the rows that are asked for.
 
     l2: the negated squared distance; cosine: the similarity.  Where query and
     column don't fit (metric, width, seed) scores are 0 and bounds infinite, so
-    that nothing is pruned.
+    that nothing is pruned.  bounded counts the rows whose bounds were computed.
     """
-    n = len(codes)
-    if q.metric != codes.metric or len(q.vector) != codes.dims or q.seed != codes.seed:
-        return np.zeros(n), np.full(n, np.inf)
-    zero = codes.align == ZERO_ROW
-    if q.metric == "cosine" and not np.any(q.vector):
-        return np.zeros(n), np.full(n, np.inf) if q.exact else np.zeros(n)
-    dims, eps = codes.dims, q.sigmas or SIGMAS
-    center = rotation(codes.seed, dims).apply(codes.centroid)
-    r = q.turned() - center
-    qn = float(np.sqrt((r * r).sum()))
-    norm = codes.norm
-    align = np.where(zero, 1, codes.ex_align if codes.ex_bits else codes.align)
-    live = (norm > 0) & ~zero & (qn > 0) & (align > 0)
-    if qn > 0:
-        if q.shared:
-            g, resid = q.quantised()
-            u, spread = (g - center) / qn, resid / (qn * qn * dims)
+
+    def __init__(self, codes: Codes, q: Query):
+        n, self.codes, self.q, self.bounded = len(codes), codes, q, 0
+        self.fits = q.metric == codes.metric and len(q.vector) == codes.dims and q.seed == codes.seed
+        self.flat = self.fits and q.metric == "cosine" and not np.any(q.vector)
+        if not self.fits or self.flat:
+            self.estimate = np.zeros(n)
+            return
+        dims, self.eps = codes.dims, q.sigmas or SIGMAS
+        center = rotation(codes.seed, dims).apply(codes.centroid)
+        r = q.turned() - center
+        self.qn = qn = float(np.sqrt((r * r).sum()))
+        self.zero = codes.align == ZERO_ROW
+        self.align = np.where(self.zero, 1, codes.ex_align if codes.ex_bits else codes.align)
+        self.live = (codes.norm > 0) & ~self.zero & (qn > 0) & (self.align > 0)
+        if qn > 0:
+            if q.shared:
+                g, resid = q.quantised()
+                u, self.spread = (g - center) / qn, resid / (qn * qn * dims)
+            else:
+                u, resid = quantise(r / qn, QUERY_LEVELS)
+                self.spread = resid / dims
         else:
-            u, resid = quantise(r / qn, QUERY_LEVELS)
-            spread = resid / dims
-    else:
-        u, spread = np.zeros(dims), 0.0
-    if codes.ex_bits:
-        raw = np.divide(codes.ex @ u, codes.ex_norm, out=np.zeros(n), where=codes.ex_norm > 0)
-    else:
-        raw = (2 * (codes.signs @ u) - u.sum()) / np.sqrt(dims)
-    ip = np.divide(raw, align, out=np.zeros(n), where=live)
-    sigma = np.divide(np.sqrt(np.maximum(1 - align**2, 0) / max(dims - 1, 1) + spread), align, out=np.zeros(n), where=live)
-    near = np.abs(ip) - eps * sigma
-    tight = np.where(near > 0, np.maximum(1 - near**2, 0), 1)
-    sigma = np.divide(np.sqrt(np.maximum(1 - align**2, 0) / max(dims - 1, 1) * tight + spread), align, out=np.zeros(n), where=live)
-    least = (norm - qn) ** 2
-    d2 = norm**2 + qn**2 - 2 * norm * qn * ip
-    low = np.maximum(d2 - 2 * norm * qn * eps * sigma, least)
-    d2 = np.maximum(d2, least)
-    d2[~live] = low[~live] = (norm**2 + qn**2)[~live]
-    if codes.metric == "l2":
-        est, bound = -d2, _next_up(-low)
-    else:
-        est, bound = np.clip(1 - d2 / 2, -1, 1), _next_up(np.clip(1 - low / 2, -1, 1))
-    est, bound = np.where(zero, 0.0, est), np.where(zero, 0.0, bound)
-    return est, np.full(n, np.inf) if q.exact else bound
+            u, self.spread = np.zeros(dims), 0.0
+        if codes.ex_bits:
+            raw = np.divide(codes.ex @ u, codes.ex_norm, out=np.zeros(n), where=codes.ex_norm > 0)
+        else:
+            raw = (2 * (codes.signs @ u) - u.sum()) / np.sqrt(dims)
+        self.ip = np.divide(raw, self.align, out=np.zeros(n), where=self.live)
+        norm = codes.norm
+        d2 = np.maximum(norm**2 + qn**2 - 2 * norm * qn * self.ip, (norm - qn) ** 2)
+        d2[~self.live] = (norm**2 + qn**2)[~self.live]
+        est = -d2 if codes.metric == "l2" else np.clip(1 - d2 / 2, -1, 1)
+        self.estimate = np.where(self.zero, 0.0, est)
+
+    def bound(self, rows=slice(None)) -> np.ndarray:
+        """Upper bounds of the exact scores of these rows."""
+        norm, n = self.codes.norm[rows], len(self.codes.norm[rows])
+        if self.q.exact or not self.fits:
+            return np.full(n, np.inf)
+        if self.flat:
+            return np.zeros(n)
+        self.bounded += n
+        align, live, ip, zero, qn = self.align[rows], self.live[rows], self.ip[rows], self.zero[rows], self.qn
+        off = np.maximum(1 - align**2, 0) / max(self.codes.dims - 1, 1)
+        sigma = np.divide(np.sqrt(off + self.spread), align, out=np.zeros(n), where=live)
+        near = np.abs(ip) - self.eps * sigma
+        tight = np.where(near > 0, np.maximum(1 - near**2, 0), 1)
+        sigma = np.divide(np.sqrt(off * tight + self.spread), align, out=np.zeros(n), where=live)
+        low = np.maximum(norm**2 + qn**2 - 2 * norm * qn * ip - 2 * norm * qn * self.eps * sigma, (norm - qn) ** 2)
+        low[~live] = (norm**2 + qn**2)[~live]
+        top = _next_up(-low) if self.codes.metric == "l2" else _next_up(np.clip(1 - low / 2, -1, 1))
+        return np.where(zero, 0.0, top)
+
+    def reach(self) -> np.ndarray | float:
+        """What a bound exceeds its estimate by at most, from the column's largest norm and smallest align."""
+        top, worst = bound_hint(self.codes)
+        sigma = np.sqrt(max(1 - worst**2, 0) / max(self.codes.dims - 1, 1) + self.spread) / max(worst, 1e-9)
+        wide = 2 * top * self.qn * self.eps * sigma
+        return (wide if self.codes.metric == "l2" else wide / 2) * (1 + 1e-9) + 1e-9
+
+
+def score(codes: Codes, q: Query) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated scores of all rows, higher is better, and upper bounds of their exact scores."""
+    own = Scoring(codes, q)
+    return own.estimate, own.bound()
 
 
 def bound_hint(codes: Codes) -> tuple[float, float]:
@@ -293,19 +318,17 @@ def bound_hint(codes: Codes) -> tuple[float, float]:
     return float(codes.norm.max(initial=0)), float((codes.ex_align if codes.ex_bits else codes.align)[ok].min(initial=1))
 
 
-def may_reach(codes: Codes, q: Query, cutoff: float) -> np.ndarray:
-    """Rows whose bound is not below the cutoff: a cheap envelope first, the bound only for rows that pass it."""
-    est, _ = score(codes, q)
-    top, worst = bound_hint(codes)
-    r = q.turned() - rotation(codes.seed, codes.dims).apply(codes.centroid)
-    reach = 2 * top * float(np.sqrt((r * r).sum())) * (q.sigmas or SIGMAS) * np.sqrt(1 / max(codes.dims - 1, 1) + (GLOBAL_LEVELS if q.shared else QUERY_LEVELS)) / max(worst, 1e-9)
-    maybe = est + (reach if codes.metric == "l2" else reach / 2) >= cutoff
-    out = np.zeros(len(codes), dtype=bool)
-    if q.exact:
+def may_reach(codes: Codes, q: Query, cutoff: float, work: Scoring | None = None) -> np.ndarray:
+    """Rows whose bound is not below the cutoff: the column's envelope first, bounds only of the rows that it lets through."""
+    own = work or Scoring(codes, q)
+    if q.exact or not own.fits:
         return np.ones(len(codes), dtype=bool)
-    if maybe.any():
-        at = np.flatnonzero(maybe)
-        out[at] = score(codes.select(at), q)[1] >= cutoff
+    if own.flat:
+        return np.full(len(codes), cutoff <= 0)
+    out = np.zeros(len(codes), dtype=bool)
+    at = np.flatnonzero((own.estimate + own.reach() >= cutoff) | own.zero)
+    if len(at):
+        out[at] = own.bound(at) >= cutoff
     return out
 
 
@@ -361,6 +384,115 @@ def codes_of(rows: DataFrame, frames: DataFrame, by: str = "cluster_id", v: str
     return own.join(frames, "cluster_id").select("cluster_id", "vec_id", "x", "centroid", "seed", "metric", "ex_bits").mapInArrow(run, CODES)
 
 
+def append_codes(codes: DataFrame, rows: DataFrame, frames: DataFrame, by: str = "cluster_id", v: str = "embedding", row_id: str = "vec_id") -> DataFrame:
+    """codes and those of more rows, in the frames that are there: no row of theirs is coded again.  Rows of a cluster without a frame are left out."""
+    return codes.unionByName(codes_of(rows, frames, by, v, row_id))
+
+
+def check(c: Codes) -> Codes:
+    """The codes, if an encoder can have made them.
+
+    Norms are finite and not negative; align is -1 (a zero row of a cosine
+    column), 0 just where the norm is 0, or from 0.999/sqrt(dims) to 1; extended
+    levels are of ex_bits bits and have the signs, their norm is theirs, and
+    their align is from 0 to 1.
+    """
+    zero = (c.norm == 0) & ((c.align == 0) | ((c.align == ZERO_ROW) & (c.metric == "cosine")))
+    live = (c.norm > 0) & (c.align >= 0.999 / np.sqrt(c.dims)) & (c.align <= 1 + 1e-9)
+    ok = np.isfinite(c.centroid).all() and bool((np.isfinite(c.norm) & (zero | live)).all()) and not c.signs[c.norm == 0].any()
+    if ok and c.ex_bits and len(c):
+        y, some = c.ex, c.norm > 0
+        n = np.sqrt((y * y).sum(1))
+        ok = c.ex.shape == c.signs.shape and bool((np.abs(y) <= (1 << c.ex_bits) - 0.5).all() and ((y > 0) == (c.signs > 0))[some].all())
+        ok = ok and bool((np.abs(c.ex_norm - np.where(some, n, 0)) <= 1e-6 * (1 + n)).all() and (c.ex_align >= 0).all() and (c.ex_align <= 1 + 1e-9).all())
+    if not ok:
+        raise ValueError("a code that no encoder makes")
+    return c
+
+
+#: First bytes of a code column.
+COLUMN = b"VQC\x01"
+
+
+def encode_column(c: Codes) -> bytes:
+    """Metric, extended bits, width, rows and seed; centroid, norms, aligns, words of signs; with extended bits levels, their norms and aligns."""
+    out = [COLUMN, struct.pack("<BBIIQ", METRICS.index(c.metric), c.ex_bits, c.dims, len(c), c.seed), *(np.asarray(x, dtype="<f8").tobytes() for x in (c.centroid, c.norm, c.align)), c.packed().tobytes()]
+    if c.ex_bits:
+        out += [np.floor(c.ex).astype(np.int8).tobytes(), *(np.asarray(x, dtype="<f8").tobytes() for x in (c.ex_norm, c.ex_align))]
+    return b"".join(out)
+
+
+def decode_column(data: bytes) -> Codes:
+    """The codes of these bytes; what no encoder writes is an error."""
+    if len(data) < 22 or data[:4] != COLUMN:
+        raise ValueError("not a code column")
+    metric, ex_bits, dims, rows, seed = struct.unpack_from("<BBIIQ", data, 4)
+    if metric >= len(METRICS):
+        raise ValueError("no such metric")
+    check_frame(METRICS[metric], dims, seed, ex_bits)
+    words = -(-dims // 64)
+    if len(data) != 22 + 8 * dims + rows * (16 + 8 * words) + (rows * (dims + 16) if ex_bits else 0):
+        raise ValueError(f"{len(data)} bytes for {rows} rows of width {dims}")
+    at = 22
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        at += np.dtype(kind).itemsize * n
+        return np.frombuffer(data, dtype=kind, count=n, offset=at - np.dtype(kind).itemsize * n)
+
+    centroid, norm, align = take("<f8", dims), take("<f8", rows), take("<f8", rows)
+    signs = _unpacked(take("<i8", rows * words).reshape(rows, words), dims)
+    own = Codes(centroid, seed, METRICS[metric], ex_bits, signs, norm, align)
+    if ex_bits:
+        own.ex, own.ex_norm, own.ex_align = take("i1", rows * dims).reshape(rows, dims) + 0.5, take("<f8", rows), take("<f8", rows)
+    return check(own)
+
+
+def _unpacked(words: np.ndarray, dims: int) -> np.ndarray:
+    """Signs of rows of 64-bit words; bits beyond the last dimension have to be 0."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little") if words.size else np.zeros((len(words), dims), dtype=np.uint8)
+    if bits[:, dims:].any():
+        raise ValueError("bits beyond a code's last dimension")
+    return bits[:, :dims]
+
+
+def bytes_of(codes: DataFrame, frames: DataFrame) -> DataFrame:
+    """cluster_id, ids and body: every cluster's codes, in order of id, as one column's bytes."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        f = {n: t[n][0].as_py() for n in ("centroid", "seed", "metric", "ex_bits")}
+        body = encode_column(read_codes(t, np.array(f["centroid"]), f["seed"] % (1 << 64), f["metric"], f["ex_bits"]))
+        return pa.table({"cluster_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())), "body": pa.array([body], pa.binary())})
+
+    return codes.join(frames, "cluster_id").groupBy("cluster_id").applyInArrow(run, "cluster_id long, ids array<long>, body binary")
+
+
+def codes_from_bytes(columns: DataFrame, frames: DataFrame) -> DataFrame:
+    """The codes of columns as of bytes_of; bytes of another frame than the cluster's are an error."""
+
+    def run(batches):
+        for b in batches:
+            for cluster, ids, body, centroid, seed in zip(*(b[c].to_pylist() for c in ("cluster_id", "ids", "body", "centroid", "seed")), strict=True):
+                own = decode_column(body)
+                if own.seed != seed % (1 << 64) or len(own) != len(ids) or not np.array_equal(own.centroid, np.array(centroid)):
+                    raise ValueError("a column of another frame")
+                n = len(ids)
+                yield _batch([cluster] * n, ids, own)
+
+    return columns.join(frames, "cluster_id").select("cluster_id", "ids", "body", "centroid", "seed").mapInArrow(run, CODES)
+
+
+def _batch(clusters: list[int], ids: list[int], c: Codes) -> pa.RecordBatch:
+    n = len(c)
+    ex = np.floor(c.ex).astype(np.int8).tolist() if c.ex_bits else [[]] * n
+    zero = np.zeros(n)
+    return pa.record_batch(
+        [pa.array(clusters, pa.int64()), pa.array(ids, pa.int64()), pa.array(c.packed().tolist(), pa.list_(pa.int64())), pa.array(c.norm), pa.array(c.align), pa.array(ex, pa.list_(pa.int8())), pa.array(c.ex_norm if c.ex_bits else zero), pa.array(c.ex_align if c.ex_bits else zero)],
+        names=["cluster_id", "vec_id", "bits", "norm", "align", "ex", "ex_norm", "ex_align"],
+    )
+
+
 def matrix64(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -368,13 +500,14 @@ def matrix64(column) -> np.ndarray:
 
 
 def read_codes(batch, centroid: np.ndarray, seed: int, metric: str, ex_bits: int) -> Codes:
-    """Codes of a batch with the columns of `codes_of`, all of one cluster."""
+    """Codes of a batch with the columns of `codes_of`, all of one cluster; what no encoder makes is an error."""
     dims = len(centroid)
     words = np.array(batch["bits"].to_pylist(), dtype="<i8").reshape(batch.num_rows, -1)
-    signs = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :dims]
+    if words.shape[1] != -(-dims // 64):
+        raise ValueError("a code of another width")
     num = lambda c: batch[c].to_numpy()
     ex = np.array(batch["ex"].to_pylist(), dtype=float).reshape(batch.num_rows, -1) + 0.5 if ex_bits else np.zeros((0, 0))
-    return Codes(np.asarray(centroid, dtype=np.float64), seed, metric, ex_bits, signs, num("norm"), num("align"), ex, num("ex_norm"), num("ex_align"))
+    return check(Codes(np.asarray(centroid, dtype=np.float64), seed, metric, ex_bits, _unpacked(words, dims), num("norm"), num("align"), ex, num("ex_norm"), num("ex_align")))
 
 
 def checked_codes(codes: DataFrame, frames: DataFrame) -> DataFrame:
@@ -383,15 +516,19 @@ def checked_codes(codes: DataFrame, frames: DataFrame) -> DataFrame:
     Norms are finite and not negative; align is -1 (a zero row of a cosine
     column), 0 just where the norm is 0, or from 0.999/sqrt(dims) to 1; there is a
     word for every 64 dimensions, and bits beyond the last dimension are 0.
+    Extended levels are as many as dimensions, of ex_bits bits, and their align
+    is from 0 to 1.
     """
-    f = frames.select("cluster_id", F.size("centroid").alias("_dims"), F.col("metric").alias("_metric"))
+    f = frames.select("cluster_id", F.size("centroid").alias("_dims"), F.col("metric").alias("_metric"), F.col("ex_bits").alias("_ex"))
     words = F.ceil(F.col("_dims") / 64).cast("int")
     tail = F.col("_dims") % 64
     spare = F.when(tail == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(element_at(bits, -1), cast(_dims % 64 as int))"))
     finite = (F.col("norm") >= 0) & (F.col("norm") < float("inf"))
     aligned = ((F.col("norm") == 0) & ((F.col("align") == 0) | ((F.col("align") == ZERO_ROW) & (F.col("_metric") == "cosine")))) | ((F.col("norm") > 0) & (F.col("align") >= 0.999 / F.sqrt("_dims")) & (F.col("align") <= 1 + 1e-9))
-    ok = F.coalesce((F.size("bits") == words) & (spare == 0) & finite & aligned, F.lit(False))
-    tested = codes.join(F.broadcast(f), "cluster_id").withColumn("norm", F.when(F.assert_true(ok, F.lit("a code that no encoder makes")).isNull(), F.col("norm")))
+    top = F.pow(F.lit(2), F.col("_ex"))
+    extended = (F.size("ex") == F.col("_dims")) & F.forall("ex", lambda y: (y >= -top) & (y < top)) & (F.col("ex_norm") >= 0) & (F.col("ex_norm") < float("inf")) & (F.col("ex_align") >= 0) & (F.col("ex_align") <= 1 + 1e-9)
+    ok = F.coalesce((F.size("bits") == words) & (spare == 0) & finite & aligned & ((F.col("_ex") == 0) | extended), F.lit(False))
+    tested = codes.join(f, "cluster_id").withColumn("norm", F.when(F.assert_true(ok, F.lit("a code that no encoder makes")).isNull(), F.col("norm")))
     return tested.select(codes.columns)
 
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.functions.vectors import l2_sq, matrix, np_l2
+from vectide.functions.vectors import l2_sq, matrix
+from vectide.operators.assign import nearest_within, parts_of
 from vectide.operators.kmeans import lloyd, seed_centroids
 
 # fixed values of the build
@@ -47,11 +48,36 @@ def _d2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ((x - q) ** 2).sum(1)
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) - np.repeat(end - size - start, size)
+
+
+def _pairs_l2(x: np.ndarray, row: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distance of each pair of a row of x and a row of y, without cancellation."""
+    out, step = np.empty(len(row)), max(1, (1 << 21) // max(1, x.shape[1]))
+    for lo in range(0, len(row), step):
+        d = x[row[lo : lo + step]] - y[at[lo : lo + step]]
+        out[lo : lo + step] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def _best(row: np.ndarray, d2: np.ndarray, ident: np.ndarray, n: int) -> np.ndarray:
+    """Places of each row's n smallest, by distance and then id, in order of row."""
+    order = np.lexsort((ident, d2, row))
+    own = row[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < n]
+
+
 class Tree:
     """A centroid tree; edits make a new one and leave the old as it is."""
 
     def __init__(self, nodes: list[Node], vectors: np.ndarray, fanout: int, coded: tuple | None = None):
-        self.nodes, self.vectors, self.fanout, self.coded = nodes, vectors, fanout, coded
+        self.nodes, self.vectors, self.fanout, self.coded, self._arrays = nodes, vectors, fanout, coded, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_arrays": None}
 
     # shape
 
@@ -152,43 +178,82 @@ class Tree:
         d = _d2(q, self.vectors[open_])
         return open_[_nearest_first(d, open_, probe)].tolist()
 
-    def search_many(self, q: np.ndarray, beam: int, probe: int) -> np.ndarray:
-        """The same for many queries at once, queries x probe, -1 where there are no more."""
+    def _flat(self) -> tuple:
+        """Children and leaves of every node as runs of one array each, centroids as one matrix, and the copies."""
+        if self._arrays is None:
+            kids = [np.array(sorted(n.children), dtype=np.int64) for n in self.nodes]
+            leaves = [np.array(sorted(n.leaves), dtype=np.int64) for n in self.nodes]
+            runs = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64), np.cumsum([0, *map(len, x)]))
+            self._arrays = (*runs(kids), *runs(leaves), np.stack([n.centroid for n in self.nodes]))
+        return self._arrays
+
+    def search_many(self, q: np.ndarray, beam: int, probe: int, work: Work | None = None) -> np.ndarray:
+        """The same for many queries at once, queries x probe, -1 where there are no more.
+
+        Only the pairs of a query and a node below its beam are measured.  With
+        8-bit copies leaves are measured on integers first, and in float only
+        where the copies' errors leave the order open.
+        """
+        work = work if work is not None else Work()
         out = np.full((len(q), max(probe, 0)), -1, dtype=np.int64)
         q = np.asarray(q, dtype=np.float64)
         if not self.nodes or probe <= 0 or q.shape[1] != self.dims:
             return out
-        for lo in range(0, len(q), 1024):
-            x = q[lo : lo + 1024]
-            level, held = {0: np.arange(len(x))}, []
-            while level:
-                held += [(n, rows) for n, rows in level.items() if not self.nodes[n].children]
-                down = sorted(c for n in level for c in self.nodes[n].children)
-                if not down:
+        kids, kid_at, leaves, leaf_at, centroids = self._flat()
+        for lo in range(0, len(q), 4096):
+            x = q[lo : lo + 4096]
+            row, node, held = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), []
+            while len(row):
+                size = kid_at[node + 1] - kid_at[node]
+                held.append((row[size == 0], node[size == 0]))
+                row, node = np.repeat(row, size), kids[_spread(kid_at[node], size)]
+                if not len(row):
                     break
-                place = {c: k for k, c in enumerate(down)}
-                d = np.full((len(x), len(down)), np.inf)
-                for n, rows in level.items():
-                    if kids := self.nodes[n].children:
-                        d[np.ix_(rows, [place[c] for c in kids])] = np_l2(x[rows], np.stack([self.nodes[c].centroid for c in kids]))
-                best = np.argsort(d, axis=1, kind="stable")[:, : max(beam, 1)]
-                real = np.isfinite(np.take_along_axis(d, best, 1))
-                level = {c: rows for c, k in place.items() if len(rows := np.flatnonzero(((best == k) & real).any(1)))}
-            leaves = np.array(sorted(k for n, _ in held for k in self.nodes[n].leaves), dtype=np.int64)
-            if not len(leaves):
-                continue
-            d = np.full((len(x), len(leaves)), np.inf)
-            for n, rows in held:
-                if own := self.nodes[n].leaves:
-                    d[np.ix_(rows, np.searchsorted(leaves, own))] = np_l2(x[rows], self.vectors[own])
-            if probe == 1:
-                best = d.argmin(1)[:, None]
-            else:
-                best = np.argsort(d, axis=1, kind="stable")[:, :probe]
-            found = np.where(np.isfinite(np.take_along_axis(d, best, 1)), leaves[best], -1)
-            out[lo : lo + 1024, : found.shape[1]] = found
+                work.floats += len(row)
+                keep = _best(row, _pairs_l2(x, row, centroids, node), node, max(beam, 1))
+                row, node = row[keep], node[keep]
+            row, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            size = leaf_at[node + 1] - leaf_at[node]
+            row, leaf = np.repeat(row, size), leaves[_spread(leaf_at[node], size)]
+            order = np.argsort(row, kind="stable")
+            row, leaf = row[order], leaf[order]
+            if self.coded is not None and len(row):
+                open_ = self._open(x, row, leaf, probe)
+                work.quantised += len(row)
+                row, leaf = row[open_], leaf[open_]
+            work.floats += len(row)
+            keep = _best(row, _pairs_l2(x, row, self.vectors, leaf), leaf, probe)
+            row, leaf = row[keep], leaf[keep]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            out[lo + row, place] = leaf
         return out
 
+    def _open(self, x: np.ndarray, row: np.ndarray, leaf: np.ndarray, probe: int) -> np.ndarray:
+        """Which pairs (in order of row) may be among their row's `probe` nearest, by products of 8-bit integers.
+
+        The distance to a copy is off by no more than both copies' errors.
+        """
+        codes, scale, error = self.coded
+        step = np.abs(x).max(1, initial=0) / 127
+        step[step == 0] = 1
+        qc = np.round(x / step[:, None]).astype(np.int8)
+        qe = np.sqrt(((x - qc * step[:, None]) ** 2).sum(1))
+        norm, own = (qc.astype(np.int32) ** 2).sum(1), (codes.astype(np.int32) ** 2).sum(1)
+        product = np.empty(len(row), dtype=np.int32)
+        for lo in range(0, len(row), 1 << 18):
+            r, k = row[lo : lo + (1 << 18)], leaf[lo : lo + (1 << 18)]
+            product[lo : lo + (1 << 18)] = np.einsum("ij,ij->i", qc[r], codes[k], dtype=np.int32)
+        s, t = step[row], scale[leaf]
+        near = np.sqrt(np.maximum(norm[row] * s * s + own[leaf] * t * t - 2.0 * product * s * t, 0))
+        slack = qe[row] + error[leaf]
+        margin = 1e-5 * ((x * x).sum(1)[row] + (self.vectors * self.vectors).sum(1)[leaf])
+        high, low = (near + slack) ** 2 + margin, np.maximum(near - slack, 0) ** 2 - margin
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        size = np.diff(start, append=len(row))
+        order = np.lexsort((high, row))
+        limit = high[order[start + np.minimum(probe, size) - 1]]
+        return np.flatnonzero(low <= np.repeat(limit, size))
+
     def nearest(self, q: np.ndarray, probe: int) -> list[int]:
         """The probe nearest clusters with a beam as wide."""
         return self.search(q, probe, probe)
@@ -298,8 +363,17 @@ class Tree:
         return t
 
 
+#: Bytes of a tree that are broadcast.
+BROADCAST = 512 << 20
+
+
 def route(queries: DataFrame, tree: Tree, probe: int, beam: int | None = None, v: str = "query") -> DataFrame:
-    """query_id, place, cluster_id: the tree's clusters for each query, past a broadcast tree."""
+    """query_id, place, cluster_id: the tree's clusters for each query, past a broadcast tree.
+
+    A tree of more than BROADCAST bytes goes by joins on its table, level by level.
+    """
+    if 2 * tree.vectors.nbytes > BROADCAST:
+        return beam_search(queries.select("query_id", F.col(v).alias("query")), tree.table(queries.sparkSession), beam or probe, probe, tree.height)
     shared = queries.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
@@ -313,9 +387,27 @@ def route(queries: DataFrame, tree: Tree, probe: int, beam: int | None = None, v
     return queries.select(F.col("query_id").cast("long").alias("query_id"), v).mapInArrow(run, "query_id long, place long, cluster_id long")
 
 
+def route_work(queries: DataFrame, tree: Tree, probe: int, beam: int | None = None, v: str = "query") -> DataFrame:
+    """query_id, found (the clusters in order), floats and quantised: what routing each query computes, in float and on 8-bit copies."""
+    shared = queries.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for ident, q in zip(b["query_id"].to_pylist(), matrix(b[v]), strict=True):
+                work = Work()
+                found = shared.value.search_many(q[None, :], beam or probe, probe, work)[0]
+                out.append((ident, found[found >= 0].tolist(), work.floats, work.quantised))
+            if out:
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_id", "found", "floats", "quantised"])
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), v).mapInArrow(run, "query_id long, found array<long>, floats long, quantised long")
+
+
 def beam_search(queries: DataFrame, nodes: DataFrame, beam: int, probe: int, depth: int) -> DataFrame:
     """query_id, place, cluster_id by joins, level by level; nodes as of Tree.table, depth levels of nodes at most."""
-    n = F.broadcast(nodes)
+    n = F.broadcast(nodes) if parts_of(nodes, "centroid", BROADCAST) == 1 else nodes
     inner = n.where("node_id is not null").select(F.col("node_id").alias("child_id"), F.col("parent_id").alias("above"), F.col("centroid").alias("_c"))
     leaf = n.where("leaf_id is not null").select(F.col("parent_id").alias("above"), F.col("leaf_id").alias("cluster_id"), F.col("centroid").alias("_c"))
     level = queries.select("query_id", "query").crossJoin(F.broadcast(inner.where("above is null").select(F.col("child_id").alias("node_id"))))
@@ -332,13 +424,7 @@ def beam_search(queries: DataFrame, nodes: DataFrame, beam: int, probe: int, dep
 
 def two_stage_assign(queries: DataFrame, groups: DataFrame, centroids: DataFrame, top: int) -> DataFrame:
     """query_id, cluster_id, d2: nearest centroid in the `top` nearest groups; groups (group_id, centroid), centroids (cluster_id, group_id, centroid)."""
-    g = groups.select("group_id", F.col("centroid").alias("_g"))
-    near = queries.select("query_id", "query").crossJoin(F.broadcast(g)).select("query_id", "query", "group_id", l2_sq("query", "_g").alias("gd"))
-    w = Window.partitionBy("query_id").orderBy("gd", "group_id")
-    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    c = centroids.select("cluster_id", "group_id", F.col("centroid").alias("_c"))
-    best = near.join(F.broadcast(c), "group_id").groupBy("query_id").agg(F.min(F.struct(l2_sq("query", "_c").alias("d2"), "cluster_id")).alias("b"))
-    return best.select("query_id", "b.cluster_id", "b.d2")
+    return nearest_within(queries, groups, centroids, top, "query", "query_id")
 
 
 class BlockTree:
@@ -391,6 +477,19 @@ class BlockTree:
         return ids[_nearest_first(-np.array(scores), ids, probe)].tolist() if len(ids) else []
 
 
+def route_blocks(queries: DataFrame, tree: BlockTree, probe: int, beam: int | None = None, v: str = "query") -> DataFrame:
+    """query_id, place, cluster_id: as route, past a broadcast block tree; a query of another width is an error."""
+    shared = queries.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for b in batches:
+            out = [(i, k + 1, c) for i, q in zip(b["query_id"].to_pylist(), b[v].to_pylist(), strict=True) for k, c in enumerate(shared.value.search(np.array(q), beam or probe, probe))]
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "place", "cluster_id"])
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), v).mapInArrow(run, "query_id long, place long, cluster_id long")
+
+
 class FloatBlock:
     """Rows as float32."""
 

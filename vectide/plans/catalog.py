@@ -7,17 +7,19 @@ fixes their order.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions import codec, sizing
 from vectide.functions import vectors as V
 from vectide.operators import assign, kmeans, maintain, policy, rabitq, rank, router, search
-from vectide.sources import bigann
+from vectide.sources import bigann, wire
 
 K = 10
 
@@ -26,6 +28,19 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for benchmark files: among those that driver and executors share, or, where the session names none, on this machine, if it is all there is."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = urlparse(named or "")
+    if shared.scheme not in ("", "file"):
+        raise ValueError("benchmark files are read as local files; spark.checkpoint.dir has to be a mounted folder")
+    if named:
+        os.makedirs(shared.path, exist_ok=True)
+    return tempfile.mkdtemp(prefix="vectide-", dir=shared.path or None)
+
+
 def _rows(spark, d) -> DataFrame:
     return _read(spark, d, "embeddings").select("vec_id", "embedding", "label")
 
@@ -167,9 +182,9 @@ def sizing_curve(spark, d):
 
 
 def _supplier_stats(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Customers by nation, as clusters of one number; nation 3 thinned out to be tiny."""
-    rows = _read(spark, d, "customer").where((F.col("c_nationkey") != 3) | (F.col("c_custkey") % 9 == 0))
-    rows = rows.select(F.col("c_nationkey").cast("long").alias("cluster_id"), F.array("c_acctbal").alias("embedding"))
+    """Customers as clusters of one number: by nation, but nation 5 and most of nations 3, 7 and 9 are of cluster 4, which gets too large and leaves some tiny."""
+    away = (F.col("c_nationkey") == 5) | (F.col("c_nationkey").isin(3, 7, 9) & (F.col("c_custkey") % 9 != 0))
+    rows = _read(spark, d, "customer").select(F.when(away, 4).otherwise(F.col("c_nationkey")).cast("long").alias("cluster_id"), F.array("c_acctbal").alias("embedding"))
     c = assign.centroids_of(rows, "cluster_id")
     return assign.cluster_stats(rows, c), c
 
@@ -222,9 +237,9 @@ def _slots(df: DataFrame) -> DataFrame:
 
 
 def _sets(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Ten label centroids; and eight, of which those of even labels are of even ids alone."""
+    """Ten label centroids; and eight, about which labels 8 and 9 and the even labels' odd ids have moved to label 1."""
     rows = _labelled(spark, d)
-    later = rows.where((F.col("label") < 8) & ((F.col("label") % 2 == 1) | (F.col("vec_id") % 2 == 0)))
+    later = rows.withColumn("cluster_id", F.when((F.col("label") >= 8) | ((F.col("label") % 2 == 0) & (F.col("vec_id") % 2 == 1)), 1).otherwise(F.col("label")).cast("long"))
     return _slots(assign.centroids_of(rows, "cluster_id")), _slots(assign.centroids_of(later, "cluster_id"))
 
 
@@ -243,12 +258,125 @@ def balanced_split_step(spark, d):
     """A step of every label's balanced split about the means of its even and odd ids."""
     rows = _labelled(spark, d)
     half = lambda k: assign.centroids_of(rows.where(F.col("vec_id") % 2 == k), "cluster_id").withColumnRenamed("centroid", f"c{k}")
-    pull = rows.join(half(0), "cluster_id").join(half(1), "cluster_id").select("cluster_id", "vec_id", F.round(V.l2_sq("embedding", "c0") - V.l2_sq("embedding", "c1"), 9).alias("pull"))
-    every = Window.partitionBy("cluster_id")
-    n, left = F.count("*").over(every), F.sum((F.col("pull") < 0).cast("long")).over(every)
-    place = F.row_number().over(every.orderBy("pull", "vec_id"))
-    least = F.ceil(n / 4)
-    return pull.select("cluster_id", "vec_id", F.when(place <= F.least(F.greatest(left, least), n - least), 0).otherwise(1).cast("long").alias("side"))
+    return kmeans.split_step(rows, half(0).join(half(1), "cluster_id"))
+
+
+def knn_self_join_topk(spark, d):
+    """The three nearest other centroids of each of forty."""
+    c = _fine(spark, d)
+    q = c.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("query"))
+    hits = c.select(F.col("cluster_id").alias("vec_id"), F.col("centroid").alias("embedding"))
+    found = search.exact(hits, q, 4).where("query_id <> id")
+    return rank.top_k(found.drop("rank"), 3, ["query_id"]).select("query_id", "rank", "id", F.round("score", 9).alias("score"))
+
+
+def _tree(spark, d) -> router.Tree:
+    c = _fine(spark, d).orderBy("cluster_id").toArrow()
+    return router.Tree.build(np.array(c["centroid"].to_pylist()), 4)
+
+
+def tree_build(spark, d):
+    """Forty clusters in a tree, found again with a beam as wide as the tree."""
+    return router.route(_queries(spark, d), _tree(spark, d).quantise(), probe=5, beam=1000)
+
+
+def tree_upsert(spark, d):
+    """The same after cluster 5 has moved to the vector 7 and the vector 8 has become cluster 40."""
+    t = _tree(spark, d).upsert(5, np.array(V.decode_row(_rows(spark, d), 7))).upsert(40, np.array(V.decode_row(_rows(spark, d), 8)))
+    return router.route(_queries(spark, d), t, probe=5, beam=1000)
+
+
+def tree_truncate(spark, d):
+    """The same with the first thirty clusters."""
+    return router.route(_queries(spark, d), _tree(spark, d).truncate(30), probe=5, beam=1000)
+
+
+def tree_bytes(spark, d):
+    """The same from the tree's bytes."""
+    return router.route(_queries(spark, d), wire.decode_tree(wire.encode_tree(_tree(spark, d))), probe=5, beam=1000)
+
+
+def block_tree_route(spark, d):
+    """The same past a tree of encoded blocks."""
+    c = _fine(spark, d).orderBy("cluster_id").toArrow()
+    return router.route_blocks(_queries(spark, d), router.BlockTree(np.array(c["centroid"].to_pylist()), 4, router.FloatBlock), probe=5, beam=1000)
+
+
+def tree_route_work(spark, d):
+    """Distances that routing all vectors takes: with 8-bit copies most are of integers, and the answer is the same."""
+    q = _rows(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    plain, copies = (router.route_work(q, t, probe=3, beam=4) for t in (_tree(spark, d), _tree(spark, d).quantise()))
+    a, b = (x.agg(F.sum("floats").alias("floats"), F.sum("quantised").alias("quantised"), F.sum(F.xxhash64("query_id", "found").cast("decimal(38,0)")).alias("answer")).first() for x in (plain, copies))
+    return spark.createDataFrame([(b["floats"] < a["floats"], b["quantised"] > 0, a["answer"] == b["answer"])], "fewer_floats boolean, integers boolean, same_answer boolean")
+
+
+def rabitq_append(spark, d):
+    """Rows of odd ids coded in the frames of the even ones, behind theirs."""
+    rows = _labelled(spark, d)
+    even, odd = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
+    frames = rabitq.frames_of(even, 42)
+    coded = rabitq.append_codes(rabitq.codes_of(even, frames), odd, frames)
+    return coded.select("cluster_id", "vec_id", F.round("norm", 6).alias("norm"))
+
+
+def rabitq_select(spark, d):
+    """A code for every order, at its position, most of them again and again."""
+    rows = _labelled(spark, d)
+    frames = rabitq.frames_of(rows, 42)
+    wanted = _read(spark, d, "orders").select(F.col("o_orderkey").alias("position"), (F.col("o_orderkey") * 7 % 500).alias("vec_id"))
+    return maintain.select_rows(rabitq.codes_of(rows, frames), wanted).select("position", "cluster_id", "vec_id", F.round("norm", 6).alias("norm"))
+
+
+def rabitq_signbits(spark, d):
+    """The 64 signs of every code."""
+    rows = _labelled(spark, d)
+    coded = rabitq.codes_of(rows, rabitq.frames_of(rows, 42))
+    signs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.getbit(F.col("bits")[0], j).cast("string")), "")
+    return coded.select("cluster_id", "vec_id", signs.alias("signs"), F.round("align", 6).alias("align"))
+
+
+def rabitq_estimate(spark, d):
+    """Estimates and bounds of all rows for every query, at the default width of the bound."""
+    rows, q = _labelled(spark, d), _queries(spark, d)
+    frames = rabitq.frames_of(rows, 42)
+    chosen = search.probes(q, _label_centroids(spark, d), 10).join(q, "query_id")
+    found = search.estimates(rabitq.codes_of(rows, frames), frames, chosen)
+    return found.select("query_id", "id", (F.round("estimate", 6) + F.lit(0.0)).alias("estimate"), (F.round("bound", 6) + F.lit(0.0)).alias("bound"))
+
+
+def rabitq_pruned(spark, d):
+    """Rows of the probed clusters whose bounds the tenth exact score of each query lets pass, of how many."""
+    rows, q, c = _labelled(spark, d), _queries(spark, d), _label_centroids(spark, d)
+    frames = rabitq.frames_of(rows, 42)
+    codes = rabitq.codes_of(rows, frames)
+    cut = rank.cutoff(search.exact(rows, q, K), K, ["query_id"]).select("query_id", F.col("score").alias("cutoff"))
+    chosen = search.probes(q, c, 10).join(q, "query_id")
+    read = search.reaching(codes, frames, chosen.join(cut, "query_id")).groupBy("query_id").agg(F.count("*").alias("read"))
+    every = search.estimates(codes, frames, chosen).groupBy("query_id").agg(F.count("*").alias("rows"))
+    return every.join(read, "query_id").select("query_id", "rows", (F.col("read") < F.col("rows")).alias("pruned"))
+
+
+def ground_truth(spark, d):
+    """The ten nearest rows of each query through a ground-truth file."""
+    found = search.exact(_rows(spark, d), _queries(spark, d), K).orderBy("query_id", "rank").toArrow()
+    ids = found["id"].to_numpy().reshape(-1, K)
+    path = f"{_folder(spark)}/truth.ibin"
+    bigann.register(spark)
+    bigann.write_truth(path, ids, -found["score"].to_numpy().reshape(-1, K))
+    return spark.read.format("bigann").load(path).select((F.col("query_id") * 100).alias("query_id"), "rank", F.col("id").cast("long").alias("id"))
+
+
+def dense_f16_blocks(spark, d):
+    coded = codec.dense_blocks(_rows(spark, d), "label", "f16")
+    return coded.select("vec_id", F.round(V.l2_sq("embedding", codec.dense_decode()), 12).alias("error"))
+
+
+def code_bytes(spark, d):
+    """Codes with three extended bits, as bytes of a column for each cluster and back."""
+    rows = _labelled(spark, d)
+    frames = rabitq.frames_of(rows, 42, ex_bits=3)
+    back = rabitq.codes_from_bytes(rabitq.bytes_of(rabitq.codes_of(rows, frames), frames), frames)
+    return back.select("cluster_id", "vec_id", F.round("norm", 6).alias("norm"))
 
 
 def rabitq_codes(spark, d):
@@ -263,13 +391,11 @@ def rabitq_norms(spark, d):
     return rabitq_codes(spark, d).select("cluster_id", "vec_id", "norm")
 
 
-def _two_pass(**options) -> Callable:
+def _two_pass(ex_bits: int = 0, nprobe: int = 10, **options) -> Callable:
     def query(spark, d):
         rows, c, q = _labelled(spark, d), _label_centroids(spark, d), _queries(spark, d)
-        ex = options.get("ex_bits", 0)
-        frames = rabitq.frames_of(rows, 42, ex_bits=ex)
-        found = search.two_pass(rows, rabitq.codes_of(rows, frames), frames, c, q, K, nprobe=10, **{k: v for k, v in options.items() if k != "ex_bits"})
-        return found
+        frames = rabitq.frames_of(rows, 42, ex_bits=ex_bits)
+        return search.two_pass(rows, rabitq.codes_of(rows, frames), frames, c, q, K, nprobe=nprobe, **options)
 
     return query
 
@@ -306,7 +432,7 @@ def balanced_splits(spark, d):
 def bigann_scan(spark, d):
     bigann.register(spark)
     t = _rows(spark, d).orderBy("vec_id").toArrow()
-    path = tempfile.mkdtemp() + "/e.fbin"
+    path = f"{_folder(spark)}/e.fbin"
     bigann.write(path, V.matrix(t["embedding"]))
     return spark.read.format("bigann").load(path).select("vec_id", V.norm_sq("embedding").alias("norm_sq"))
 
@@ -317,7 +443,8 @@ def queries() -> dict:
         vector_norms, normalized_vectors, validate_vectors, knn_scan, topk_nan_ties, topk_cutoff, topk_global, assign_label_centroids, assign_scan, cluster_stats_radius, cluster_sse,
         farthest_member, nearest_other_cluster, two_level_assign, two_stage_assign, beam_search_fixed_tree, ivf_search_fixed_centroids, ivf_recall_by_nprobe, sizing_curve, split_target,
         merge_candidates, merge_plan, merge_owed, dense_scores, i8_codec_roundtrip, f16_codec_roundtrip, centroid_delta, apply_centroid_delta, balanced_split_step, rabitq_codes, rabitq_norms,
-        kmeans_fit, kmeans_two_level, tree_route, balanced_splits, bigann_scan,
+        kmeans_fit, kmeans_two_level, tree_route, balanced_splits, bigann_scan, knn_self_join_topk, tree_build, tree_upsert, tree_truncate, tree_bytes, block_tree_route, tree_route_work,
+        rabitq_append, rabitq_select, rabitq_signbits, rabitq_estimate, rabitq_pruned, ground_truth, dense_f16_blocks, code_bytes,
     )
     out = {f.__name__: f for f in named}
     out |= {f"pairwise_{m}": pairwise(m) for m in V.METRICS} | {f"knn_exact_{m}": knn_exact(m) for m in V.METRICS}
@@ -325,6 +452,7 @@ def queries() -> dict:
     return out | {
         "rabitq_two_pass_exact": _two_pass(exact_bounds=True),
         "rabitq_two_pass": _two_pass(sigmas=8.0),
+        "rabitq_two_pass_default": _two_pass(nprobe=3),
         "rabitq_two_pass_extended": _two_pass(ex_bits=3, shared=True, sigmas=8.0),
     }
 
@@ -366,13 +494,49 @@ _SIZES = """
     s AS (SELECT *, greatest(1, n // k)::BIGINT AS size FROM k),
     band AS (SELECT *, (size * 7 // 5)::BIGINT AS above, greatest(3, size // 4)::BIGINT AS below FROM s)"""
 _STATS = f"""
-    r AS (SELECT c_nationkey::BIGINT AS cluster_id, c_acctbal AS x FROM customer WHERE c_nationkey <> 3 OR c_custkey % 9 = 0),
+    r AS (SELECT CASE WHEN c_nationkey = 5 OR (c_nationkey IN (3, 7, 9) AND c_custkey % 9 <> 0) THEN 4 ELSE c_nationkey END::BIGINT AS cluster_id, c_acctbal AS x FROM customer),
     c AS (SELECT cluster_id, avg(x) AS m FROM r GROUP BY ALL),
     stats AS (SELECT cluster_id, count(*) AS count, avg(abs(x - m)) AS radius FROM r JOIN c USING (cluster_id) GROUP BY ALL),
     n AS (SELECT sum(count)::BIGINT AS n FROM stats), {_SIZES}"""
 _TINY = f"""{_STATS},
     t AS (SELECT s.*, (SELECT min(o.count) FROM stats o WHERE o.cluster_id <> s.cluster_id) AS other FROM stats s),
     tiny AS (SELECT t.* FROM t, band WHERE count <= below AND count + other <= above)"""
+_NEAR = "near AS (SELECT * FROM (SELECT a.cluster_id, b.cluster_id AS other_id, row_number() OVER (PARTITION BY a.cluster_id ORDER BY (a.m - b.m) * (a.m - b.m), b.cluster_id) AS r FROM c a, c b WHERE a.cluster_id <> b.cluster_id) WHERE r = 1)"
+_CANDIDATES = "SELECT t.cluster_id, n.other_id, t.count, s.count AS other_count, row_number() OVER (ORDER BY t.count, t.cluster_id)::BIGINT AS place FROM tiny t JOIN near n USING (cluster_id) JOIN stats s ON s.cluster_id = n.other_id WHERE t.count >= 1"
+_LATER = "SELECT *, CASE WHEN label >= 8 OR (label % 2 = 0 AND vec_id % 2 = 1) THEN 1 ELSE label END::BIGINT AS cluster_id FROM embeddings"
+_HALF = "list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x::DOUBLE / pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14.0) - 10), 0) * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14.0) - 10) END)"
+
+
+def _routed(centroids: str) -> str:
+    """The five nearest centroids (cluster_id, centroid) of each query."""
+    d = _l2("e.embedding", "f.centroid")
+    return f"SELECT query_id, place, cluster_id FROM (SELECT e.vec_id AS query_id, f.cluster_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {d}, f.cluster_id)::BIGINT AS place FROM embeddings e, ({centroids}) f WHERE e.vec_id % 100 = 0) WHERE place <= 5"
+
+
+def _turned() -> str:
+    """The rotation of seed 42 as rows (j, r)."""
+    turn = rabitq.rotation(42, 64).apply(np.eye(64)).T
+    return "rot AS (SELECT unnest(range(0, 64)) AS j, unnest([" + ", ".join("[" + ", ".join(map(repr, row)) + "]" for row in turn.tolist()) + "]) AS r)"
+
+
+def _codes_sql() -> str:
+    """Signs and aligns of the codes about the label centroids."""
+    minus = "list_transform(list_zip({a}.embedding, c.centroid), lambda p: p[1]::DOUBLE - p[2])"
+    return f"""c AS ({_CENTROIDS}), {_turned()},
+        o AS (SELECT c.cluster_id, e.vec_id, {minus.format(a='e')} AS x FROM embeddings e JOIN c ON c.cluster_id = e.label),
+        u AS (SELECT cluster_id, vec_id, j, {_dot('x', 'r')} / sqrt({_dot('x', 'x')}) AS u, sqrt({_dot('x', 'x')}) AS norm FROM o, rot),
+        al AS (SELECT cluster_id, vec_id, any_value(norm) AS norm, sum(abs(u)) / 8 AS align, string_agg(CASE WHEN u >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS signs FROM u GROUP BY ALL),
+        qr AS (SELECT q.vec_id AS query_id, c.cluster_id, j, {_dot(minus.format(a='q'), 'r')} AS r FROM embeddings q, c, rot WHERE q.vec_id % 100 = 0),
+        qn AS (SELECT query_id, cluster_id, sqrt(sum(r * r)) AS qn FROM qr GROUP BY ALL),
+        grid AS (SELECT query_id, cluster_id, any_value(qn) AS qn, min(r / qn) AS lo, (max(r / qn) - min(r / qn)) / 15 AS step FROM qr JOIN qn USING (query_id, cluster_id) GROUP BY ALL),
+        g AS (SELECT query_id, cluster_id, j, qn, r / qn AS t, lo + step * floor((r / qn - lo) / step + 0.5) AS g FROM qr JOIN grid USING (query_id, cluster_id)),
+        s AS (SELECT query_id, cluster_id, any_value(qn) AS qn, sum((g - t) * (g - t)) / 64 AS spread, sum(g) AS sg FROM g GROUP BY ALL),
+        raw AS (SELECT query_id, cluster_id, vec_id, sum(CASE WHEN u >= 0 THEN g ELSE 0 END) AS plus FROM g JOIN u USING (cluster_id, j) GROUP BY ALL),
+        f AS (SELECT query_id, vec_id AS id, norm, align, qn, spread, (2 * plus - sg) / 8 / align AS ip, greatest(1 - align * align, 0) / 63 AS o2 FROM raw JOIN s USING (query_id, cluster_id) JOIN al USING (cluster_id, vec_id)),
+        t AS (SELECT *, abs(ip) - 2.5 * sqrt(o2 + spread) / align AS near, norm * norm + qn * qn - 2 * norm * qn * ip AS d2, (norm - qn) * (norm - qn) AS least FROM f),
+        w AS (SELECT *, sqrt(o2 * CASE WHEN near > 0 THEN greatest(1 - near * near, 0) ELSE 1 END + spread) / align AS sigma FROM t)"""
+
+
 _AFFINE = """
     span AS (SELECT label, min(list_min(embedding))::DOUBLE AS lo, max(list_max(embedding))::DOUBLE AS hi FROM embeddings GROUP BY ALL),
     scaled AS (SELECT label, (hi - lo) / 255.0 AS scale, CASE WHEN hi = lo THEN lo ELSE lo - (hi - lo) / 255.0 * {low} END AS o FROM span),
@@ -414,12 +578,35 @@ def oracle_sql() -> dict[str, str]:
         + " UNION ALL ".join(f"SELECT {n}::BIGINT AS nprobe, round(avg(hits / 10.0), 6) AS recall FROM (SELECT g.query_id, count(t.id) AS hits FROM g{n} g LEFT JOIN truth t ON t.query_id = g.query_id AND t.id = g.id GROUP BY ALL)" for n in (1, 2, 5, 10)),
         "sizing_curve": f"WITH n AS (SELECT o_orderkey AS n FROM orders), {_SIZES} SELECT n AS rows, k, greatest(1, least(greatest(511, k // 32), greatest(16, k // 4)))::BIGINT AS nprobe, size, above AS split_above, below AS merge_below FROM band",
         "split_target": f"WITH {_STATS}, m AS (SELECT avg(radius) FILTER (count > 0) AS mean FROM stats) SELECT cluster_id FROM (SELECT cluster_id, CASE WHEN count >= 8 AND radius > 0 AND count > above THEN 0 WHEN count >= 8 AND radius > 2 * mean THEN 1 END AS why, count FROM stats, band, m) WHERE why IS NOT NULL ORDER BY why, CASE WHEN why = 0 THEN -count ELSE 0 END, cluster_id LIMIT 1",
-        "merge_candidates": f"WITH {_TINY}, near AS (SELECT * FROM (SELECT a.cluster_id, b.cluster_id AS other_id, row_number() OVER (PARTITION BY a.cluster_id ORDER BY (a.m - b.m) * (a.m - b.m), b.cluster_id) AS r FROM c a, c b WHERE a.cluster_id <> b.cluster_id) WHERE r = 1) SELECT t.cluster_id, n.other_id, t.count, s.count AS other_count, row_number() OVER (ORDER BY t.count, t.cluster_id)::BIGINT AS place FROM tiny t JOIN near n USING (cluster_id) JOIN stats s ON s.cluster_id = n.other_id WHERE t.count >= 1",
+        "merge_candidates": f"WITH {_TINY}, {_NEAR} {_CANDIDATES}",
+        "merge_plan": f"""WITH RECURSIVE {_TINY}, {_NEAR}, cand AS ({_CANDIDATES}),
+            step AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS taken, NULL::BIGINT AS tiny, NULL::BIGINT AS host, 0 AS n
+                UNION ALL SELECT c.place, CASE WHEN ok THEN list_concat(taken, [c.cluster_id, c.other_id]) ELSE taken END, CASE WHEN ok THEN c.cluster_id END, CASE WHEN ok THEN c.other_id END, n + ok::INT
+                FROM (SELECT s.taken, s.n, c.*, s.n < 10 AND NOT list_contains(s.taken, c.cluster_id) AND NOT list_contains(s.taken, c.other_id) AND c.count + c.other_count <= (SELECT above FROM band) AS ok FROM step s JOIN cand c ON c.place = s.place + 1) c)
+            SELECT tiny, host FROM step WHERE tiny IS NOT NULL""",
+        "assign_scan": f"WITH c AS ({_CENTROIDS}) {_nearest('embeddings', 'c', 'vec_id').replace('round(d2, 6)', 'round(d2, 5)')}",
+        "f16_codec_roundtrip": f"SELECT vec_id, round({_l2('embedding', 'h')}, 12) AS error FROM (SELECT *, {_HALF} AS h FROM embeddings)",
+        "dense_f16_blocks": f"SELECT vec_id, round({_l2('embedding', 'h')}, 12) AS error FROM (SELECT *, {_HALF} AS h FROM embeddings)",
+        "knn_self_join_topk": f"WITH f AS ({_FINE}) SELECT query_id, rank, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIGINT AS rank FROM (SELECT a.cluster_id AS query_id, b.cluster_id AS id, -{_l2('a.centroid', 'b.centroid')} AS score FROM f a, f b WHERE a.cluster_id <> b.cluster_id)) WHERE rank <= 3",
+        "tree_build": _routed(_FINE),
+        "tree_bytes": _routed(_FINE),
+        "block_tree_route": _routed(_FINE),
+        "tree_upsert": _routed(f"SELECT * FROM ({_FINE}) WHERE cluster_id <> 5 UNION ALL SELECT CASE vec_id WHEN 7 THEN 5 ELSE 40 END, list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id IN (7, 8)"),
+        "tree_truncate": _routed(f"SELECT * FROM ({_FINE}) WHERE cluster_id < 30"),
+        "tree_route_work": "SELECT true AS fewer_floats, true AS integers, true AS same_answer",
+        "rabitq_append": f"WITH c AS ({_means('SELECT *, label::BIGINT AS cluster_id FROM embeddings WHERE vec_id % 2 = 0')}), d AS ({own}) SELECT cluster_id, vec_id, round(sqrt(d2), 6) AS norm FROM d",
+        "rabitq_select": f"WITH c AS ({_CENTROIDS}), d AS ({own}) SELECT o.o_orderkey AS position, cluster_id, vec_id, round(sqrt(d2), 6) AS norm FROM d JOIN orders o ON o.o_orderkey * 7 % 500 = d.vec_id",
+        "rabitq_signbits": f"WITH {_codes_sql()} SELECT cluster_id, vec_id, signs, round(align, 6) AS align FROM al",
+        "rabitq_estimate": f"WITH {_codes_sql()} SELECT query_id, id, round(-greatest(d2, least), 6) + 0.0 AS estimate, round(-greatest(d2 - 5 * norm * qn * sigma, least), 6) + 0.0 AS bound FROM w",
+        "rabitq_pruned": "SELECT q.vec_id AS query_id, (SELECT count(*) FROM embeddings) AS rows, true AS pruned FROM embeddings q WHERE q.vec_id % 100 = 0",
+        "rabitq_two_pass_default": f"WITH c AS ({_CENTROIDS}), {_HITS} {_top(_BY_NPROBE + '3')}",
+        "ground_truth": f"SELECT query_id, rank, id FROM ({_top(_ALL('l2'))})",
+        "code_bytes": f"WITH c AS ({_CENTROIDS}), d AS ({own}) SELECT cluster_id, vec_id, round(sqrt(d2), 6) AS norm FROM d",
         "merge_owed": f"WITH {_TINY} SELECT (SELECT count(*) FROM tiny) + (SELECT count(*) FROM stats WHERE count = 0) > 0 AS owed",
         "dense_scores": f"WITH {_AFFINE.format(low='-128', high='127')} SELECT q.vec_id AS query_id, b.vec_id AS id, round(-greatest({_dot('q.embedding', 'q.embedding')} + {_dot('b.r', 'b.r')} - 2 * {_dot('q.embedding', 'b.r')}, 0.0), 6) AS score FROM back b, embeddings q WHERE q.vec_id % 100 = 0",
         "i8_codec_roundtrip": "SELECT vec_id, pos - 1 AS pos, greatest(-128.0, least(127.0, round(embedding[pos]::DOUBLE * 400)))::DOUBLE + 0.0 AS x FROM (SELECT *, unnest(range(1, 65)) AS pos FROM embeddings)",
-        "centroid_delta": f"WITH c AS ({_CENTROIDS}), p AS (SELECT cluster_id AS slot_id, list_transform(centroid, lambda x: round(x, 6)) AS v FROM c), w AS ({_means('SELECT *, label::BIGINT AS cluster_id FROM embeddings WHERE label < 8 AND (label % 2 = 1 OR vec_id % 2 = 0)')}), n AS (SELECT cluster_id AS slot_id, list_transform(centroid, lambda x: round(x, 6)) AS v FROM w), d AS (SELECT n.slot_id, n.v FROM n LEFT JOIN p USING (slot_id) WHERE p.v IS DISTINCT FROM n.v) SELECT row_number() OVER (ORDER BY slot_id)::BIGINT AS seq, slot_id, round(list_sum(v), 4) AS vec_sum FROM d UNION ALL SELECT (SELECT count(*) FROM d) + 1, 8, NULL",
-        "apply_centroid_delta": f"WITH w AS ({_means('SELECT *, label::BIGINT AS cluster_id FROM embeddings WHERE label < 8 AND (label % 2 = 1 OR vec_id % 2 = 0)')}) SELECT cluster_id AS slot_id, pos - 1 AS pos, round(centroid[pos], 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS pos FROM w)",
+        "centroid_delta": f"WITH c AS ({_CENTROIDS}), p AS (SELECT cluster_id AS slot_id, list_transform(centroid, lambda x: round(x, 6)) AS v FROM c), w AS ({_means(_LATER)}), n AS (SELECT cluster_id AS slot_id, list_transform(centroid, lambda x: round(x, 6)) AS v FROM w), d AS (SELECT n.slot_id, n.v FROM n LEFT JOIN p USING (slot_id) WHERE p.v IS DISTINCT FROM n.v) SELECT row_number() OVER (ORDER BY slot_id)::BIGINT AS seq, slot_id, round(list_sum(v), 4) AS vec_sum FROM d UNION ALL SELECT (SELECT count(*) FROM d) + 1, 8, NULL",
+        "apply_centroid_delta": f"WITH w AS ({_means(_LATER)}) SELECT cluster_id AS slot_id, pos - 1 AS pos, round(centroid[pos], 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS pos FROM w)",
         "balanced_split_step": f"WITH a AS ({_means('SELECT *, label::BIGINT AS cluster_id FROM embeddings WHERE vec_id % 2 = 0')}), b AS ({_means('SELECT *, label::BIGINT AS cluster_id FROM embeddings WHERE vec_id % 2 = 1')}), p AS (SELECT e.label::BIGINT AS cluster_id, e.vec_id, round({_l2('e.embedding', 'a.centroid')} - {_l2('e.embedding', 'b.centroid')}, 9) AS pull FROM embeddings e JOIN a ON a.cluster_id = e.label JOIN b ON b.cluster_id = e.label), r AS (SELECT *, count(*) OVER w AS n, sum((pull < 0)::INT) OVER w AS l, row_number() OVER (PARTITION BY cluster_id ORDER BY pull, vec_id) AS place FROM p WINDOW w AS (PARTITION BY cluster_id)) SELECT cluster_id, vec_id, CASE WHEN place <= least(greatest(l, ceil(n / 4.0)), n - ceil(n / 4.0)) THEN 0 ELSE 1 END::BIGINT AS side FROM r",
         "rabitq_norms": f"WITH c AS ({_CENTROIDS}), d AS ({own}) SELECT cluster_id, vec_id, round(sqrt(d2), 6) AS norm FROM d",
         "bigann_scan": f"SELECT vec_id, {_dot('embedding', 'embedding')} AS norm_sq FROM embeddings",

@@ -109,3 +109,10 @@ def write(path: str, x: np.ndarray) -> None:
     """A benchmark file of these rows, by its suffix; for tests and small sets."""
     with open(path, "wb") as f:
         f.write(struct.pack("<II", *x.shape) + np.ascontiguousarray(x, dtype=KINDS[_kind(path)]).tobytes())
+
+
+def write_truth(path: str, ids: np.ndarray, distances: np.ndarray | None = None) -> None:
+    """Ground truth of queries x k ids, and their distances, as `.ibin`."""
+    d = np.zeros(ids.shape) if distances is None else distances
+    with open(path, "wb") as f:
+        f.write(struct.pack("<II", *ids.shape) + np.ascontiguousarray(ids, dtype="<i4").tobytes() + np.ascontiguousarray(d, dtype="<f4").tobytes())
