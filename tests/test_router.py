@@ -34,8 +34,24 @@ def test_recall_and_copies():
     a, b = router.Work(), router.Work()
     assert [t.search(v, 8, 8, a) for v in q] == [u.search(v, 8, 8, b) for v in q]
     assert b.floats < a.floats and b.quantised > 0
-    many = t.search_many(q, 8, 8)
-    assert [[k for k in r if k >= 0] for r in many.tolist()] == [t.search(v, 8, 8) for v in q]
+    for one in (t, u):
+        work, single = router.Work(), router.Work()
+        many = one.search_many(q, 8, 8, work)
+        assert [[k for k in r if k >= 0] for r in many.tolist()] == [one.search(v, 8, 8, single) for v in q]
+        assert work.floats == single.floats or one is u
+
+
+def test_a_grown_node_is_searched_pair_by_pair():
+    x = clusters(200, 8)
+    t = router.Tree.build(x, 4)
+    for k in range(200, 240):
+        t = t.upsert(k, x[3] + 0.001 * k)
+    assert max(len(n.leaves) for n in t.nodes) > 32
+    for u in (t, t.quantise()):
+        q, a, b = clusters(50, 8, seed=5), router.Work(), router.Work()
+        many = u.search_many(q, 6, 7, a)
+        assert [[k for k in r if k >= 0] for r in many.tolist()] == [u.search(v, 6, 7, b) for v in q]
+        assert a.floats == b.floats and a.quantised == b.quantised
 
 
 def test_grid_ties():
@@ -43,6 +59,7 @@ def test_grid_ties():
     t = router.Tree.build(g, 4)
     for q in g[:20]:
         assert t.search(q, 10**6, 12) == brute(q, g, 12)
+        assert t.quantise().search_many(q[None], 1000, 12)[0].tolist() == brute(q, g, 12)
 
 
 def test_degenerate():

@@ -63,6 +63,12 @@ def _pairs_l2(x: np.ndarray, row: np.ndarray, y: np.ndarray, at: np.ndarray) ->
     return out
 
 
+def _rows_l2(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of x and the rows of y at its places, without cancellation; infinite at place -1."""
+    d = y[at] - x[:, None, :]
+    return np.where(at >= 0, np.einsum("ijk,ijk->ij", d, d), np.inf)
+
+
 def _best(row: np.ndarray, d2: np.ndarray, ident: np.ndarray, n: int) -> np.ndarray:
     """Places of each row's n smallest, by distance and then id, in order of row."""
     order = np.lexsort((ident, d2, row))
@@ -74,10 +80,10 @@ class Tree:
     """A centroid tree; edits make a new one and leave the old as it is."""
 
     def __init__(self, nodes: list[Node], vectors: np.ndarray, fanout: int, coded: tuple | None = None):
-        self.nodes, self.vectors, self.fanout, self.coded, self._arrays = nodes, vectors, fanout, coded, None
+        self.nodes, self.vectors, self.fanout, self.coded, self._arrays, self._rows = nodes, vectors, fanout, coded, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_arrays": None}
+        return self.__dict__ | {"_arrays": None, "_rows": None}
 
     # shape
 
@@ -160,18 +166,8 @@ class Tree:
             d = _d2(q, self.vectors[leaves])
             work.floats += len(leaves)
             return leaves[_nearest_first(d, leaves, probe)].tolist()
-        # the distance to an 8-bit copy is off by no more than both copies' errors
-        codes, scale, error = self.coded
-        step = np.abs(q).max(initial=0) / 127 or 1.0
-        qc = np.round(q / step)
-        qe = np.sqrt(((q - qc * step) ** 2).sum())
-        own = codes[leaves].astype(np.float64) * scale[leaves, None]
-        near = np.sqrt(_d2(qc * step, own))
         work.quantised += len(leaves)
-        slack = qe + error[leaves]
-        margin = 1e-5 * ((q * q).sum() + (self.vectors[leaves] ** 2).sum(1))
-        high = (near + slack) ** 2 + margin
-        low = np.maximum(near - slack, 0) ** 2 - margin
+        low, high = (z[0] for z in self._span(q[None], leaves[None]))
         limit = np.partition(high, min(probe, len(high)) - 1)[min(probe, len(high)) - 1]
         open_ = leaves[low <= limit]
         work.floats += len(open_)
@@ -179,7 +175,7 @@ class Tree:
         return open_[_nearest_first(d, open_, probe)].tolist()
 
     def _flat(self) -> tuple:
-        """Children and leaves of every node as runs of one array each, centroids as one matrix, and the copies."""
+        """Children and leaves of every node as runs of one array each, and centroids as one matrix."""
         if self._arrays is None:
             kids = [np.array(sorted(n.children), dtype=np.int64) for n in self.nodes]
             leaves = [np.array(sorted(n.leaves), dtype=np.int64) for n in self.nodes]
@@ -199,7 +195,14 @@ class Tree:
         q = np.asarray(q, dtype=np.float64)
         if not self.nodes or probe <= 0 or q.shape[1] != self.dims:
             return out
-        kids, kid_at, leaves, leaf_at, centroids = self._flat()
+        if max((max(len(n.children), len(n.leaves)) for n in self.nodes), default=0) <= 8 * self.fanout:
+            wide = max(1, beam) * max(max(len(n.children), len(n.leaves)) for n in self.nodes) * max(1, self.dims)
+            step = max(1, min(4096, (1 << 22) // wide))
+            for lo in range(0, len(q), step):
+                found = self._padded_search(q[lo : lo + step], beam, probe, work)
+                out[lo : lo + step, : found.shape[1]] = found
+            return out
+        kids, kid_at, leaves, leaf_at, centroids = self._flat()  # a node has grown large: pair by pair
         for lo in range(0, len(q), 4096):
             x = q[lo : lo + 4096]
             row, node, held = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), []
@@ -228,30 +231,76 @@ class Tree:
             out[lo + row, place] = leaf
         return out
 
-    def _open(self, x: np.ndarray, row: np.ndarray, leaf: np.ndarray, probe: int) -> np.ndarray:
-        """Which pairs (in order of row) may be among their row's `probe` nearest, by products of 8-bit integers.
+    def _padded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Children and leaves of every node as rows filled up with -1, the last row being that of no node; and the centroids."""
+        if self._rows is None:
+            rows = []
+            for lists in ([n.children for n in self.nodes], [n.leaves for n in self.nodes]):
+                own = np.full((len(self.nodes) + 1, max(1, *map(len, lists))), -1, dtype=np.int64)
+                for k, x in enumerate(lists):
+                    own[k, : len(x)] = x
+                rows.append(own)
+            self._rows = (*rows, np.stack([n.centroid for n in self.nodes]))
+        return self._rows
+
+    def _padded_search(self, x: np.ndarray, beam: int, probe: int, work: Work) -> np.ndarray:
+        """search_many for some rows: every level is one array of the nodes below a row's beam."""
+        kids, leaves, centroids = self._padded()
+        node, held = np.zeros((len(x), 1), dtype=np.int64), []
+        while True:
+            below = np.sort(kids[node].reshape(len(x), -1), axis=1)
+            held.append(np.where(kids[node][:, :, 0] < 0, node, -1))
+            if (below < 0).all():
+                break
+            work.floats += int((below >= 0).sum())
+            d = _rows_l2(x, centroids, below)
+            best = np.argsort(d, axis=1, kind="stable")[:, : max(beam, 1)]  # ids ascend, so ties go to the smaller one
+            node = np.sort(np.where(np.isfinite(np.take_along_axis(d, best, 1)), np.take_along_axis(below, best, 1), -1), axis=1)
+        leaf = np.sort(leaves[np.concatenate(held, axis=1)].reshape(len(x), -1), axis=1)
+        leaf = leaf[:, (leaf >= 0).any(0)]
+        if not leaf.shape[1]:
+            return np.full((len(x), 0), -1, dtype=np.int64)
+        there = leaf >= 0
+        if self.coded is not None:
+            work.quantised += int(there.sum())
+            low, high = self._span(x, leaf)
+            high[~there] = np.inf
+            limit = np.partition(high, min(probe, leaf.shape[1]) - 1, axis=1)[:, min(probe, leaf.shape[1]) - 1]
+            there &= low <= limit[:, None]
+            row, at = np.nonzero(there)
+            d = np.full(leaf.shape, np.inf)
+            d[row, at] = _pairs_l2(x, row, self.vectors, leaf[row, at])
+        else:
+            d = _rows_l2(x, self.vectors, leaf)
+        work.floats += int(there.sum())
+        best = d.argmin(1)[:, None] if probe == 1 else np.argsort(d, axis=1, kind="stable")[:, :probe]
+        return np.where(np.isfinite(np.take_along_axis(d, best, 1)), np.take_along_axis(leaf, best, 1), -1)
+
+    def _span(self, x: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the squared distance of each row and the clusters beside it lies between, by products of 8-bit integers.
 
         The distance to a copy is off by no more than both copies' errors.
         """
-        codes, scale, error = self.coded
+        codes, scale, error, norm, size = self.coded
         step = np.abs(x).max(1, initial=0) / 127
         step[step == 0] = 1
-        qc = np.round(x / step[:, None]).astype(np.int8)
+        qc = np.round(x / step[:, None]).astype(np.int16)
         qe = np.sqrt(((x - qc * step[:, None]) ** 2).sum(1))
-        norm, own = (qc.astype(np.int32) ** 2).sum(1), (codes.astype(np.int32) ** 2).sum(1)
-        product = np.empty(len(row), dtype=np.int32)
-        for lo in range(0, len(row), 1 << 18):
-            r, k = row[lo : lo + (1 << 18)], leaf[lo : lo + (1 << 18)]
-            product[lo : lo + (1 << 18)] = np.einsum("ij,ij->i", qc[r], codes[k], dtype=np.int32)
-        s, t = step[row], scale[leaf]
-        near = np.sqrt(np.maximum(norm[row] * s * s + own[leaf] * t * t - 2.0 * product * s * t, 0))
-        slack = qe[row] + error[leaf]
-        margin = 1e-5 * ((x * x).sum(1)[row] + (self.vectors * self.vectors).sum(1)[leaf])
-        high, low = (near + slack) ** 2 + margin, np.maximum(near - slack, 0) ** 2 - margin
+        product = np.einsum("ijk,ik->ij", codes[leaf].astype(np.int16), qc, dtype=np.int32)
+        t, qn = scale[leaf], (qc.astype(np.int32) ** 2).sum(1) * step * step
+        near = np.sqrt(np.maximum(qn[:, None] + norm[leaf] * t * t - 2.0 * step[:, None] * t * product, 0))
+        slack = qe[:, None] + error[leaf]
+        margin = 1e-5 * ((x * x).sum(1)[:, None] + size[leaf])
+        return np.maximum(near - slack, 0) ** 2 - margin, (near + slack) ** 2 + margin
+
+    def _open(self, x: np.ndarray, row: np.ndarray, leaf: np.ndarray, probe: int) -> np.ndarray:
+        """Which pairs (in order of row) may be among their row's `probe` nearest."""
+        low, high = np.empty(len(row)), np.empty(len(row))
+        for k, lo, hi in zip(*np.unique(row, return_index=True), [*np.unique(row, return_index=True)[1][1:].tolist(), len(row)], strict=True):
+            low[lo:hi], high[lo:hi] = (z[0] for z in self._span(x[k : k + 1], leaf[None, lo:hi]))
         start = np.flatnonzero(np.diff(row, prepend=-1))
         size = np.diff(start, append=len(row))
-        order = np.lexsort((high, row))
-        limit = high[order[start + np.minimum(probe, size) - 1]]
+        limit = high[np.lexsort((high, row))[start + np.minimum(probe, size) - 1]]
         return np.flatnonzero(low <= np.repeat(limit, size))
 
     def nearest(self, q: np.ndarray, probe: int) -> list[int]:
@@ -284,7 +333,8 @@ class Tree:
         scale[scale == 0] = 1
         codes = np.round(self.vectors / scale[:, None]).astype(np.int8)
         error = np.sqrt(((self.vectors - codes * scale[:, None]) ** 2).sum(1))
-        return Tree(self.nodes, self.vectors, self.fanout, (codes, scale, error))
+        norm, size = (codes.astype(np.int32) ** 2).sum(1), (self.vectors * self.vectors).sum(1)
+        return Tree(self.nodes, self.vectors, self.fanout, (codes, scale, error, norm, size))
 
     # edits
 
