@@ -128,13 +128,31 @@ def brute_hits(text, items, window):
     return len(words), len(hit), sorted(found)
 
 
+def brute_matches(text, items, window):
+    """Every maximal match, found by extending each pair of places to both sides."""
+    words, out = decontaminate.words_of(text), set()
+    for name, item in items:
+        w = decontaminate.words_of(item)
+        least = min(window, len(w))
+        for a in range(len(w)):
+            for p in range(len(words)):
+                if words[p] == w[a] and (a == 0 or p == 0 or words[p - 1] != w[a - 1]):
+                    n = 0
+                    while a + n < len(w) and p + n < len(words) and words[p + n] == w[a + n]:
+                        n += 1
+                    if n >= least:
+                        out.add(("" if name is None else str(name), a, p, n))
+    return out
+
+
 @pytest.mark.parametrize("block_bytes", [16 << 20, 300])
 def test_benchmark_matches(spark, docs, texts, block_bytes):
     items = [(1, texts[2][20:200]), (2, texts[5]), (10, "A-b"), (3, ""), (4, None), (None, texts[7][30:150]), (2, texts[6]), (5, texts[5])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.benchmark_matches(docs, bench, ["doc_id", "text"], block_bytes=block_bytes)
+    got = decontaminate.benchmark_matches(docs, bench, ["doc_id", "text"], block_bytes=block_bytes, with_matches=True)
     assert got.count() == docs.count()
     for r in got.collect():
+        assert sorted(tuple(m) for m in r["matches"]) == sorted(brute_matches(r["text"], items, 10))
         n, hit, names = brute_hits(r["text"], items, 10)
         assert (r["n_words"], sum(h["stop"] - h["start"] for h in r["hits"]), r["items"]) == (n, hit, names)
     left = decontaminate.decontaminate(docs.selectExpr("*", "1 as hits", "2 as items", "3 as _text"), bench)

@@ -5,8 +5,10 @@ one code array, and its suffixes are sorted by their first `window` words.  All
 suffixes of the benchmark items are then binary-searched in the shard at once,
 which gives the verbatim matches and where they lie.  Words that no item uses
 end a match, so only suffixes that can still reach the shortest window are
-sorted.  A shard is some megabytes of whole documents, so nothing is shuffled.
-The benchmark is broadcast in blocks of a bounded size, one pass for each.
+sorted.  Matches of consecutive suffixes of one item at consecutive words are one
+longer match: chained, they give every maximal verbatim match and where it lies.
+A shard is some megabytes of whole documents, so nothing is shuffled.  The
+benchmark is broadcast in blocks of a bounded size, one pass for each.
 """
 
 from __future__ import annotations
@@ -32,25 +34,26 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, as padded code rows, and the items of each."""
+    """The distinct windows of a block of items, as padded code rows, and where they stand in the items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.window = window
         self.codes: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        self.names = sorted({name for name, _ in items})
+        number = {x: k for k, x in enumerate(self.names)}
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.name_of = np.array([number[name] for name, _ in items], dtype=np.int64)
+        for k, (_, text) in enumerate(items):
             words = [self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(text)]
             for at in range(max(1, len(words) - window + 1)) if words else ():
-                found.setdefault(tuple(words[at : at + window]), set()).add(item)
+                found.setdefault(tuple(words[at : at + window]), []).append((k, at))
         self.lengths = np.array([len(w) for w in found], dtype=np.int64)
         self.rows = np.zeros((len(found), window), dtype=np.int32)
         for row, w in zip(self.rows, found, strict=True):
             row[: len(w)] = w
-        names = sorted({x for s in found.values() for x in s})
-        at = {x: k for k, x in enumerate(names)}
-        self.names = names
-        self.items = np.array([at[x] for s in found.values() for x in s], dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum([len(s) for s in found.values()]))).astype(np.int64)
+        places = np.array([x for own in found.values() for x in own], dtype=np.int32).reshape(-1, 2)
+        self.text, self.offset = places[:, 0].copy(), places[:, 1].copy()
+        self.starts = np.concatenate(([0], np.cumsum([len(own) for own in found.values()]))).astype(np.int64)
         self.shortest = int(self.lengths.min()) if len(found) else 0
 
 
@@ -99,8 +102,8 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
 
 
-def match_shard(windows: Windows, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """Of each document: words, runs of hit words as (start, stop), items."""
+def match_shard(windows: Windows, texts: list[str | None], matches: bool = False) -> list[tuple[int, list[tuple[int, int]], list[str], list[tuple]]]:
+    """Of each document: words, runs of hit words as (start, stop), items, and, if asked for, maximal matches as (item, place in the item, place, words)."""
     words, sizes = [], []
     for t in texts:
         own = words_of(t)
@@ -108,7 +111,7 @@ def match_shard(windows: Windows, texts: list[str | None]) -> list[tuple[int, li
         words.append(0)
         sizes.append(len(own))
     codes = np.concatenate((np.fromiter(words, np.int32, len(words)), np.zeros(windows.window + 1, dtype=np.int32)))
-    out: list = [(n, [], []) for n in sizes]
+    out: list = [(n, [], [], []) for n in sizes]
     if not windows.shortest:
         return out
     starts = np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)))
@@ -140,14 +143,53 @@ def match_shard(windows: Windows, texts: list[str | None]) -> list[tuple[int, li
         out[d][1].append((b - int(starts[d]), e - int(starts[d])))
     docs = np.searchsorted(starts, where, "right") - 1
     pairs = np.unique(docs * len(windows.lengths) + which)
-    docs, which = pairs // len(windows.lengths), pairs % len(windows.lengths)
-    counts = windows.starts[which + 1] - windows.starts[which]
-    items = windows.items[_expand(windows.starts[which], counts)]
-    for p in np.unique(np.repeat(docs, counts) * len(windows.names) + items).tolist():
+    own, window = pairs // len(windows.lengths), pairs % len(windows.lengths)
+    found: set[int] = set()
+    for lo, hi in _chunks(windows.starts[window + 1] - windows.starts[window]):
+        counts = (windows.starts[window + 1] - windows.starts[window])[lo:hi]
+        items = windows.name_of[windows.text[_expand(windows.starts[window[lo:hi]], counts)]]
+        found.update(np.unique(np.repeat(own[lo:hi], counts) * len(windows.names) + items).tolist())
+    for p in sorted(found):
         out[p // len(windows.names)][2].append(windows.names[p % len(windows.names)])
+    if matches:
+        for doc, *match in _maximal(windows, docs, which, where - starts[docs]):
+            out[doc][3].append(tuple(match))
     return out
 
 
+def _chunks(counts: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs whose counts add up to about `most`, one at least."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _maximal(windows: Windows, docs: np.ndarray, which: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, str, int, int, int]]:
+    """(document, item, place in the item, place in the document, words) of maximal matches, from the windows that occur at places.
+
+    Windows of an item that follow each other there and in the document are one
+    match.  Whole documents are taken at a time.
+    """
+    order = np.lexsort((place, docs))
+    docs, which, place = docs[order], which[order], place[order]
+    first = np.flatnonzero(np.diff(docs, prepend=-1))
+    counts = windows.starts[which + 1] - windows.starts[which]
+    for lo, hi in _chunks(np.add.reduceat(counts, first)):
+        a, z = int(first[lo]), int(first[hi]) if hi < len(first) else len(docs)
+        at = _expand(windows.starts[which[a:z]], counts[a:z])
+        row = np.repeat(np.arange(a, z), counts[a:z])
+        doc, text, where, offset, size = docs[row], windows.text[at].astype(np.int64), place[row], windows.offset[at].astype(np.int64), windows.lengths[which[row]]
+        o = np.lexsort((where, where - offset, text, doc))
+        doc, text, where, offset, size = doc[o], text[o], where[o], offset[o], size[o]
+        follows = (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (where[1:] == where[:-1] + 1) & (offset[1:] == offset[:-1] + 1)
+        start = np.flatnonzero(np.concatenate(([True], ~follows)))
+        stop = np.append(start[1:], len(doc))
+        for d, t, f, w, n in zip(doc[start].tolist(), text[start].tolist(), offset[start].tolist(), where[start].tolist(), (stop - start - 1 + size[start]).tolist(), strict=True):
+            yield d, windows.names[windows.name_of[t]], f, w, n
+
+
 def run_reach(run: np.ndarray, shortest: int, n: int) -> np.ndarray:
     """Positions in, or just after, a stretch of known words at least `shortest` long."""
     begins = np.flatnonzero((run >= shortest) & (np.concatenate(([0], run[:-1])) == 0))
@@ -157,10 +199,12 @@ def run_reach(run: np.ndarray, shortest: int, n: int) -> np.ndarray:
     return np.cumsum(cover)[:n] > 0
 
 
-_MATCH = "n_words long, hits array<struct<start:long,stop:long>>, items array<string>"
+_MATCH = "n_words long, hits array<struct<start:long,stop:long>>, items array<string>, matches array<struct<item:string,item_start:long,start:long,words:long>>"
 
 
-def _matcher(blocks, shard_bytes: int):
+def _matcher(blocks, shard_bytes: int, matches: bool):
+    fields = ("item", "item_start", "start", "words")
+    maximal = pa.list_(pa.struct([(n, pa.string() if n == "item" else pa.int64()) for n in fields]))
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +212,16 @@ def _matcher(blocks, shard_bytes: int):
         for b in batches:
             texts = b["_text"]
             for lo, hi in by_bytes(texts, shard_bytes):
-                found = match_shard(windows, texts.slice(lo, hi - lo).to_pylist())
+                found = match_shard(windows, texts.slice(lo, hi - lo).to_pylist(), matches)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[b[k].slice(lo, hi - lo) for k in range(b.num_columns - 1)],
                         pa.array([x[0] for x in found], pa.int64()),
                         pa.array([[{"start": s, "stop": e} for s, e in x[1]] for x in found], pairs),
                         pa.array([x[2] for x in found], pa.list_(pa.string())),
+                        pa.array([[dict(zip(fields, m, strict=True)) for m in x[3]] for x in found], maximal),
                     ],
-                    names=[*b.schema.names[:-1], "n_words", "hits", "items"],
+                    names=[*b.schema.names[:-1], "n_words", "hits", "items", "matches"],
                 )
 
     return run
@@ -191,8 +236,11 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, bl
     return passes, (Windows([tuple(r) for r in block.toLocalIterator()], window) for block in dealt)
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
-    """The columns `keep` of docs, n_words, hits (runs of hit words) and items (sorted as strings), a row for each document.
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 8 << 20, with_matches: bool = False) -> DataFrame:
+    """The columns `keep` of docs, n_words, hits (runs of hit words), items (sorted as strings) and matches, a row for each document.
+
+    matches, empty unless with_matches: every maximal verbatim match of an item,
+    at least a window, as (item, item_start, start, words), places from 0.
 
     A window is `window` consecutive words of an item, or all words of a shorter
     one; items without words (null, empty) have none.  A null item_id shows as
@@ -208,19 +256,21 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], te
     else:  # a key of the row itself; equal rows have equal answers
         source = docs.select(*keep, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    parts = [source.mapInArrow(_matcher(spark.sparkContext.broadcast(windows), shard_bytes), f"{schema + ', ' if schema else ''}{_MATCH}") for windows in blocks]
+    parts = [source.mapInArrow(_matcher(spark.sparkContext.broadcast(windows), shard_bytes, with_matches), f"{schema + ', ' if schema else ''}{_MATCH}") for windows in blocks]
     if passes == 1:
         return parts[0]
     # every pass answers for the same texts, so the merge is on distinct texts
     merged = None
     for p in parts:
-        merged = p.select("_key", "n_words", "hits", "items") if merged is None else merged.unionByName(p.select("_key", "n_words", "hits", "items"))
+        own = p.select("_key", "n_words", "hits", "items", "matches")
+        merged = own if merged is None else merged.unionByName(own)
     merged = merged.groupBy("_key").agg(
         F.first("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_set("matches"))).alias("matches"),
     )
-    return source.drop("_text").join(merged, "_key").select(*keep, "n_words", _union_runs("hits").alias("hits"), "items")
+    return source.drop("_text").join(merged, "_key").select(*keep, "n_words", _union_runs("hits").alias("hits"), "items", "matches")
 
 
 def _union_runs(column: str):

@@ -83,12 +83,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = decontaminate.benchmark_matches(docs, _read(spark, sf_dir, "benchmark"), ["doc_id"])
+    found = decontaminate.benchmark_matches(docs, _read(spark, sf_dir, "benchmark"), ["doc_id"], with_matches=True)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("hits", lambda x: x["stop"] - x["start"])), F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce(F.array_max(F.transform("matches", lambda x: x["words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
@@ -148,16 +149,18 @@ ORACLES = {
             UNION ALL
             SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
         items AS (SELECT id, w, least(len(w), 10) AS n FROM split WHERE side = 'b' AND len(w) > 0),
-        windows AS (SELECT DISTINCT id, n, array_to_string(w[k : k + n - 1], ' ') AS t FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+        windows AS (SELECT id, n, k AS o, array_to_string(w[k : k + n - 1], ' ') AS t FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
         sizes AS (SELECT DISTINCT n FROM windows),
         places AS (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM split, sizes WHERE side = 'd' AND len(w) >= n),
-        found AS (SELECT p.id, p.k, p.n, x.id AS item FROM places p JOIN windows x ON x.n = p.n AND x.t = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')),
+        found AS (SELECT p.id, p.k, p.n, x.id AS item, x.o FROM places p JOIN windows x ON x.n = p.n AND x.t = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')),
         hit AS (SELECT id, count(DISTINCT word) AS n_hit FROM (SELECT id, unnest(range(k, k + n)) AS word FROM (SELECT DISTINCT id, k, n FROM found)) GROUP BY id),
         runs AS (SELECT id, max(c) AS longest FROM (SELECT id, word - r AS g, count(*) AS c FROM (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY word) AS r FROM (SELECT DISTINCT id, unnest(range(k, k + n)) AS word FROM found)) GROUP BY id, g) GROUP BY id),
+        chains AS (SELECT id, item, max(n) + count(*) - 1 AS words FROM (SELECT *, k - row_number() OVER (PARTITION BY id, item, k - o ORDER BY k) AS g FROM found) GROUP BY id, item, k - o, g),
+        longest AS (SELECT id, max(words)::BIGINT AS longest_match FROM chains GROUP BY id),
         named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY id)
         SELECT s.id AS doc_id, len(s.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_run
-        FROM split s LEFT JOIN hit USING (id) LEFT JOIN named USING (id) LEFT JOIN runs USING (id) WHERE side = 'd'""",
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_run, coalesce(longest_match, 0)::BIGINT AS longest_match
+        FROM split s LEFT JOIN hit USING (id) LEFT JOIN named USING (id) LEFT JOIN runs USING (id) LEFT JOIN longest USING (id) WHERE side = 'd'""",
 }
 
 
