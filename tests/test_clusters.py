@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from vectide.operators import assign, kmeans, policy
+from vectide.operators import assign, kmeans, policy, search
 
 
 def centroids(spark, x):
@@ -28,6 +28,62 @@ def test_two_levels_agree(spark, vectors):
     assert [r["cluster_id"] for r in b] == assign.nearest_rows(x, fine)[0].tolist()
 
 
+def test_sets_that_are_too_large_to_broadcast(spark, vectors, monkeypatch):
+    """In parts, or by joins, the answers are the same."""
+    rng = np.random.default_rng(7)
+    x, coarse, fine = (rng.standard_normal((n, 5)).astype(np.float32) for n in (120, 6, 40))
+    rows, c, f = vectors(x), centroids(spark, coarse), centroids(spark, fine)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    at = lambda df: [(r["vec_id"], r["cluster_id"], round(r["d2"], 6)) for r in df.orderBy("vec_id").collect()]
+    q = rows.where("vec_id < 7").selectExpr("vec_id as query_id", "embedding as query")
+    made = lambda: (key(assign.nearest(rows, f)), key(assign.two_level_assign(rows, c, f, 3)), key(assign.nearest_other(f)), key(search.probes(q, f, 6)), key(search.exact(rows, q, 4)), at(assign.assign_two_level(rows, coarse, fine, 3)))
+    want = made()
+    for limit in (900, 200):
+        monkeypatch.setattr(assign, "ARRAY", limit)
+        monkeypatch.setattr(search, "ARRAY", limit)
+        monkeypatch.setattr(search, "BROADCAST", limit)
+        monkeypatch.setattr(assign, "BROADCAST", 0)
+        assert made() == want
+    scan = key(search.exact_scan(rows, np.arange(7), x[:7], 4).select("query_id", "rank", "id"))
+    assert scan == [(a, b, c) for a, b, c, _ in want[4]]
+
+
+def test_no_centroids_and_repeated_rows(spark, vectors):
+    rows = vectors([[1, 2], [3, 4]])
+    none = assign.nearest(rows, centroids(spark, [[0, 0]]).limit(0)).collect()
+    assert len(none) == 2 and all(r["cluster_id"] is None for r in none)
+    twice = rows.unionByName(rows)
+    assert assign.nearest(twice, centroids(spark, [[0, 0], [3, 3]])).count() == 4
+    assert assign.nearest_other(centroids(spark, [[0, 0]])).count() == 0
+
+
+def test_only_the_asked_meet_the_others(spark):
+    c = centroids(spark, [[0, 0], [1, 0], [5, 0], [6, 1]])
+    of = spark.createDataFrame([(2,)], "cluster_id long")
+    assert [tuple(r) for r in assign.nearest_other(c, of).collect()] == [(2, 3, 2.0)]
+
+
+def test_busy_clusters_wait_and_cost_no_tries(spark):
+    n = 60
+    stats = spark.createDataFrame([(k, 100 if k >= n else 1 + k % 3, 1.0) for k in range(2 * n)], "cluster_id long, count long, radius double")
+    c = centroids(spark, [[k % n, 0.1 * (k >= n)] for k in range(2 * n)])
+    plan = policy.merge_targets(stats, c, 1, busy=lambda k: k < 40)
+    assert len(plan) == 1 and plan[0][0] >= 40 and plan[0][1] == plan[0][0] + n
+    assert policy.merge_targets(stats, c, 1, busy=lambda k: True) == [] == policy.merge_targets(stats, c, 0)
+    assert policy.merge_targets(stats, c, 3) == [(0, n), (3, n + 3), (6, n + 6)]
+
+
+def test_a_step_of_a_split_is_the_librarys(spark, vectors):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((30, 3)), 9 + 0.1 * rng.standard_normal((4, 3))]).astype(np.float32)
+    c0, c1 = x[0], x[-1]
+    halves = spark.createDataFrame([(0, [float(v) for v in c0], [float(v) for v in c1])], "cluster_id long, c0 array<double>, c1 array<double>")
+    got = {r["vec_id"]: r["side"] for r in kmeans.split_step(vectors(x, cluster_id=[0] * 34), halves).collect()}
+    pull = ((x.astype(float) - c0) ** 2).sum(1) - ((x.astype(float) - c1) ** 2).sum(1)
+    left = int(np.clip((pull < 0).sum(), 9, 25))
+    assert sorted(k for k, s in got.items() if s == 0) == sorted(np.argsort(pull, kind="stable")[:left].tolist())
+
+
 def test_stats(spark, vectors):
     rows = vectors([[0, 0], [2, 0], [3, 4]], cluster_id=[0, 0, 1])
     c = assign.centroids_of(rows)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectide.functions.vectors import admitted, decode_row
 from vectide.operators import assign, rabitq, rank, search
 
 
@@ -115,3 +116,65 @@ def test_pipeline(spark, vectors, metric):
     assert key(search.two_pass(rows, codes, frames, sets, queries, 5, 2, metric, exact_bounds=True)) == key(probed)
     got = search.two_pass(rows, codes, frames, sets, queries, 5, 5, metric)
     assert rank.recall_at_k(got, exact, 5).first()[0] >= 0.9
+
+
+def test_bounds_are_made_for_few_rows():
+    x = gaussian(4000, 64) * np.linspace(0.2, 3, 4000)[:, None]
+    codes = rabitq.encode(x, 3)
+    q = rabitq.Query(x[10], "l2", 3)
+    cut = np.sort(rabitq.score(codes, q)[0])[-10]
+    work = rabitq.Scoring(codes, q)
+    kept = rabitq.may_reach(codes, q, cut, work)
+    assert np.array_equal(kept, rabitq.score(codes, q)[1] >= cut) and 0 < work.bounded < 0.6 * len(codes)
+
+
+@pytest.mark.parametrize(("metric", "bits"), [("l2", 0), ("cosine", 0), ("l2", 3), ("cosine", 2)])
+def test_columns_as_bytes(metric, bits):
+    x = np.vstack([np.zeros(70), gaussian(20, 70)])
+    codes = rabitq.encode(x, 12345, metric, bits)
+    data = rabitq.encode_column(codes)
+    back = rabitq.decode_column(data)
+    q = rabitq.Query(x[3], metric, 12345)
+    assert all(np.allclose(a, b) for a, b in zip(rabitq.score(codes, q), rabitq.score(back, q), strict=True)) and rabitq.encode_column(back) == data
+    head = 22 + 8 * 70
+    broken = [data[:-1], data + b"0", b"XXXX" + data[4:], data[:4] + b"\x07" + data[5:], data[: head + 8] + np.array([-1.0]).tobytes() + data[head + 16 :], data[: head + 8] + np.array([np.nan]).tobytes() + data[head + 16 :]]
+    words = head + 16 * 21
+    broken.append(data[: words + 31] + b"\xff" + data[words + 32 :])  # bits beyond the 70th
+    if bits:
+        levels = words + 16 * 21
+        broken.append(data[: levels + 70] + b"\x7f" * 70 + data[levels + 140 :])
+    for bad in broken:
+        with pytest.raises(ValueError):
+            rabitq.decode_column(bad)
+    assert len(rabitq.decode_column(rabitq.encode_column(rabitq.encode(np.zeros((0, 8)), 3, dims=8)))) == 0
+
+
+def test_wrong_codes_fail_where_they_are_read(spark, vectors):
+    x = gaussian(40, 16).astype(np.float32)
+    rows = vectors(x, cluster_id=[k % 2 for k in range(40)])
+    frames = rabitq.frames_of(rows, 11, ex_bits=2)
+    codes = rabitq.codes_of(rows, frames)
+    chosen = spark.createDataFrame([(0, 0, [float(v) for v in x[0]]), (1, 0, [float(v) for v in x[0]])], "cluster_id long, query_id long, query array<float>")
+    assert search.estimates(codes, frames, chosen).count() == 40
+    assert search.estimates(codes, frames, chosen, most=3).count() == 6
+    for bad in (("transform(ex, y -> 100Y) as ex", "ex_norm", "ex_align"), ("ex", "ex_norm * 2 as ex_norm", "ex_align"), ("ex", "ex_norm", "1.5D as ex_align")):
+        wrong = codes.selectExpr("cluster_id", "vec_id", "bits", "norm", "align", *bad)
+        with pytest.raises(Exception, match="no encoder"):
+            search.estimates(wrong, frames, chosen).collect()
+    with pytest.raises(Exception, match="no encoder"):
+        rabitq.checked_codes(codes.withColumn("ex", F.transform("ex", lambda y: F.lit(100).cast("tinyint"))), frames).collect()
+    half = rows.where("vec_id < 20")
+    assert rabitq.append_codes(rabitq.codes_of(half, frames), rows.where("vec_id >= 20"), frames).count() == 40
+
+
+def test_queries_of_another_width_fail(spark, vectors):
+    rows = vectors(gaussian(10, 4).astype(np.float32))
+    odd = rows.unionByName(spark.createDataFrame([(99, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>"))
+    q = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0])], "query_id long, query array<float>")
+    with pytest.raises(Exception, match="different widths"):
+        search.exact(odd, q, 3).collect()
+    with pytest.raises(Exception, match="bad vector"):
+        admitted(q, 5).collect()
+    assert decode_row(rows, 3) == pytest.approx(gaussian(10, 4)[3]) and search.exact(rows, admitted(q, 4), 3).count() == 3
+    with pytest.raises(IndexError):
+        decode_row(rows, 50)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vectide.operators import router
+from vectide.sources import wire
 
 
 def clusters(n, dims=16, seed=7):
@@ -106,6 +107,32 @@ def test_tables_and_joins(spark):
         router.Tree.from_table(nodes.where("leaf_id is null or leaf_id <> 3"), 4)
 
 
+def test_trees_as_bytes():
+    t = router.Tree.build(clusters(100, 4).astype(np.float32), 4).upsert(100, np.full(4, 3.5))
+    data = wire.encode_tree(t)
+    back = wire.decode_tree(data)
+    assert wire.encode_tree(back) == data and back.height == t.height
+    for q in clusters(10, 4, seed=3):
+        assert back.search(q, 1000, 5) == t.search(q, 1000, 5)
+    empty = wire.decode_tree(wire.encode_tree(router.Tree.build(np.zeros((0, 4)), 4)))
+    assert len(empty) == 0 and empty.nearest(np.zeros(4), 2) == []
+    last = len(data) - 4  # a holder's last cluster
+    for bad in (data[:-1], data + b"0", b"DVT\x02" + data[4:], data[:last] + data[last - 4 : last], data[:last] + b"\xff\xff\x00\x00", data[:16] + b"\x01\x00\x00\x00" + data[20:]):
+        with pytest.raises(ValueError):
+            wire.decode_tree(bad)
+
+
+def test_work_of_routing(spark):
+    x = clusters(400, 8)
+    t = router.Tree.build(x, 8)
+    q = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(clusters(12, 8, seed=4).astype(np.float32))], "query_id long, query array<float>")
+    for tree in (t, t.quantise()):
+        for r in router.route_work(q, tree, 3, 4).collect():
+            work = router.Work()
+            own = np.array(q.where(f"query_id = {r['query_id']}").first()["query"])
+            assert r["found"] == tree.search(own, 4, 3, work) and (r["floats"], r["quantised"]) == (work.floats, work.quantised)
+
+
 def test_block_trees():
     x = clusters(300)
     t, b = router.Tree.build(x.astype(np.float32), 8), router.BlockTree(x, 8, router.FloatBlock)

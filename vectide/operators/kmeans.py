@@ -173,16 +173,56 @@ class KMeans:
             c, _ = lloyd(own, seed_centroids(own, quota[b], np.random.default_rng(seed + b + 1)), iters, spherical)
             return pa.table({"bucket": pa.array([b] * len(c), pa.int64()), "place": pa.array(range(len(c)), pa.int64()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64()))})
 
-        sample = spark.createDataFrame(pa.table({"row": np.arange(len(x)), "bucket": at, "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+        sample = spark.createDataFrame(pa.table({"row": np.arange(len(x)), "bucket": at, "embedding": _list_array(x)}))
         found = sample.groupBy("bucket").applyInArrow(fine, "bucket long, place long, centroid array<double>").toArrow()
         order = np.lexsort((found["place"].to_numpy(), found["bucket"].to_numpy()))
         c = np.array(found["centroid"].to_pylist())[order]
+        for _ in range(min(self.iters, REFINE)):
+            new = _refined(sample, coarse, c, spherical)
+            if np.array_equal(new, c):
+                break
+            c = new
+        return Fitted(c, coarse)
 
-        def place(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-            return nearest_two_level(x, coarse, c, file_fine(coarse, c), PROBE)[0]
 
-        c, _ = lloyd(x, c, min(self.iters, REFINE), self.spherical, place)
-        return Fitted(c, coarse)
+def _list_array(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+
+
+def _refined(sample: DataFrame, coarse: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
+    """One round of Lloyd's algorithm over the sample, on the executors: sums of rows by cluster come back, fewer than there are rows.
+
+    An empty cluster moves to the row farthest from its own centroid that no
+    other has claimed.
+    """
+    filed = file_fine(coarse, c)
+    shared = sample.sparkSession.sparkContext.broadcast((coarse, c, filed))
+
+    def sums(batches):
+        n, s = np.zeros(len(shared.value[1]), dtype=np.int64), np.zeros(shared.value[1].shape)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b["embedding"]).astype(np.float64)
+                at = nearest_two_level(x, *shared.value, PROBE)[0]
+                n += np.bincount(at, minlength=len(n))
+                s += np.stack([np.bincount(at, x[:, j], len(n)) for j in range(x.shape[1])], 1)
+        own = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(own), pa.array(n[own]), pa.array(s[own].tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "s"])
+
+    def far(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([b["row"], b["embedding"], pa.array(nearest_two_level(matrix(b["embedding"]).astype(np.float64), *shared.value, PROBE)[1])], names=["row", "embedding", "d2"])
+
+    part = sample.mapInArrow(sums, "cluster long, n long, s array<double>").toArrow()
+    at, n, s = part["cluster"].to_numpy(), part["n"].to_numpy(), np.array(part["s"].to_pylist()).reshape(-1, c.shape[1])
+    count = np.bincount(at, n, len(c))
+    new = np.stack([np.bincount(at, s[:, j], len(c)) for j in range(c.shape[1])], 1)
+    new = np.divide(new, count[:, None], out=c.copy(), where=count[:, None] > 0)
+    if (empty := np.flatnonzero(count == 0)).size:
+        rows = sample.mapInArrow(far, "row long, embedding array<float>, d2 double").orderBy(F.desc("d2"), "row").limit(int(empty.size)).toArrow()
+        new[empty[: rows.num_rows]] = matrix(rows["embedding"])
+    return unit(new) if spherical else new
 
 
 @dataclass(frozen=True)
