@@ -46,6 +46,7 @@ def test_bad_vectors(spark):
         V.matrix(df.where("vec_id in (0, 3)").toArrow()["embedding"])
 
 
+# fixed values: rows, clusters and probes of the sizing curve
 @pytest.mark.parametrize(("rows", "k", "nprobe"), [(64, 8, 8), (256, 16, 16), (20_000, 103, 25), (100_000, 511, 127), (400_000, 2041, 510), (1_000_000, 5103, 511), (10_000_000, 51_021, 1594), (100_000_000, 510_205, 15_943)])
 def test_sizing(rows, k, nprobe):
     assert (sizing.hood_k(rows), min(sizing.hood_k(rows), sizing.default_nprobe(k))) == (k, nprobe)
@@ -62,11 +63,37 @@ def test_sizing_edges(spark):
 
 
 def test_half_floats(spark):
-    x = [1.0, -2.0, 0.1, 65504.0, 1 / 3, 1e-8, 2048.5, -0.5, 1e6]
-    df = spark.createDataFrame([(0, x), (1, None), (2, [])], "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r["decoded"] for r in codec.from_f16(codec.with_f16(df)).collect()}
-    assert got[0] == [1, -2, 0.0999755859375, 65504, 0.333251953125, 0, 2048, -0.5, math.inf] and got[1] is None and got[2] == []
-    assert codec.round_f16([0.1])[0] == np.float32(0.0999755859375)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(300) * 10.0 ** rng.integers(-9, 5, 300), 2.0 ** np.arange(-26, 16), 1 + np.arange(8) / 2048, [0.0, 65519.0, 65520.0, -7e4]]).astype(np.float32)
+    df = spark.createDataFrame([(0, x.tolist()), (1, None), (2, []), (3, [7.0])], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["decoded"] for r in codec.from_f16(codec.with_f16(df.coalesce(1))).collect()}
+    with np.errstate(over="ignore"):
+        want = x.astype(np.float16).astype(np.float32)
+    assert np.array_equal(got[0], want) and got[1] is None and got[2] == [] and got[3] == [7.0]
+    assert np.array_equal(codec.round_f16(x), want)
+    assert np.array_equal(df.where("vec_id = 0").select(F.transform("embedding", codec.half_of)).first()[0], want)
+
+
+def test_float_blocks(vectors):
+    x = np.random.default_rng(6).standard_normal((20, 8)).astype(np.float32)
+    for scalar in ("f32", "f16"):
+        got = codec.dense_blocks(vectors(x, block=[k % 3 for k in range(20)]), "block", scalar).orderBy("vec_id").select("scale", "offset", codec.dense_decode().alias("r")).collect()
+        assert np.array_equal([r["r"] for r in got], codec.round_f16(x) if scalar == "f16" else x) and {(r["scale"], r["offset"]) for r in got} == {(1.0, 0.0)}
+    assert codec.dense_blocks(vectors([[7e4, 1.0]], block=[0]), "block", "f32").select(codec.dense_decode()).first()[0] == [7e4, 1.0]
+    for scalar, bad in (("f16", [[7e4, 1.0]]), ("f16", [[1.0], [1.0, 2.0]]), ("f32", [[1.0, float("inf")]])):
+        with pytest.raises(Exception, match="overflow"):
+            codec.dense_blocks(vectors(bad, block=[0] * len(bad)), "block", scalar).collect()
+
+
+def test_widths(spark):
+    row = spark.createDataFrame([([1.0, 2.0], [1.0], None)], "a array<float>, b array<float>, n array<float>")
+    assert row.select(V.score("l2", "a", "n")).first()[0] is None and row.select(V.l2_sq("a", "b")).first()[0] is None
+    with pytest.raises(Exception, match="different widths"):
+        row.select(V.score("ip", "a", "b")).collect()
+    got = V.float_rows(spark.createDataFrame([(0, [1, -2])], "vec_id long, embedding array<smallint>"), dims=2)
+    assert got.schema["embedding"].dataType.simpleString() == "array<float>" and got.first()["embedding"] == [1.0, -2.0]
+    with pytest.raises(Exception, match="bad vector"):
+        V.float_rows(spark.createDataFrame([(0, [1, -2])], "vec_id long, embedding array<smallint>"), dims=3).collect()
 
 
 def test_bytes(spark):
@@ -75,16 +102,22 @@ def test_bytes(spark):
     assert df.select(codec.round_i8("v")).first()[0] == [-128, 127, 127, 3, -3, 0, 0, 0]
 
 
-@pytest.mark.parametrize(
-    ("scalar", "rows", "codes"),
-    [
-        ("i8", [[-128, 127, -100, 3.4, 3.6, 2.5, -2.5, 0], [0.49, -0.5, 99.5, -1, 1, 64, -64, 126.6]], [[-128, 127, -100, 3, 4, 3, -3, 0], [0, -1, 100, -1, 1, 64, -64, 127]]),
-        ("u8", [[0, 255, 200, 127.5, 0.49, 1.5, 254.6, 128], [17, 16.5, 99.4, 129, 3, 250, 0, 1]], [[0, 255, 200, 128, 0, 2, 255, 128], [17, 17, 99, 129, 3, 250, 0, 1]]),
-    ],
-)
-def test_affine_blocks(vectors, scalar, rows, codes):
-    got = codec.dense_blocks(vectors(rows, block=[0, 0]), "block", scalar).orderBy("vec_id").collect()
-    assert [r["codes"] for r in got] == codes
+@pytest.mark.parametrize(("scalar", "low", "high"), [("i8", -128, 127), ("u8", 0, 255)])
+def test_affine_blocks(vectors, scalar, low, high):
+    """A block that spans the type's range has scale 1 and offset 0, so its codes are the elements, rounded, halves away from zero."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.uniform(low, high, (6, 9)), np.floor(rng.uniform(low, high - 1, (3, 9))) + 0.5])
+    x[0, 0], x[1, 1] = low, high
+    x = x.astype(np.float32)
+    got = codec.dense_blocks(vectors(x, block=[0] * 9), "block", scalar).orderBy("vec_id").collect()
+    want = np.sign(x) * np.floor(np.abs(x.astype(float)) + 0.5)
+    assert np.array_equal([r["codes"] for r in got], np.clip(want, low, high)) and got[0]["scale"] == 1
+    # any other span is mapped onto the range
+    y = (3 + 0.01 * x).astype(np.float32)
+    coded = codec.dense_blocks(vectors(y, block=[0] * 9), "block", scalar).orderBy("vec_id")
+    codes = np.array([r["codes"] for r in coded.collect()])
+    back = np.array([r[0] for r in coded.select(codec.dense_decode()).collect()])
+    assert codes.min() == low and codes.max() == high and np.abs(back - y).max() <= 0.51 * (float(y.max()) - float(y.min())) / 255
 
 
 def test_affine_edges(vectors):
