@@ -442,10 +442,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = table(ranked.groupBy("key").agg(F.max_by("cid", F.struct("degree", F.col("cid"))).alias("hub"), F.min("cid").alias("low")), "heads")
     led = buckets.join(heads, "key")
     best = lambda c: led.where(F.col("cid") != F.col(c)).groupBy("cid", c).agg(F.count("*").alias("k")).groupBy("cid").agg(F.max_by(c, F.struct("k", F.col(c))).alias("other"))
-    tried = table(best("hub").unionByName(best("low")).select(F.least("cid", "other").alias("low"), F.greatest("cid", "other").alias("high")).distinct(), "tried")
-    # the more connected of two is the pivot, so that a hub's set is sent to few tasks
-    first = tried.join(degree.select(F.col("cid").alias("low"), F.col("degree").alias("dl")), "low").join(degree.select(F.col("cid").alias("high"), F.col("degree").alias("dh")), "high")
-    first = first.select(F.when(F.col("dl") >= F.col("dh"), F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("dl") >= F.col("dh"), F.col("high")).otherwise(F.col("low")).alias("b"))
+    # the key's hub or first member is the pivot, so that its set is sent to few tasks
+    first = table(best("hub").unionByName(best("low")).select(F.col("other").alias("a"), F.col("cid").alias("b")).distinct(), "tried")
     first = table(_near(first, classes, signer, distance), "near")
     links = table(_confirmed(first, texts, classes, size, percent), "links")
 
