@@ -307,8 +307,11 @@ class _Steps:
         back[place] = rank[which]
         return shard[order], a[order], b[order], back
 
-    def blobs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's distinct words and pairs with their counts in training documents, by shard; pairs' shards are numbered behind words'."""
+    def blobs(self, batches: Iterator[pa.RecordBatch], turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
+        """A block's distinct words and pairs with their counts in training documents, by shard; pairs' shards are numbered behind words'.
+
+        Only the shards of a turn are sent.
+        """
         try:
             for batch in batches:
                 for number, body, hashes in zip(batch["block"].to_pylist(), batch["body"], batch["hashes"], strict=True):
@@ -316,11 +319,13 @@ class _Steps:
                     h = np.frombuffer(hashes.as_buffer(), dtype=np.uint64)
                     learned = np.repeat(train, np.diff(ends, prepend=0))
                     count = np.bincount(now[learned], minlength=len(h)).astype(np.uint32)
-                    out = [(s, number, _pack(h[lo:hi], count[lo:hi])) for s, lo, hi in _runs(self.word_shard(h))]
+                    out = [(s, number, _pack(h[lo:hi], count[lo:hi])) for s, lo, hi in _runs(self.word_shard(h)) if s % turns == turn]
                     shard, a, b, which = self.pairs(now, before, home, piece)
                     count = np.bincount(which[learned], minlength=len(a)).astype(np.uint32)
                     short = h & SHORT
                     for s, lo, hi in _runs(shard):
+                        if s % turns != turn:
+                            continue
                         start = np.flatnonzero(np.diff(a[lo:hi], prepend=-1))
                         size = np.diff(start, append=hi - lo).astype(np.uint32)
                         out.append((self.shards + s, number, _pack(short[a[lo:hi][start]], size, short[b[lo:hi]], count[lo:hi])))
@@ -453,7 +458,7 @@ class _Steps:
         return pa.table(out, schema=_SCORES)
 
 
-def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 14 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 14 << 20, shard_bytes: int = 8 << 20, turns: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows whose crc32(doc_id) mod fold is not 0 (a null
@@ -463,7 +468,8 @@ def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 14 << 20, sh
     so equal texts have equal scores; other columns don't matter, and an empty
     table gives an empty one.  block_bytes, shard_bytes: text in a block (a
     longer text is one by itself), and text whose words or pairs a shard counts;
-    they bound a task's memory.
+    they bound a task's memory.  turns: words and pairs are sent to that many
+    parts of the shards, one after another, which bounds the disk of the exchange.
     """
     spark = docs.sparkSession
     source = docs.select(ids().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"), (crc_mod("doc_id", fold) != 0).alias("train"))
@@ -472,8 +478,13 @@ def score_texts(docs: DataFrame, fold: int = 10, block_bytes: int = 14 << 20, sh
     steps = _Steps(shards, -(-shards // 256))
     blocks = table(source.mapInArrow(steps.blocks(block_bytes), _ddl(_BLOCK)), "blocks")
     said = _ddl(_SAID)
-    sums = table(blocks.mapInArrow(lambda batches: steps.blobs(batches), _ddl(_BLOB)).groupBy("shard").applyInArrow(lambda k, t: steps.sums(k, t), said), "sums")
-    settle(spark)
+    sums = None
+    for turn in range(turns):
+        sent = blocks.mapInArrow(lambda batches, turn=turn: steps.blobs(batches, turn, turns), _ddl(_BLOB))
+        part = table(sent.groupBy("shard").applyInArrow(lambda k, t: steps.sums(k, t), said), "sums")
+        sums = part if sums is None else sums.unionAll(part)
+        del sent
+        settle(spark)
 
     def to(rows: DataFrame, kind: int) -> DataFrame:
         return rows.where(F.col("kind") == kind).select("to", "shard", "body")
