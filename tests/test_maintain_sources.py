@@ -83,6 +83,9 @@ def test_benchmark_headers(spark, tmp_path):
         bigann._kind("x.bin")
     p = tmp_path / "t.ibin"
     p.write_bytes(struct.pack("<II6i6f", 2, 3, *range(6), *[0.0] * 6))
+    bigann.write_truth(again := str(p.with_name("again.ibin")), np.array([[3 * q + k for k in range(3)] for q in (0, 1)]))
+    for path in (again, "file://" + again):
+        assert sorted(tuple(r) for r in spark.read.format("bigann").load(path).collect()) == [(q, k + 1, 3 * q + k) for q in (0, 1) for k in range(3)]
     assert sorted(tuple(r) for r in spark.read.format("bigann").load(str(p)).collect()) == [(q, k + 1, 3 * q + k) for q in (0, 1) for k in range(3)]
     p.write_bytes(struct.pack("<II6i", 2, 3, *range(6)))
     with pytest.raises(Exception, match="shorter"):

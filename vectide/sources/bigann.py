@@ -3,7 +3,8 @@
 `.u8bin .i8bin .fbin`: two little-endian uint32 (rows, width), then the values row
 by row, to (vec_id, embedding).  `.ibin`: queries and k, then int32 ids and
 float32 distances, to (query_id, rank, id).  Rows have a fixed width, so a file is
-cut into byte ranges that are read in parallel.  Paths are opened as local files.
+cut into byte ranges that are read in parallel.  A path is a local file, or a URI of
+a store that Arrow can open.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,9 +24,18 @@ WIDEST = 4096
 PART_BYTES = 32 << 20
 
 
+def _opened(path: str) -> pa.NativeFile:
+    """A file to read and seek in: a path, or a URI of any store that Arrow knows (file, hdfs, s3, gs)."""
+    if "://" in path:
+        store, path = pafs.FileSystem.from_uri(path)
+    else:
+        store = pafs.LocalFileSystem()
+    return store.open_input_file(path)
+
+
 def read_header(path: str) -> tuple[int, int]:
     """Rows and width; an impossible header is an error."""
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         head = f.read(8)
     if len(head) < 8:
         raise ValueError(f"{path}: no header")
@@ -52,12 +63,12 @@ class _Reader(DataSourceReader):
         self.path, self.part_bytes = path, part_bytes
         self.suffix = _kind(path)
         if self.suffix == ".ibin":
-            with open(path, "rb") as f:
-                head = f.read(8)
+            with _opened(path) as f:
+                head, size = f.read(8), f.size()
             if len(head) < 8:
                 raise ValueError(f"{path}: no header")
             self.rows, self.dims = struct.unpack("<II", head)
-            if os.path.getsize(path) < 8 + 8 * self.rows * self.dims:
+            if size < 8 + 8 * self.rows * self.dims:
                 raise ValueError(f"{path}: shorter than its header says")
             self.size = 4 * self.dims
         else:
@@ -69,7 +80,7 @@ class _Reader(DataSourceReader):
         return [_Range(k, min(k + step, self.rows)) for k in range(0, self.rows, step)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
+        with _opened(self.path) as f:
             f.seek(8 + part.start * self.size)
             for at in range(part.start, part.stop, 4096):
                 n = min(4096, part.stop - at)
