@@ -37,9 +37,19 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
+#: Rows of a few numbers that are worth a file of their own.
+A_FILE = 200_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+
+    rows: about how many there are; so many files are written as they are worth,
+    not one for every partition of the last exchange.
+    """
     spark = df.sparkSession
+    if rows is not None and 1 + rows // A_FILE < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(1 + rows // A_FILE)
     path = f"{shared_dir(spark)}/vectide-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)

@@ -313,7 +313,7 @@ def _met(members: DataFrame, docs: DataFrame, classes: DataFrame, signer: Signer
     dealt = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("bin")).join(bins.select("bin", "cid", "label"), "bin")
     known = dealt.join(classes.select("cid", "wide"), "cid").select(*_RUNS)
     near = table(_apart(known, signer.width, distance), "meet")
-    if not near.limit(1).count():
+    if not (met := near.count()):
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def _met(members: DataFrame, docs: DataFrame, classes: DataFrame, signer: Signer
     body = _sets(docs, classes, near.select("cid").distinct(), size).dropDuplicates(["cid"])
     rows = near.join(bins.select("cid", "label", "bin").join(classes.select("cid", "wide"), "cid"), "cid").join(body, "cid").select(*_RUNS, "body")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table(rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "a long, b long").distinct(), "more")
+    return table(rows.repartition(parts, "p", "q").sortWithinPartitions("p", "q", "cid").mapInArrow(run, "a long, b long").distinct(), "more", met)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -388,25 +388,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return held.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "cid").mapInArrow(confirm, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, label) of every linked cid; label is the smallest cid reachable.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(cid, label) of every linked cid; label is the smallest cid reachable.  rows: how many links there are at most, if that is known.
 
     Large-star and small-star in turn, each round written to the shared folder,
     until the links are stars about their labels.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last = None
+    last, rows = None, links.count() if rows is None else rows
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = table(small.where("u <> v").distinct(), "stars")
+        edges = table(small.where("u <> v").distinct(), "stars", rows)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
-        last = state
+        last, rows = state, state[0]
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -445,13 +445,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the key's hub or first member is the pivot, so that its set is sent to few tasks
     first = table(best("hub").unionByName(best("low")).select(F.col("other").alias("a"), F.col("cid").alias("b")).distinct(), "tried")
     first = table(_near(first, classes, signer, distance), "near")
-    links = table(_confirmed(first, texts, classes, size, percent), "links")
+    links = table(_confirmed(first, texts, classes, size, percent), "links", first.count())
 
     label = components(links)
     told = buckets.select("key", "cid").join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     told = table(_mixed(told), "told")
-    if told.limit(1).count():
-        family = components(told.join(heads, "key").select(F.col("cid").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "family")
+    if n := told.count():
+        family = components(told.join(heads, "key").select(F.col("cid").alias("a"), F.col("hub").alias("b")), n).withColumnRenamed("label", "family")
         members = told.select("cid", "label").distinct().join(family, "cid").join(classes.select("cid", (8 * F.col("n")).alias("bytes")), "cid")
         more = _met(members, texts, classes, signer, distance, size, percent)
         if more is not None and more.limit(1).count():
