@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vectide.llm.common import by_bytes, packed, release
 
 #: Bytes that the words a task remembers may take, with their ids.
-REMEMBERED = 64 << 20
+REMEMBERED = 48 << 20
 #: The public pattern; for any other the whole text goes through the pattern.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -406,7 +406,7 @@ def decoder(path: str) -> Decoder:
     return _DECODERS[path]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", exact: str | None = None, keep: list[str] | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", exact: str | None = None, keep: list[str] | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
     """docs, or its columns `keep`, with a column `out`, array<int>: the ids of the whole text, without special tokens.
 
     Null and empty texts give an empty array.  A column of that name is replaced.
@@ -429,7 +429,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                     columns = {"row": b["row"].slice(lo, hi - lo), out: _lists(found)}
                     if exact:
                         columns[exact] = pa.array([c.decode(x) == (t or "").encode() for x, t in zip(found, texts, strict=True)], pa.bool_())
+                    del found, texts
                     yield pa.record_batch(list(columns.values()), names=list(columns))
+                    del columns
+                    release()
 
     kind = rows.schema["row"].dataType.simpleString()
     more = f", `{exact}` boolean" if exact else ""
@@ -459,7 +462,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 8 << 20) -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded, decoded from the ids, and hashed in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,6 +481,8 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, batch_bytes: in
                         ],
                         schema=_DIGEST,
                     )
+                    del part, codes, found
+                    release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

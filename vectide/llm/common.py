@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBRARY = ctypes.CDLL(None)
 #: A null doc_id counts as larger than any other; outputs show it as null again.
 NO_ID = (1 << 63) - 1
 
@@ -115,7 +116,5 @@ def packed(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[pa.Reco
 def release() -> None:
     """Give memory that a task has freed back to the system: its worker lives on beside others."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if trim := getattr(_LIBRARY, "malloc_trim", None):  # the C library has it
+        trim(0)

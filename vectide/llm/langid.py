@@ -28,7 +28,7 @@ SHORT = 32
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-8
 #: Bytes that the words a task remembers may take.
-REMEMBERED = 48 << 20
+REMEMBERED = 32 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -287,7 +287,7 @@ def learn(docs: DataFrame, pieces_path: str, fold: int = 5, per_lang: int = 600)
     return Model(list(counts), prior, pieces, fit(Lattice(pieces), counts))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with lang_pred and score; columns of those names are replaced.
 
     A text that is null or has no letter is `und` with score 0, as is every text
@@ -313,7 +313,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", batch_bytes:
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, model: Model, certain: float, text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def identified(docs: DataFrame, model: Model, certain: float, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs, as they were, whose best language has a posterior probability of at least `certain`; texts without letters go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, texts_of = packed(docs, text_col)
