@@ -105,14 +105,15 @@ def nearest_rows(x: np.ndarray, c: np.ndarray, block: int = 2048) -> tuple[np.nd
         own = x[lo : lo + block].astype(np.float64)
         d = squared_distances(own, c)
         slack = 1e-12 * ((own * own).sum(1) + scale)
-        near = d <= (d.min(1) + slack)[:, None]
-        r, k = np.nonzero(near)
-        diff = own[r] - c[k].astype(np.float64)
-        exact = np.full(d.shape, np.inf)
-        exact[r, k] = (diff * diff).sum(1)
-        best = exact.argmin(1)
+        best = d.argmin(1)
+        near = d <= (np.take_along_axis(d, best[:, None], 1)[:, 0] + slack)[:, None]
+        for r in np.flatnonzero(near.sum(1) > 1).tolist():  # so close that the products can't tell
+            k = np.flatnonzero(near[r])
+            diff = own[r] - c[k].astype(np.float64)
+            best[r] = k[(diff * diff).sum(1).argmin()]
+        diff = own - c[best].astype(np.float64)
         index[lo : lo + block] = best
-        d2[lo : lo + block] = exact[np.arange(len(own)), best]
+        d2[lo : lo + block] = (diff * diff).sum(1)
     return index, d2
 
 
