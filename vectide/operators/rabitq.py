@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import matrix
@@ -332,6 +332,42 @@ def may_reach(codes: Codes, q: Query, cutoff: float, work: Scoring | None = None
     return out
 
 
+def planes_of(asked: DataFrame, frames: DataFrame) -> DataFrame:
+    """query_id, cluster_id, planes, low, step: each query (query_id, query, cluster_id) quantised in the frame of a cluster, as the bit planes of its levels.
+
+    The query's rotated residual is low + step * level; plane p holds bit p of
+    the levels, packed as the signs of codes are.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for query, cluster, v, c, seed, metric in zip(*(b[n].to_pylist() for n in ("query_id", "cluster_id", "query", "centroid", "seed", "metric")), strict=True):
+                q = Query(np.array(v), metric, seed % (1 << 64))
+                u = q.turned() - rotation(q.seed, len(c)).apply(np.array(c))
+                n = float(np.sqrt((u * u).sum()))
+                u = u / n if n > 0 else u
+                low, step = float(u.min()), (float(u.max()) - float(u.min())) / QUERY_LEVELS
+                level = np.floor((u - low) / step + 0.5).astype(np.uint8) if step > 0 else np.zeros(len(u), dtype=np.uint8)
+                wide = np.zeros((4, -(-len(u) // 64) * 64), dtype=np.uint8)
+                wide[:, : len(u)] = (level >> np.arange(4, dtype=np.uint8)[:, None]) & 1
+                out.append((query, cluster, np.packbits(wide, axis=1, bitorder="little").view("<i8").tolist(), low, step))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.float64(), pa.float64())
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_id", "cluster_id", "planes", "low", "step"])
+
+    own = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("cluster_id").cast("long").alias("cluster_id"), "query").join(frames, "cluster_id")
+    return own.select("query_id", "cluster_id", "query", "centroid", "seed", "metric").mapInArrow(run, "query_id long, cluster_id long, planes array<array<long>>, low double, step double")
+
+
+def bit_product(bits: Column | str = "bits", planes: Column | str = "planes") -> Column:
+    """The sum of the levels where a code's signs are 1, by counting bits: 2^p * bit_count(word & plane) over words and planes."""
+    bits, planes = (F.col(c) if isinstance(c, str) else c for c in (bits, planes))
+    ones = lambda plane: F.aggregate(F.zip_with(bits, plane, lambda w, x: F.bit_count(w.bitwiseAND(x))), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    weighted = F.transform(planes, lambda plane, p: ones(plane) * F.pow(F.lit(2), p).cast("long"))
+    return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
 CODES = "cluster_id long, vec_id long, bits array<long>, norm double, align double, ex array<byte>, ex_norm double, ex_align double"
 FRAMES = "cluster_id long, centroid array<double>, seed long, metric string, ex_bits int"
 

@@ -344,6 +344,15 @@ def rabitq_estimate(spark, d):
     return found.select("query_id", "id", (F.round("estimate", 6) + F.lit(0.0)).alias("estimate"), (F.round("bound", 6) + F.lit(0.0)).alias("bound"))
 
 
+def rabitq_bit_product(spark, d):
+    """Sums of the queries' levels over the signs of all codes, by counting bits in the JVM."""
+    rows, q = _labelled(spark, d), _queries(spark, d)
+    frames = rabitq.frames_of(rows, 42)
+    planes = rabitq.planes_of(search.probes(q, _label_centroids(spark, d), 10).join(q, "query_id"), frames)
+    both = rabitq.codes_of(rows, frames).join(planes, "cluster_id")
+    return both.select("query_id", F.col("vec_id").alias("id"), rabitq.bit_product().alias("product"))
+
+
 def rabitq_pruned(spark, d):
     """Rows of the probed clusters whose bounds the tenth exact score of each query lets pass, of how many."""
     rows, q, c = _labelled(spark, d), _queries(spark, d), _label_centroids(spark, d)
@@ -444,7 +453,7 @@ def queries() -> dict:
         farthest_member, nearest_other_cluster, two_level_assign, two_stage_assign, beam_search_fixed_tree, ivf_search_fixed_centroids, ivf_recall_by_nprobe, sizing_curve, split_target,
         merge_candidates, merge_plan, merge_owed, dense_scores, i8_codec_roundtrip, f16_codec_roundtrip, centroid_delta, apply_centroid_delta, balanced_split_step, rabitq_codes, rabitq_norms,
         kmeans_fit, kmeans_two_level, tree_route, balanced_splits, bigann_scan, knn_self_join_topk, tree_build, tree_upsert, tree_truncate, tree_bytes, block_tree_route, tree_route_work,
-        rabitq_append, rabitq_select, rabitq_signbits, rabitq_estimate, rabitq_pruned, ground_truth, dense_f16_blocks, code_bytes,
+        rabitq_append, rabitq_select, rabitq_signbits, rabitq_estimate, rabitq_bit_product, rabitq_pruned, ground_truth, dense_f16_blocks, code_bytes,
     )
     out = {f.__name__: f for f in named}
     out |= {f"pairwise_{m}": pairwise(m) for m in V.METRICS} | {f"knn_exact_{m}": knn_exact(m) for m in V.METRICS}
@@ -598,6 +607,7 @@ def oracle_sql() -> dict[str, str]:
         "rabitq_select": f"WITH c AS ({_CENTROIDS}), d AS ({own}) SELECT o.o_orderkey AS position, cluster_id, vec_id, round(sqrt(d2), 6) AS norm FROM d JOIN orders o ON o.o_orderkey * 7 % 500 = d.vec_id",
         "rabitq_signbits": f"WITH {_codes_sql()} SELECT cluster_id, vec_id, signs, round(align, 6) AS align FROM al",
         "rabitq_estimate": f"WITH {_codes_sql()} SELECT query_id, id, round(-greatest(d2, least), 6) + 0.0 AS estimate, round(-greatest(d2 - 5 * norm * qn * sigma, least), 6) + 0.0 AS bound FROM w",
+        "rabitq_bit_product": f"WITH {_codes_sql()} SELECT query_id, vec_id AS id, sum(CASE WHEN u >= 0 THEN round((g - lo) / step) ELSE 0 END)::BIGINT AS product FROM g JOIN grid USING (query_id, cluster_id) JOIN u USING (cluster_id, j) GROUP BY ALL",
         "rabitq_pruned": "SELECT q.vec_id AS query_id, (SELECT count(*) FROM embeddings) AS rows, true AS pruned FROM embeddings q WHERE q.vec_id % 100 = 0",
         "rabitq_two_pass_default": f"WITH c AS ({_CENTROIDS}), {_HITS} {_top(_BY_NPROBE + '3')}",
         "ground_truth": f"SELECT query_id, rank, id FROM ({_top(_ALL('l2'))})",
