@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vectide.llm.common import by_bytes, crc_mod, packed, release
 from vectide.llm.learning import Lexicon, labels_of, sample_texts, smallest, summed
