@@ -125,6 +125,37 @@ def test_two_level_fit(spark, vectors):
     assert sum(d2) <= 1.05 * flat.sum()
 
 
+@pytest.mark.parametrize("k", [40, 600])
+def test_large_samples_stay_on_the_executors(spark, vectors, monkeypatch, k):
+    """The fit is about as good, the same for every split of the table, and no more than candidates and centroids come to the driver."""
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((400, 8))[rng.integers(400, size=5000)] + 0.1 * rng.standard_normal((5000, 8))).astype(np.float32)
+    rows = vectors(np.concatenate((x, x[:500])))  # some vectors twice
+    model = kmeans.KMeans(k, iters=3)
+    cost = lambda c: assign.nearest_rows(x, c)[1].sum()
+    plain = cost(model.fit(rows).centroids)
+    monkeypatch.setattr(kmeans, "DRIVER", 0, raising=False)
+    got, real = [], type(rows).toArrow
+
+    def recorded(self):
+        t = real(self)
+        got.append(t.num_rows if "embedding" in t.column_names else 0)
+        return t
+
+    monkeypatch.setattr(type(rows), "toArrow", recorded)
+    a, b = model.fit(rows), model.fit(rows.repartition(7))
+    assert max(got) <= k and a.centroids.shape == (k, 8) and (a.coarse is None) == (k == 40)
+    assert np.array_equal(a.centroids, b.centroids) and cost(a.centroids) <= 1.1 * plain
+
+
+def test_the_sample_on_the_executors_is_the_same(spark, vectors):
+    x = np.random.default_rng(3).standard_normal((3000, 2)).astype(np.float32)
+    rows, model = vectors(x), kmeans.KMeans(3)
+    for n in (1, 700, 2999, 3000):
+        own = np.array([r["embedding"] for r in model.spread_sample(rows, n).collect()])
+        assert sorted(own.tolist()) == sorted(model.sample(rows, n).tolist())
+
+
 def test_shares():
     assert kmeans.shares([10, 1, 5], 6) == [4, 1, 1] and kmeans.shares([10, 1, 6], 6) == [3, 1, 2]
     assert kmeans.shares([2, 2], 9) == [2, 2]
