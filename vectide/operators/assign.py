@@ -91,14 +91,19 @@ def nearest_within(rows: DataFrame, groups: DataFrame, members: DataFrame, top:
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """|x|^2 + |c|^2 - 2xc in float64, not below 0: for choosing, not for reporting."""
     x, c = x.astype(np.float64), c.astype(np.float64)
-    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T), 0)
+    d, product = (x * x).sum(1)[:, None] + (c * c).sum(1), x @ c.T
+    product *= 2
+    d -= product
+    return np.maximum(d, 0, out=d)
 
 
 def nearest_rows(x: np.ndarray, c: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the nearest centroid, the first on ties, and the squared distance, free of cancellation.
 
     The products only find the candidates; those within rounding of the best are measured again.
+    Blocks of at most `block` rows are as small as keeps their products in a processor's cache.
     """
+    block = max(32, min(block, (1 << 17) // max(1, len(c))))
     index, d2 = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
     scale = float((c.astype(np.float64) ** 2).sum(1).max(initial=0))
     for lo in range(0, len(x), block):
@@ -107,7 +112,7 @@ def nearest_rows(x: np.ndarray, c: np.ndarray, block: int = 2048) -> tuple[np.nd
         slack = 1e-12 * ((own * own).sum(1) + scale)
         best = d.argmin(1)
         near = d <= (np.take_along_axis(d, best[:, None], 1)[:, 0] + slack)[:, None]
-        for r in np.flatnonzero(near.sum(1) > 1).tolist():  # so close that the products can't tell
+        for r in np.flatnonzero(np.count_nonzero(near, axis=1) > 1).tolist():  # so close that the products can't tell
             k = np.flatnonzero(near[r])
             diff = own[r] - c[k].astype(np.float64)
             best[r] = k[(diff * diff).sum(1).argmin()]
@@ -150,15 +155,21 @@ def file_fine(coarse: np.ndarray, fine: np.ndarray) -> np.ndarray:
     return nearest_rows(fine, coarse)[0]
 
 
+def _places(at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of each of k numbers the places where it stands, in order."""
+    return np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=k))[:-1])
+
+
 def nearest_two_level(x: np.ndarray, coarse: np.ndarray, fine: np.ndarray, filed: np.ndarray, probe: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The numpy twin of two_level_assign: some 17 * sqrt(k) distances a row instead of k."""
-    lists = [np.flatnonzero(filed == k) for k in range(len(coarse))]
+    lists = _places(filed, len(coarse))
     d = squared_distances(x, coarse)
     probe = min(probe, len(coarse))
     near = np.argpartition(d, probe - 1, axis=1)[:, :probe]
     best, at = np.full(len(x), np.inf), np.full(len(x), len(fine), dtype=np.int64)
+    probing = _places(near.ravel(), len(coarse))
     for k in range(len(coarse)):
-        rows = np.flatnonzero((near == k).any(1))
+        rows = probing[k] // probe
         if not len(rows) or not len(lists[k]):
             continue
         own, d2 = nearest_rows(x[rows], fine[lists[k]])

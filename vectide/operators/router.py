@@ -22,6 +22,8 @@ from vectide.operators.kmeans import lloyd, seed_centroids
 # fixed values of the build
 ITERS, SEED = 6, 0x51F15E
 DEEPEST = 1024
+#: Numbers of an array of the nodes below the beams of some queries, few enough for a processor's cache.
+STEP = 1 << 18
 
 
 @dataclass
@@ -80,10 +82,10 @@ class Tree:
     """A centroid tree; edits make a new one and leave the old as it is."""
 
     def __init__(self, nodes: list[Node], vectors: np.ndarray, fanout: int, coded: tuple | None = None):
-        self.nodes, self.vectors, self.fanout, self.coded, self._arrays, self._rows = nodes, vectors, fanout, coded, None, None
+        self.nodes, self.vectors, self.fanout, self.coded, self._arrays, self._rows, self._widest = nodes, vectors, fanout, coded, None, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_arrays": None, "_rows": None}
+        return self.__dict__ | {"_arrays": None, "_rows": None, "_widest": None}
 
     # shape
 
@@ -195,9 +197,10 @@ class Tree:
         q = np.asarray(q, dtype=np.float64)
         if not self.nodes or probe <= 0 or q.shape[1] != self.dims:
             return out
-        if max((max(len(n.children), len(n.leaves)) for n in self.nodes), default=0) <= 8 * self.fanout:
-            wide = max(1, beam) * max(max(len(n.children), len(n.leaves)) for n in self.nodes) * max(1, self.dims)
-            step = max(1, min(4096, (1 << 22) // wide))
+        if self._widest is None:
+            self._widest = max(max(len(n.children), len(n.leaves)) for n in self.nodes)
+        if self._widest <= 8 * self.fanout:
+            step = max(1, min(4096, STEP // (max(1, beam) * max(1, self._widest) * max(1, self.dims))))
             for lo in range(0, len(q), step):
                 found = self._padded_search(q[lo : lo + step], beam, probe, work)
                 out[lo : lo + step, : found.shape[1]] = found
