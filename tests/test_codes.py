@@ -78,6 +78,38 @@ def test_lazy_bounds_decide_alike(shared):
             assert np.array_equal(rabitq.may_reach(codes, query, cut), bound >= cut)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("bits", [0, 3])
+def test_sure_bounds_are_never_exceeded(metric, bits):
+    x = np.vstack([gaussian(3000, 24) * np.linspace(0.1, 3, 3000)[:, None], np.zeros((1, 24))])
+    codes = rabitq.encode(x, 3, metric, bits)
+    for q in [*gaussian(30, 24, seed=2), x[5]]:
+        query = rabitq.Query(q, metric, 3, sure=True)
+        n = np.linalg.norm(x, axis=1)
+        true = -((x - q) ** 2).sum(1) if metric == "l2" else np.divide(x @ q, n * np.linalg.norm(q), out=np.zeros(len(x)), where=n > 0)
+        bound = rabitq.score(codes, query)[1]
+        assert (bound >= true).all() and np.array_equal(rabitq.may_reach(codes, query, np.median(true)), bound >= np.median(true))
+        assert (bound < np.sort(true)[-10]).any()
+
+
+def test_two_passes_miss_no_row(spark, vectors):
+    """Queries that lie where the codes of their nearest rows err most: estimates and likely bounds miss these rows, the default doesn't."""
+    x = gaussian(600, 64).astype(np.float32)
+    rows, mean = vectors(x, cluster_id=[0] * 600), x.astype(float).mean(0)
+    turn, queries = rabitq.rotation(11, 64), []
+    for k in range(5):
+        norm = np.linalg.norm(x[k] - mean)
+        u = (x[k] - mean) / norm
+        code = turn.undo(np.where(turn.apply(u) >= 0, 1, -1) / 8)
+        off = u - (u @ code) * code
+        queries.append((k, [float(v) for v in mean + norm * off / np.linalg.norm(off)]))
+    queries = spark.createDataFrame(queries, "query_id long, query array<float>")
+    frames = rabitq.frames_of(rows, 11)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    want = key(search.clustered(rows, frames, queries, 3, 1))
+    assert {(k, 1, k) for k in range(5)} <= set(want) and key(search.two_pass(rows, rabitq.codes_of(rows, frames), frames, frames, queries, 3, 1)) == want
+
+
 def test_select_and_append():
     x = gaussian(50, 20)
     codes = rabitq.encode(x[:30], 3, "l2", 2)

@@ -201,7 +201,7 @@ def encode(x: np.ndarray, seed: int, metric: str = "l2", ex_bits: int = 0, dims:
 
 @dataclass
 class Query:
-    """A prepared query.  exact: every bound is infinite, so nothing is pruned.  sigmas: width of the bound; 0 is the default."""
+    """A prepared query.  exact: every bound is infinite, so nothing is pruned.  sigmas: width of the bound; 0 is the default.  sure: bounds that no score exceeds, instead of likely ones."""
 
     vector: np.ndarray
     metric: str = "l2"
@@ -209,6 +209,7 @@ class Query:
     exact: bool = False
     sigmas: float = 0.0
     shared: bool = False  # quantise once, with 8 bits, for all clusters
+    sure: bool = False
     _turned: np.ndarray | None = None
     _global: tuple | None = None
 
@@ -255,7 +256,7 @@ class Scoring:
         dims, self.eps = codes.dims, q.sigmas or SIGMAS
         center = rotation(codes.seed, dims).apply(codes.centroid)
         r = q.turned() - center
-        self.qn = qn = float(np.sqrt((r * r).sum()))
+        self.turned, self.qn = r, (qn := float(np.sqrt((r * r).sum())))
         self.zero = codes.align == ZERO_ROW
         self.align = np.where(self.zero, 1, codes.ex_align if codes.ex_bits else codes.align)
         self.live = (codes.norm > 0) & ~self.zero & (qn > 0) & (self.align > 0)
@@ -287,6 +288,9 @@ class Scoring:
         if self.flat:
             return np.zeros(n)
         self.bounded += n
+        if self.q.sure:
+            low = self._least(rows)
+            return np.where(self.zero[rows], 0.0, -low if self.codes.metric == "l2" else np.clip(1 - low / 2, -1, 1))
         align, live, ip, zero, qn = self.align[rows], self.live[rows], self.ip[rows], self.zero[rows], self.qn
         off = np.maximum(1 - align**2, 0) / max(self.codes.dims - 1, 1)
         sigma = np.divide(np.sqrt(off + self.spread), align, out=np.zeros(n), where=live)
@@ -298,6 +302,24 @@ class Scoring:
         top = _next_up(-low) if self.codes.metric == "l2" else _next_up(np.clip(1 - low / 2, -1, 1))
         return np.where(zero, 0.0, top)
 
+    def _least(self, rows) -> np.ndarray:
+        """What no squared distance of these rows is below.
+
+        The row's direction makes the angle arccos(align) with its code, and the
+        query's (not its levels) arccos(p), so that they differ by the difference
+        of the two at least.
+        """
+        codes, qn = self.codes, self.qn
+        norm, align = codes.norm[rows], np.clip((codes.ex_align if codes.ex_bits else codes.align)[rows], 0, 1)
+        t = self.turned / qn if qn > 0 else self.turned
+        if codes.ex_bits:
+            p = np.divide(codes.ex[rows] @ t, codes.ex_norm[rows], out=np.zeros(len(norm)), where=codes.ex_norm[rows] > 0)
+        else:
+            p = (2 * (codes.signs[rows] @ t) - t.sum()) / np.sqrt(codes.dims)
+        near = align * p + np.sqrt((1 - align**2) * np.maximum(1 - p**2, 0))
+        squares = norm**2 + qn**2
+        return np.maximum(squares - 2 * norm * qn * near, (norm - qn) ** 2) - 1e-9 * squares
+
     def reach(self) -> np.ndarray | float:
         """What a bound exceeds its estimate by at most, from the column's largest norm and smallest align."""
         top, worst = bound_hint(self.codes)
@@ -325,6 +347,8 @@ def may_reach(codes: Codes, q: Query, cutoff: float, work: Scoring | None = None
         return np.ones(len(codes), dtype=bool)
     if own.flat:
         return np.full(len(codes), cutoff <= 0)
+    if q.sure:
+        return own.bound() >= cutoff
     out = np.zeros(len(codes), dtype=bool)
     at = np.flatnonzero((own.estimate + own.reach() >= cutoff) | own.zero)
     if len(at):

@@ -115,9 +115,10 @@ def estimates(codes: DataFrame, frames: DataFrame, chosen: DataFrame, exact_boun
     return _by_cluster(codes, frames, chosen.select("cluster_id", "query_id", "query"), run, "query_id long, id long, estimate double, bound double")
 
 
-def reaching(codes: DataFrame, frames: DataFrame, chosen: DataFrame, exact_bounds: bool = False, sigmas: float = 0.0, shared: bool = False) -> DataFrame:
+def reaching(codes: DataFrame, frames: DataFrame, chosen: DataFrame, exact_bounds: bool = False, sigmas: float = 0.0, shared: bool = False, sure: bool = False) -> DataFrame:
     """query_id, id: the codes of the probed clusters whose bound is not below the query's cutoff; chosen also has cutoff, null for none.
 
+    sure: by bounds that no score exceeds, so that no row that reaches the cutoff is missed.
     An envelope of the cluster or of the row spares most rows their bound.
     """
 
@@ -126,7 +127,7 @@ def reaching(codes: DataFrame, frames: DataFrame, chosen: DataFrame, exact_bound
         if c.num_rows and q.num_rows:
             own, names, seed, metric = _coded(c)
             for query_id, vector, cutoff in zip(q["query_id"].to_pylist(), q["query"].to_pylist(), q["cutoff"].to_pylist(), strict=True):
-                query = rabitq.Query(np.array(vector), metric, seed, exact_bounds, sigmas, shared)
+                query = rabitq.Query(np.array(vector), metric, seed, exact_bounds, sigmas, shared, sure)
                 at = names if cutoff is None else names[rabitq.may_reach(own, query, cutoff)]
                 out.append((np.full(len(at), query_id), at))
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -141,7 +142,9 @@ def two_pass(rows: DataFrame, codes: DataFrame, frames: DataFrame, centroids: Da
     The wider * k best estimates are scored exactly; the k-th exact score is the
     cutoff; every other row whose bound is not below it is scored exactly too.
     A query with fewer than k shortlisted rows has no cutoff and reads all.
-    exact_bounds: infinite bounds, so the answer is exact in the probed clusters.
+    Without sigmas the bounds are sure, and the answer is exact in the probed
+    clusters; sigmas: likely bounds of this width, which may miss rows.
+    exact_bounds: infinite bounds, so that every row is scored exactly.
 
     Groups of a cluster's codes give up their own shortlists first, and rows
     that reach the cutoff second, so that no estimate of any other row is
@@ -154,6 +157,6 @@ def two_pass(rows: DataFrame, codes: DataFrame, frames: DataFrame, centroids: Da
     exactly = lambda found: found.join(raw, "id").join(q, "query_id").select("query_id", "id", score(metric, "query", v).alias("score"))
     first = exactly(short)
     cut = rank.cutoff(first, k, ["query_id"]).select("query_id", F.col("score").alias("cutoff"))
-    rest = reaching(codes, frames, chosen.join(cut, "query_id", "left"), exact_bounds, sigmas, shared)
+    rest = reaching(codes, frames, chosen.join(cut, "query_id", "left"), exact_bounds, sigmas, shared, sure=not sigmas)
     every = first.unionByName(exactly(rest.join(short, ["query_id", "id"], "left_anti")))
     return rank.top_k(every, k, ["query_id"]).select("query_id", "rank", "id", "score")
